@@ -133,3 +133,131 @@ def bm25_sql(questions_cte: str, name: str = "scores", stem: int | None = None,
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# ---------------------------------------------------------------------------
+# Raw sheets: ledgers from orders + lineitem, a clean table from customer
+# ---------------------------------------------------------------------------
+# Fixed fixture layout (both engines build exactly these cells).
+LEDGER_HEADER = ["Date", "Particulars", None, "Vch Type", "Vch No.", "Debit", "Credit"]
+CUSTOMER_HEADER = ["Name", "Nation", "Balance", None]
+TOTAL_ROW_IDX = 10 ** 15
+
+
+def _arr(*xs):
+    return F.array(*[x if not isinstance(x, (str, type(None))) else F.lit(x).cast("string") for x in xs])
+
+
+def _money(c):
+    return F.format_number(c, 2)
+
+
+def cells(spark, d) -> DataFrame:
+    """``cells(file, sheet, row_idx, cells)``: per (order priority, year) a
+    ledger sheet with title rows, a header, one To/By row per order and one
+    detail row per line item, and a Grand Total row; plus one clean customer
+    sheet per market segment with its own Total row."""
+    o = table(spark, d, "orders")
+    li = table(spark, d, "lineitem")
+    c = table(spark, d, "customer")
+    ofile = F.concat(F.lit("ledger_"), F.substring("o_orderpriority", 1, 1), F.lit(".xlsx"))
+    osheet = F.year("o_orderdate").cast("string")
+    is_to = F.col("o_orderstatus") == "F"
+    orders = o.select(ofile.alias("file"), osheet.alias("sheet"), "o_orderkey", "o_custkey",
+                      "o_totalprice", "o_orderdate", is_to.alias("is_to"))
+    sheets = orders.select("file", "sheet").distinct()
+    title = sheets.select("file", "sheet", F.lit(0).cast("long").alias("row_idx"),
+                          _arr("Quarry Traders Ltd", None, None, None, None, None, None).alias("cells")) \
+        .unionByName(sheets.select("file", "sheet", F.lit(1).cast("long").alias("row_idx"),
+                                   _arr("Ledger Account", None, F.col("file"), None, None, None, None)
+                                   .alias("cells"))) \
+        .unionByName(sheets.select("file", "sheet", F.lit(2).cast("long").alias("row_idx"),
+                                   _arr(F.concat(F.lit("1-Jan-"), F.col("sheet"), F.lit(" to 31-Dec-"),
+                                                 F.col("sheet")), None, None, None, None, None, None)
+                                   .alias("cells"))) \
+        .unionByName(sheets.select("file", "sheet", F.lit(3).cast("long").alias("row_idx"),
+                                   _arr(*LEDGER_HEADER).alias("cells")))
+    marker = orders.select(
+        "file", "sheet", (F.col("o_orderkey") * 10 + 10).alias("row_idx"),
+        _arr(F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(F.col("is_to"), "To").otherwise("By"),
+             F.concat(F.lit("Customer#"), F.col("o_custkey").cast("string")),
+             F.when(F.col("is_to"), "Sales").otherwise("Receipt"),
+             F.concat(F.lit("SO-"), F.col("o_orderkey").cast("string")),
+             F.when(F.col("is_to"), _money(F.col("o_totalprice"))),
+             F.when(~F.col("is_to"), _money(F.col("o_totalprice")))).alias("cells"))
+    detail = li.join(orders.select("o_orderkey", "file", "sheet"),
+                     li["l_orderkey"] == orders["o_orderkey"]).select(
+        "file", "sheet", (F.col("l_orderkey") * 10 + 10 + F.col("l_linenumber")).alias("row_idx"),
+        _arr(None, None, F.concat(F.lit("Part "), F.col("l_partkey").cast("string")),
+             F.concat(F.lit("Flag "), F.col("l_returnflag")), None,
+             _money(F.col("l_extendedprice")), None).alias("cells"))
+    total = orders.groupBy("file", "sheet").agg(
+        F.round(F.sum(F.when(F.col("is_to"), F.col("o_totalprice"))), 2).alias("dr"),
+        F.round(F.sum(F.when(~F.col("is_to"), F.col("o_totalprice"))), 2).alias("cr")).select(
+        "file", "sheet", F.lit(TOTAL_ROW_IDX).cast("long").alias("row_idx"),
+        _arr(None, None, "Grand Total", None, None, _money(F.col("dr")), _money(F.col("cr"))).alias("cells"))
+    cust = c.select(F.lit("customers.xlsx").alias("file"), F.col("c_mktsegment").alias("sheet"),
+                    "c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    csheets = cust.select("file", "sheet").distinct()
+    ctitle = csheets.select("file", "sheet", F.lit(0).cast("long").alias("row_idx"),
+                            _arr("Customer balances", None, None, None).alias("cells")) \
+        .unionByName(csheets.select("file", "sheet", F.lit(1).cast("long").alias("row_idx"),
+                                    _arr(F.concat(F.lit("Segment "), F.col("sheet")), None, None, None)
+                                    .alias("cells"))) \
+        .unionByName(csheets.select("file", "sheet", F.lit(2).cast("long").alias("row_idx"),
+                                    _arr(*CUSTOMER_HEADER).alias("cells")))
+    crows = cust.select("file", "sheet", (F.col("c_custkey") + 10).alias("row_idx"),
+                        _arr(F.col("c_name"), F.col("c_nationkey").cast("string"),
+                             F.format_string("%.2f", F.col("c_acctbal")),
+                             F.when(F.col("c_acctbal") < 0, "overdrawn")).alias("cells"))
+    ctotal = cust.groupBy("file", "sheet").agg(F.round(F.sum("c_acctbal"), 2).alias("t")).select(
+        "file", "sheet", F.lit(TOTAL_ROW_IDX).cast("long").alias("row_idx"),
+        _arr("Total", None, F.format_string("%.2f", F.col("t")), None).alias("cells"))
+    return (title.unionByName(marker).unionByName(detail).unionByName(total)
+            .unionByName(ctitle).unionByName(crows).unionByName(ctotal))
+
+
+def _sql_arr(*xs):
+    return "[" + ", ".join("NULL::VARCHAR" if x is None else x for x in xs) + "]"
+
+
+def _q(s):
+    return "'" + s + "'"
+
+
+SQL_CELLS = f"""o AS (
+  SELECT 'ledger_' || substring(o_orderpriority, 1, 1) || '.xlsx' AS file,
+         CAST(year(o_orderdate) AS VARCHAR) AS sheet, o_orderkey, o_custkey, o_totalprice, o_orderdate,
+         o_orderstatus = 'F' AS is_to FROM orders),
+sh AS (SELECT DISTINCT file, sheet FROM o),
+cu AS (SELECT 'customers.xlsx' AS file, c_mktsegment AS sheet, c_custkey, c_name, c_nationkey, c_acctbal
+       FROM customer),
+csh AS (SELECT DISTINCT file, sheet FROM cu),
+cells AS (
+  SELECT file, sheet, CAST(0 AS BIGINT) AS row_idx, {_sql_arr(_q('Quarry Traders Ltd'), None, None, None, None, None, None)} AS cells FROM sh
+  UNION ALL SELECT file, sheet, 1, {_sql_arr(_q('Ledger Account'), None, 'file', None, None, None, None)} FROM sh
+  UNION ALL SELECT file, sheet, 2, {_sql_arr("'1-Jan-' || sheet || ' to 31-Dec-' || sheet", None, None, None, None, None, None)} FROM sh
+  UNION ALL SELECT file, sheet, 3, {_sql_arr(*[None if h is None else _q(h) for h in LEDGER_HEADER])} FROM sh
+  UNION ALL SELECT file, sheet, o_orderkey * 10 + 10,
+    {_sql_arr("strftime(o_orderdate, '%Y-%m-%d')", "CASE WHEN is_to THEN 'To' ELSE 'By' END",
+              "'Customer#' || CAST(o_custkey AS VARCHAR)", "CASE WHEN is_to THEN 'Sales' ELSE 'Receipt' END",
+              "'SO-' || CAST(o_orderkey AS VARCHAR)",
+              "CASE WHEN is_to THEN format('{:,.2f}', o_totalprice) END",
+              "CASE WHEN NOT is_to THEN format('{:,.2f}', o_totalprice) END")} FROM o
+  UNION ALL SELECT o.file, o.sheet, l_orderkey * 10 + 10 + l_linenumber,
+    {_sql_arr(None, None, "'Part ' || CAST(l_partkey AS VARCHAR)", "'Flag ' || l_returnflag", None,
+              "format('{:,.2f}', l_extendedprice)", None)}
+    FROM lineitem JOIN o ON l_orderkey = o.o_orderkey
+  UNION ALL SELECT file, sheet, {TOTAL_ROW_IDX},
+    {_sql_arr(None, None, _q('Grand Total'), None, None, "format('{:,.2f}', dr)", "format('{:,.2f}', cr)")}
+    FROM (SELECT file, sheet, round(sum(CASE WHEN is_to THEN o_totalprice END), 2) AS dr,
+                 round(sum(CASE WHEN NOT is_to THEN o_totalprice END), 2) AS cr FROM o GROUP BY file, sheet)
+  UNION ALL SELECT file, sheet, 0, {_sql_arr(_q('Customer balances'), None, None, None)} FROM csh
+  UNION ALL SELECT file, sheet, 1, {_sql_arr("'Segment ' || sheet", None, None, None)} FROM csh
+  UNION ALL SELECT file, sheet, 2, {_sql_arr(*[None if h is None else _q(h) for h in CUSTOMER_HEADER])} FROM csh
+  UNION ALL SELECT file, sheet, c_custkey + 10,
+    {_sql_arr('c_name', 'CAST(c_nationkey AS VARCHAR)', "printf('%.2f', c_acctbal)",
+              "CASE WHEN c_acctbal < 0 THEN 'overdrawn' END")} FROM cu
+  UNION ALL SELECT file, sheet, {TOTAL_ROW_IDX},
+    {_sql_arr(_q('Total'), None, "printf('%.2f', t)", None)}
+    FROM (SELECT file, sheet, round(sum(c_acctbal), 2) AS t FROM cu GROUP BY file, sheet))"""
