@@ -25,9 +25,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed value: the ASCII whitespace set stripped by ``strip`` (``\s``).
+WHITESPACE = " \t\n\r\f\x0b"
+
+
 def strip(c) -> Column:
-    """Python ``str.strip()``: SQL ``trim`` removes only spaces."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """``str.strip()`` for ASCII whitespace; plain SQL ``trim`` removes only
+    spaces."""
+    return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
 def num(c) -> Column:

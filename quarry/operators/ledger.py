@@ -91,13 +91,13 @@ def body(cells: DataFrame, header: DataFrame) -> DataFrame:
 
 
 def marker_of(c="cells"):
-    return F.lower(X.strip(F.try_element_at(F.col(c) if isinstance(c, str) else c, F.lit(2))))
+    return F.lower(X.strip(F.get(F.col(c) if isinstance(c, str) else c, 1)))
 
 
 def ledger_kind(cells: DataFrame, header: DataFrame, share: float = 0.3) -> DataFrame:
     """R10 routing: share of To/By markers among non-blank second cells."""
     b = body(cells, header)
-    second = F.try_element_at("cells", F.lit(2))
+    second = F.get("cells", 1)
     nonblank = second.isNotNull() & (X.strip(second) != "")
     return b.groupBy(*SHEET).agg(
         F.count_if(nonblank).alias("tot"),
@@ -114,21 +114,24 @@ def assemble_records(cells: DataFrame, header: DataFrame) -> DataFrame:
     is_m = marker_of().isin(MARKERS)
     b = b.withColumn("_m", F.when(is_m, F.col("row_idx")))
     b = skew.carry_forward(b, SHEET, "row_idx", "_m", "island").where(F.col("island").isNotNull())
-    texts = F.filter(F.transform(F.filter("cells", lambda c: c.isNotNull()), lambda c: X.strip(c)),
-                     lambda t: (t != "") & X.parse_amount(t).isNull())
-    rec = b.groupBy(*SHEET, "island").agg(
-        F.max_by(F.when(F.col("_m").isNotNull(), F.col("cells")), F.col("_m").isNotNull()).alias("head"),
-        F.array_sort(F.collect_list(F.when(F.col("_m").isNull(),
-                                           F.struct("row_idx", texts.alias("t"))))).alias("rest"))
+    heads = b.where(F.col("_m").isNotNull()).select(*SHEET, "island", F.col("cells").alias("head"))
+    det = (b.where(F.col("_m").isNull())
+           .select(*SHEET, "island", "row_idx", F.posexplode("cells").alias("j", "c"))
+           .select(*SHEET, "island", "row_idx", "j", X.strip(F.col("c")).alias("t"))
+           .where((F.col("t") != "") & X.parse_amount(F.col("t")).isNull())
+           .groupBy(*SHEET, "island").agg(F.array_join(F.array_distinct(F.transform(
+               F.array_sort(F.collect_list(F.struct("row_idx", "j", "t"))), lambda s: s["t"])), "; ")
+               .alias("details")))
+    rec = heads.join(det, SHEET + ["island"], "left")
     h = F.col("head")
-    typ = X.strip(F.try_element_at(h, F.lit(2)))
+    typ = X.strip(F.get(h, 1))
     amount = X.largest_number(h)
-    acc = F.try_element_at(h, F.lit(3))
-    vch = F.try_element_at(h, F.lit(4))
-    details = F.array_join(F.array_distinct(F.flatten(F.transform("rest", lambda s: s["t"]))), "; ")
+    acc = F.get(h, 2)
+    vch = F.get(h, 3)
+    details = F.coalesce(F.col("details"), F.lit(""))
     return rec.select(
         *SHEET, "island",
-        F.date_format(X.coerce_date(F.try_element_at(h, F.lit(1))), "yyyy-MM-dd").alias("date"),
+        F.date_format(X.coerce_date(F.get(h, 0)), "yyyy-MM-dd").alias("date"),
         typ.alias("type"),
         F.coalesce(X.strip(acc), F.lit("")).alias("account"),
         F.coalesce(X.strip(vch), F.lit("")).alias("voucher_type"),

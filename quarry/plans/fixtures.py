@@ -178,16 +178,19 @@ def cells(spark, d) -> DataFrame:
         .unionByName(sheets.select("file", "sheet", F.lit(3).cast("long").alias("row_idx"),
                                    _arr(*LEDGER_HEADER).alias("cells")))
     marker = orders.select(
-        "file", "sheet", (F.col("o_orderkey") * 10 + 10).alias("row_idx"),
+        "file", "sheet", (F.col("o_orderkey") * 100 + 100).alias("row_idx"),
         _arr(F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(F.col("is_to"), "To").otherwise("By"),
              F.concat(F.lit("Customer#"), F.col("o_custkey").cast("string")),
              F.when(F.col("is_to"), "Sales").otherwise("Receipt"),
              F.concat(F.lit("SO-"), F.col("o_orderkey").cast("string")),
              F.when(F.col("is_to"), _money(F.col("o_totalprice"))),
              F.when(~F.col("is_to"), _money(F.col("o_totalprice")))).alias("cells"))
-    detail = li.join(orders.select("o_orderkey", "file", "sheet"),
-                     li["l_orderkey"] == orders["o_orderkey"]).select(
-        "file", "sheet", (F.col("l_orderkey") * 10 + 10 + F.col("l_linenumber")).alias("row_idx"),
+    from pyspark.sql import Window
+    line_no = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag"))
+    detail = li.withColumn("line_no", line_no).join(
+        orders.select("o_orderkey", "file", "sheet"), li["l_orderkey"] == orders["o_orderkey"]).select(
+        "file", "sheet", (F.col("l_orderkey") * 100 + 100 + F.col("line_no")).alias("row_idx"),
         _arr(None, None, F.concat(F.lit("Part "), F.col("l_partkey").cast("string")),
              F.concat(F.lit("Flag "), F.col("l_returnflag")), None,
              _money(F.col("l_extendedprice")), None).alias("cells"))
@@ -217,6 +220,25 @@ def cells(spark, d) -> DataFrame:
             .unionByName(ctitle).unionByName(crows).unionByName(ctotal))
 
 
+_STAGED: dict = {}
+
+
+def staged(spark, d: str, name: str, build) -> DataFrame:
+    """A derived input written once per session to the shared checkpoint
+    folder (``checkpoint()``), so the queries that read it start from a
+    short lineage instead of re-deriving it."""
+    key = (id(spark), d, name)
+    if key not in _STAGED:
+        from quarry.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        _STAGED[key] = build(spark, d).checkpoint(eager=True)
+    return _STAGED[key]
+
+
+def cells_table(spark, d) -> DataFrame:
+    return staged(spark, d, "cells", cells)
+
+
 def _sql_arr(*xs):
     return "[" + ", ".join("NULL::VARCHAR" if x is None else x for x in xs) + "]"
 
@@ -238,13 +260,14 @@ cells AS (
   UNION ALL SELECT file, sheet, 1, {_sql_arr(_q('Ledger Account'), None, 'file', None, None, None, None)} FROM sh
   UNION ALL SELECT file, sheet, 2, {_sql_arr("'1-Jan-' || sheet || ' to 31-Dec-' || sheet", None, None, None, None, None, None)} FROM sh
   UNION ALL SELECT file, sheet, 3, {_sql_arr(*[None if h is None else _q(h) for h in LEDGER_HEADER])} FROM sh
-  UNION ALL SELECT file, sheet, o_orderkey * 10 + 10,
+  UNION ALL SELECT file, sheet, o_orderkey * 100 + 100,
     {_sql_arr("strftime(o_orderdate, '%Y-%m-%d')", "CASE WHEN is_to THEN 'To' ELSE 'By' END",
               "'Customer#' || CAST(o_custkey AS VARCHAR)", "CASE WHEN is_to THEN 'Sales' ELSE 'Receipt' END",
               "'SO-' || CAST(o_orderkey AS VARCHAR)",
               "CASE WHEN is_to THEN format('{:,.2f}', o_totalprice) END",
               "CASE WHEN NOT is_to THEN format('{:,.2f}', o_totalprice) END")} FROM o
-  UNION ALL SELECT o.file, o.sheet, l_orderkey * 10 + 10 + l_linenumber,
+  UNION ALL SELECT o.file, o.sheet, l_orderkey * 100 + 100 + row_number() OVER (PARTITION BY l_orderkey
+      ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag),
     {_sql_arr(None, None, "'Part ' || CAST(l_partkey AS VARCHAR)", "'Flag ' || l_returnflag", None,
               "format('{:,.2f}', l_extendedprice)", None)}
     FROM lineitem JOIN o ON l_orderkey = o.o_orderkey

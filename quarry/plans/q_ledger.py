@@ -44,8 +44,8 @@ dets AS (SELECT file, sheet, island, row_idx, p, t FROM (
       SELECT *, list_filter(list_transform(list_filter(cells, lambda c: c IS NOT NULL), lambda c: {S.strip('c')}),
                             lambda t: t <> '' AND {S.amount('t')} IS NULL) AS texts
       FROM isl WHERE island IS NOT NULL AND NOT is_m))),
-ddet AS (SELECT file, sheet, island, string_agg(t, '; ' ORDER BY row_idx, p) AS details FROM (
-    SELECT file, sheet, island, t, min(row_idx) AS row_idx, arg_min(p, row_idx * 1000 + p) AS p
+ddet AS (SELECT file, sheet, island, string_agg(t, '; ' ORDER BY r0, p0) AS details FROM (
+    SELECT file, sheet, island, t, min(row_idx) AS r0, arg_min(p, row_idx * 1000 + p) AS p0
     FROM dets GROUP BY file, sheet, island, t) GROUP BY file, sheet, island),
 heads AS (SELECT file, sheet, island, cells AS h FROM isl WHERE is_m),
 rec AS (SELECT h.file, h.sheet, h.island,
@@ -63,7 +63,7 @@ REC = BASE + ",\n" + SQL_BODY + ",\n" + SQL_REC + "\n"
 
 
 def _cells(spark, d):
-    return FX.cells(spark, d)
+    return FX.cells_table(spark, d)
 
 
 @query("ledger_header", BASE + "\nSELECT file, sheet, header_idx FROM hdr")
@@ -220,7 +220,7 @@ SELECT file, sheet, row_idx, strftime({S.coerce_date('cells[1]')}, '%Y-%m-%d') A
 FROM cells WHERE {S.coerce_date('cells[1]')} IS NOT NULL""")
 def coerce_date(spark, d):
     c = _cells(spark, d)
-    first = F.try_element_at("cells", F.lit(1))
+    first = F.get("cells", 0)
     return c.select("file", "sheet", "row_idx",
                     F.date_format(X.coerce_date(first), "yyyy-MM-dd").alias("d"),
                     F.date_format(X.coerce_date(first, min_year=2000), "yyyy-MM-dd").alias("d2000")) \

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
 
 
 def num(x: str) -> str:
