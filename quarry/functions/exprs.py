@@ -55,9 +55,10 @@ def is_blank(c) -> Column:
 def fmt_num(x) -> Column:
     """whole -> '1,234'; otherwise two decimals with separators.
     Non-finite values keep their string form."""
-    x = _c(x).cast("double")
+    raw = _c(x)
+    x = raw.try_cast("double")
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    return (F.when(~finite, x.cast("string"))
+    return (F.when(~finite, raw.cast("string"))
             .when(x == F.floor(x), F.format_number(x, 0))
             .otherwise(F.format_number(x, 2)))
 

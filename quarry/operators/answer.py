@@ -30,3 +30,15 @@ def retrieve_two_pass(questions: DataFrame, chunks: DataFrame, min_score: float,
                     F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("double").alias("score"),
                     F.lit(NO_HITS).alias("note")))
     return top.unionByName(none)
+
+
+def humanize(cols: list[str], table_name: str):
+    """``According to <file>, k: v, k: v.`` with thousands separators;
+    blank values are skipped; when every value is blank the raw pairs show."""
+    from quarry.functions import exprs as X
+    parts = F.filter(F.array(*[F.when(~X.is_blank(F.col(c)), F.concat(F.lit(c + ": "), X.fmt_num(F.col(c))))
+                               for c in cols]), lambda p: p.isNotNull())
+    raw = F.array_join(F.array(*[F.concat(F.lit(c + ": "), F.coalesce(F.col(c).cast("string"), F.lit("None")))
+                                 for c in cols]), ", ")
+    body = F.when(F.size(parts) > 0, F.array_join(parts, ", ")).otherwise(raw)
+    return F.concat(F.lit(f"According to {table_name}, "), body, F.lit("."))

@@ -45,5 +45,5 @@ def extract_numbers(x: str) -> str:
 
 
 def verify_numbers(text: str, allowed: str) -> str:
-    return (f"list_bool_and(list_transform({allowed}, lambda a: "
-            f"len(list_filter({extract_numbers(text)}, lambda n: abs(a - n) < 0.01)) > 0))")
+    return (f"(len({allowed}) = 0 OR list_bool_and(list_transform({allowed}, lambda a: "
+            f"len(list_filter({extract_numbers(text)}, lambda n: abs(a - n) < 0.01)) > 0)))")
