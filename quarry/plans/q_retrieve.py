@@ -220,7 +220,9 @@ packed AS (SELECT h.qid, 'all' AS scope, (SELECT name FROM manifest) || chr(10)
 """
 
 
-def _packed(spark, d):
+def _hits(spark, d):
+    """Benchmark questions: BM25 top-3 (stage 0) + per-source coverage
+    (stage 1), with the chunks they point at."""
     ch = _chunks_all(spark, d)
     qs = FX.bench_questions(spark, d)
     scores = R.bm25(qs, ch).join(ch.select("chunk_id", "source"), "chunk_id")
@@ -233,6 +235,11 @@ def _packed(spark, d):
     all_hits = (hits.withColumn("stage", F.lit(0)).select(*cols)
                 .unionByName(cov.withColumn("stage", F.lit(1)).select(*cols))
                 .withColumn("scope", F.lit("all")))
+    return all_hits, ch
+
+
+def _packed(spark, d):
+    all_hits, ch = _hits(spark, d)
     manifest = C.file_manifest(ch, by="scope")
     return R.pack_context(all_hits, ch, manifest, by="scope")
 
