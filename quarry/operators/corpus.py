@@ -148,3 +148,62 @@ def section_marked(pages: DataFrame, kind: str = "Page", drop_blank: bool = Fals
         df = df.where(X.strip(F.col("text")) != "")
     return df.withColumn("section", F.concat(
         F.lit(f"\n--- {kind} "), F.col("page_no").cast("string"), F.lit(" ---\n"), F.col("text")))
+
+
+# ---------------------------------------------------------------------------
+# Recursive splitting (paragraph > line > word > character)
+# ---------------------------------------------------------------------------
+
+# Separators tried in order.
+SEPARATORS = ["\n\n", "\n", " ", ""]
+
+
+def _merge(pieces: list[str], sep: str, size: int, overlap: int) -> list[str]:
+    """Greedily pack pieces (each <= size) into windows <= size, carrying a
+    tail of at most ``overlap`` characters into the next window."""
+    out, cur, total = [], [], 0
+    for p in pieces:
+        extra = len(p) + (len(sep) if cur else 0)
+        if cur and total + extra > size:
+            out.append(sep.join(cur))
+            while cur and (total > overlap or total + len(p) + len(sep) > size):
+                total -= len(cur[0]) + (len(sep) if len(cur) > 1 else 0)
+                cur.pop(0)
+        cur.append(p)
+        total += len(p) + (len(sep) if len(cur) > 1 else 0)
+    if cur:
+        out.append(sep.join(cur))
+    return out
+
+
+def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                    seps: list[str] = SEPARATORS) -> list[str]:
+    if text is None:
+        return []
+    if len(text) <= size:
+        return [text] if text.strip() else []
+    sep = next(s for s in seps if s == "" or s in text)
+    rest = seps[seps.index(sep) + 1:]
+    pieces = text.split(sep) if sep else list(text)
+    out, run = [], []
+    for p in pieces:
+        if len(p) <= size:
+            run.append(p)
+            continue
+        if run:
+            out.extend(_merge(run, sep, size, overlap))
+            run = []
+        out.extend(split_recursive(p, size, overlap, rest) if rest else
+                   [p[i:i + size] for i in range(0, len(p), size - overlap)])
+    if run:
+        out.extend(_merge(run, sep, size, overlap))
+    return [c.strip() for c in out if c.strip()]
+
+
+def chunk_recursive(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                    keep: tuple[str, ...] = ("doc_id", "source", "session_id")) -> DataFrame:
+    """Arrow-batched splitter (pandas UDF) + ``posexplode``; narrow."""
+    from quarry.functions.udfs import recursive_splitter
+    split = recursive_splitter(size, overlap)
+    return (docs.select(*keep, F.posexplode(split(F.col("text"))).alias("pos", "text"))
+            .withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("pos"))))

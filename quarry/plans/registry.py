@@ -22,7 +22,7 @@ def load_all():
     # Importing the plan modules fills REGISTRY.
     from quarry.plans import q_corpus, q_retrieve  # noqa: F401
     for mod in ("q_tables", "q_ledger", "q_compare", "q_analyze", "q_multimodal", "q_evals",
-                "q_sources", "q_streaming", "q_conversations"):
+                "q_sources", "q_streaming", "q_conversations", "q_build"):
         try:
             __import__(f"quarry.plans.{mod}")
         except ModuleNotFoundError as e:
