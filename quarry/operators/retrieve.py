@@ -41,7 +41,8 @@ def term_index(chunks: DataFrame, stem: int | None = None) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame, stem: int | None = None) -> tuple[int, float]:
     """(N, avgdl): two scalars, the only values that reach the driver."""
-    r = chunks.select(F.size(term_tokens(F.col("text"), stem)).alias("dl")) \
+    # Stemming keeps the token count, so one regex count serves both forms.
+    r = chunks.select(F.regexp_count(F.lower("text"), F.lit(X.TOKEN_RE)).alias("dl")) \
               .agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     return int(r["n"]), float(r["avgdl"] or 0.0)
 
@@ -66,7 +67,11 @@ def bm25(questions: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.
     occ = (toks.select("chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
            .join(vocab, "term", "left_semi"))
     tf = occ.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-    dfs = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # The (always true) predicate keeps both aggregate columns alive, so this
+    # branch has the same plan as ``tf`` and Spark reuses its shuffle instead
+    # of tokenising the corpus a second time.
+    dfs = (tf.where((F.col("tf") > 0) & (F.col("dl") >= 0)).groupBy("term")
+           .agg(F.count(F.lit(1)).alias("df"))
            .where(F.col("df") <= F.lit(max_df_ratio * n)))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
@@ -200,7 +205,7 @@ def _reduce(df, k, item_id, group):
 
 def mmr(pool: DataFrame, queries: DataFrame, items: DataFrame, k: int, *, lambda_mult: float = 0.5,
         qid: str = "qid", qvec: str = "embedding", item_id: str = "chunk_id",
-        ivec: str = "embedding", keep: list[str] | None = None) -> DataFrame:
+        ivec: str = "embedding", keep: list[str] | None = None, per_call: int = 128) -> DataFrame:
     """From each question's pool pick ``k`` greedily: first the nearest,
     then argmax ``round(l*sim(q,d) - (1-l)*max sim(d, chosen), 6)``, ties by id.
 
@@ -216,26 +221,46 @@ def mmr(pool: DataFrame, queries: DataFrame, items: DataFrame, k: int, *, lambda
     fields += [pool.schema[c] for c in keep]
     schema = T.StructType(fields)
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dist", item_id]).reset_index(drop=True)
-        v = np.stack(pdf["_iv"].to_numpy()).astype(np.float64)
+    out_cols = [f.name for f in fields]
+
+    def pick_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf[item_id].to_numpy()
+        order = np.lexsort((ids, pdf["dist"].to_numpy()))
+        v = np.vstack(pdf["_iv"].to_numpy()).astype(np.float64)[order]
         qv = np.asarray(pdf["_qv"].iloc[0], dtype=np.float64)
+        ids = ids[order]
         vn = np.sqrt((v * v).sum(1))
         sim_q = _round6(v @ qv / (vn * np.sqrt(qv @ qv)))
         sim_dd = _round6((v @ v.T) / np.outer(vn, vn))
-        ids = pdf[item_id].to_numpy()
+        n = len(ids)
+        kk = min(k, n)
         chosen = [0]
-        while len(chosen) < min(k, len(pdf)):
-            rest = np.array([i for i in range(len(pdf)) if i not in chosen])
-            red = sim_dd[np.ix_(rest, chosen)].max(1)
-            score = _round6(lambda_mult * sim_q[rest] - (1 - lambda_mult) * red)
-            order = np.lexsort((ids[rest], -score))
-            chosen.append(int(rest[order[0]]))
-        out = pdf.iloc[chosen][[qid, item_id, "dist", *keep]].copy()
-        out.insert(1, "rank", np.arange(1, len(chosen) + 1, dtype=np.int32))
-        return out[[f.name for f in fields]]
-
-    return df.groupBy(qid).applyInPandas(pick, schema)
+        free = np.ones(n, dtype=bool)
+        free[0] = False
+        red = sim_dd[:, 0].copy()  # max similarity to the chosen set so far
+        while len(chosen) < kk:
+            score = _round6(lambda_mult * sim_q - (1 - lambda_mult) * red)
+            cand = np.nonzero(free)[0]
+            best = cand[np.lexsort((ids[cand], -score[cand]))[0]]
+            chosen.append(int(best))
+            free[best] = False
+            red = np.maximum(red, sim_dd[:, best])
+        sel = order[np.asarray(chosen)]
+        out = pdf.iloc[sel][[qid, item_id, "dist", *keep]].reset_index(drop=True)
+        out["rank"] = np.arange(1, kk + 1, dtype=np.int32)
+        return out[out_cols]
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [pick_one(g) for _q, g in pdf.groupby(qid, sort=False)]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=out_cols)
+
+    # Several questions per Python call (about ``per_call`` each) amortise the
+    # per-group overhead; the bucket count grows with the batch, so a call
+    # never holds more than ~per_call pools.
+    n_q = queries.count()
+    buckets = max(1, -(-n_q // per_call))
+    df = df.withColumn("_b", F.pmod(F.xxhash64(qid), F.lit(buckets)))
+    return df.groupBy("_b").applyInPandas(pick, schema)
 
 
 # ---------------------------------------------------------------------------
