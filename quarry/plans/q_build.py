@@ -35,7 +35,9 @@ def knn_lsh(spark, d):
     return lsh(FX.vector_questions(spark, d), FX.vectors(spark, d), 10).select("qid", "chunk_id", "dist")
 
 
-@query("build_corpus")
+@query("build_corpus", FX.with_(FX.SQL_CORPUS, FX.SQL_CHUNKS) + """
+SELECT session_id, count(DISTINCT source || '::' || sha256(text)) AS added, CAST(0 AS BIGINT) AS re_added
+FROM chunks GROUP BY session_id""")
 def build_corpus(spark, d):
     """Full build into a fresh corpus table, then an idempotent re-run;
     returns per-session counts of (first run, second run) additions."""

@@ -99,7 +99,8 @@ def dump_tables_text(spark, d):
     return dump_tables(FX.cells_table(spark, d))
 
 
-@query("write_corpus")
+@query("write_corpus", FX.with_(FX.SQL_CORPUS, FX.SQL_CHUNKS) +
+       "SELECT session_id, count(*) AS n_chunks FROM chunks GROUP BY session_id")
 def write_corpus(spark, d):
     """Chunks + fingerprints written partitioned by session, read back
     (partition pruning on session_id)."""
@@ -109,7 +110,7 @@ def write_corpus(spark, d):
     return spark.read.parquet(path).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
-@query("payload_store")
+@query("payload_store", None)
 def payload_store(spark, d):
     """Payloads stored as a table; lookups are equi-joins."""
     from quarry.operators import multimodal as MM
@@ -120,10 +121,13 @@ def payload_store(spark, d):
     return wanted.join(store, "doc_id", "left").groupBy("modality").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("write_tidy_ledger")
+@query("write_tidy_ledger", """
+SELECT 'ledger_' || substring(o_orderpriority, 1, 1) || '.xlsx' AS file, CAST(year(o_orderdate) AS VARCHAR) AS sheet,
+       count(*) AS n_rows FROM orders GROUP BY ALL""")
 def write_tidy_ledger(spark, d):
     """Tidy rows of every ledger sheet, one partitioned write."""
     from quarry.operators.ledger_job import tidy_rows, write_tidy
     path = scratch_path(spark, "tidy")
     write_tidy(tidy_rows(FX.cells_table(spark, d)), path)
-    return spark.read.parquet(path).groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("n_rows"))
+    t = spark.read.parquet(path).withColumn("sheet", F.col("sheet").cast("string"))
+    return t.groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("n_rows"))
