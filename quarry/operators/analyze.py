@@ -32,14 +32,18 @@ PUBLISHER_RE = r"(?m)^\s*Publisher\s*:\s*(.+?)\s*$"
 PAGE_MARK_RE = r"--- Page \d+ ---"
 
 
-def _count_in(tokens, words):
-    return F.size(F.filter(tokens, lambda t: t.isin(words)))
+def _count_in(low_text, words):
+    """Occurrences of any of ``words`` as a whole token of the lower-cased
+    text (a token is a maximal letter/digit run). One regex scan, no token
+    array: the look-arounds make a match equal to a full token."""
+    alt = "|".join(sorted(words, key=len, reverse=True))
+    return F.regexp_count(low_text, F.lit(r"(?<![\p{L}\p{N}])(?:" + alt + r")(?![\p{L}\p{N}])"))
 
 
-def language_vote(tokens):
-    """Language with most stop-word hits; ties resolved in STOP_WORDS order;
-    no hit -> NULL."""
-    scores = [(lang, _count_in(tokens, words)) for lang, words in STOP_WORDS.items()]
+def language_vote(counts: dict):
+    """Language with most stop-word hits (``counts``: lang -> count column);
+    ties resolved in STOP_WORDS order; no hit -> NULL."""
+    scores = [(lang, counts[lang]) for lang in STOP_WORDS]
     best = F.greatest(*[s for _l, s in scores])
     out = F.lit(None).cast("string")
     for lang, s in reversed(scores):
@@ -54,9 +58,13 @@ def sentences(text):
 
 def extract_metadata(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
-    toks = X.tokens(t)
+    low = F.lower(t)
+    # counts first, as columns: each regex scan runs once per document
+    cnt = {f"_n_{lang}": _count_in(low, words) for lang, words in STOP_WORDS.items()}
+    cnt["_pos"], cnt["_neg"] = _count_in(low, POSITIVE), _count_in(low, NEGATIVE)
+    docs = docs.select("*", *[c.alias(n) for n, c in cnt.items()])
     lines = F.filter(F.transform(F.split(t, "\n"), lambda l: X.strip(l)), lambda l: l != "")
-    pos, neg = _count_in(toks, POSITIVE), _count_in(toks, NEGATIVE)
+    pos, neg = F.col("_pos"), F.col("_neg")
     marks = F.size(F.regexp_extract_all(t, F.lit(PAGE_MARK_RE), 0))
     author = F.regexp_extract(t, AUTHOR_RE, 1)
     publisher = F.regexp_extract(t, PUBLISHER_RE, 1)
@@ -69,6 +77,7 @@ def extract_metadata(docs: DataFrame, text: str = "text") -> DataFrame:
         F.get(dates, 0).alias("date_created"),
         F.get(dates, F.size(dates) - 1).alias("last_modified_date"),
         F.nullif(publisher, F.lit("")).alias("publisher"),
-        language_vote(toks).alias("language"),
+        language_vote({lang: F.col(f"_n_{lang}") for lang in STOP_WORDS}).alias("language"),
         F.when(marks > 0, marks).alias("page_count"),
-        F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral").alias("sentiment_tone"))
+        F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral").alias("sentiment_tone")) \
+        .drop(*cnt)

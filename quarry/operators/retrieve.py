@@ -359,3 +359,25 @@ def strip_source_tags(c):
     s = F.regexp_replace(s, r"[ \t]{2,}", " ")
     s = F.regexp_replace(s, r" +([.,;:)\n])", "$1")
     return X.strip(s)
+
+
+def hits_with_coverage(scored: DataFrame, k: int, per_source: int, n_sources: int,
+                       order: list, source: str = "source", item_id: str = "chunk_id") -> DataFrame:
+    """R2/U1 in one linear pass over scored (qid, source, item) rows: the
+    overall top-k (stage 0) and, for each source absent from it, that
+    source's best ``per_source`` items (stage 1, ranked by source then
+    order). The overall top-k is a subset of the per-source top-k, so one
+    per-(question, source) rank filter feeds both stages and the scored
+    input is consumed once."""
+    keep = max(k, per_source)
+    ps = top_k(scored, keep, ["qid", source], order, "rs")
+    w_all = Window.partitionBy("qid").orderBy(*order)
+    ps = ps.withColumn("r", F.row_number().over(w_all))
+    present = F.max(F.when(F.col("r") <= k, 1)).over(Window.partitionBy("qid", source))
+    ps = ps.withColumn("present", present)
+    stage0 = F.col("r") <= k
+    cover = (F.col("present").isNull() & (F.col("rs") <= per_source)) if n_sources > 1 else F.lit(False)
+    sel = ps.where(stage0 | cover).withColumn("stage", F.when(stage0, 0).otherwise(1))
+    w_stage = Window.partitionBy("qid", "stage").orderBy(
+        F.when(F.col("stage") == 1, F.col(source)), *order)
+    return sel.withColumn("rank", F.row_number().over(w_stage)).drop("rs", "r", "present")

@@ -15,8 +15,27 @@ from pyspark.sql import functions as F
 from quarry.operators import corpus as C
 
 
+# Text-heavy tables: per-row work is CPU bound (regex, tokenising).
+TEXT_TABLES = {"documents", "pages", "conversations"}
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def _input_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A driver table. A small text table stored as a single row group would
+    be read by one task, so it is spread over the cores (size checked from
+    file metadata; large inputs are read in parallel natively and are never
+    reshuffled here)."""
+    path = f"{d}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name in TEXT_TABLES and _input_bytes(spark, path) <= SMALL_INPUT_BYTES:
+        df = df.repartition(spark.sparkContext.defaultParallelism * 2)
+    return df
 
 
 def corpus(spark, d) -> DataFrame:

@@ -222,20 +222,15 @@ packed AS (SELECT h.qid, 'all' AS scope, (SELECT name FROM manifest) || chr(10)
 
 def _hits(spark, d):
     """Benchmark questions: BM25 top-3 (stage 0) + per-source coverage
-    (stage 1), with the chunks they point at."""
+    (stage 1), with the chunks they point at; BM25 is evaluated once."""
     ch = _chunks_all(spark, d)
     qs = FX.bench_questions(spark, d)
     scores = R.bm25(qs, ch).join(ch.select("chunk_id", "source"), "chunk_id")
     order = [F.col("score").desc(), F.col("chunk_id")]
-    hits = R.top_k(scores, CONTEXT_K, ["qid"], order)
-    best = R.top_k(scores, 2, ["qid", "source"], order, "_r").drop("_r")
     n_src = ch.select("source").distinct().count()
-    cov = R.coverage(hits, best, n_src, order=order)
+    hits = R.hits_with_coverage(scores, CONTEXT_K, 2, n_src, order)
     cols = ["qid", "stage", "rank", "chunk_id", "source"]
-    all_hits = (hits.withColumn("stage", F.lit(0)).select(*cols)
-                .unionByName(cov.withColumn("stage", F.lit(1)).select(*cols))
-                .withColumn("scope", F.lit("all")))
-    return all_hits, ch
+    return hits.select(*cols).withColumn("scope", F.lit("all")), ch
 
 
 def _packed(spark, d):

@@ -65,7 +65,7 @@ def sniff_format(files: DataFrame) -> DataFrame:
     fmt = F.lit("unknown")
     for sig, name in reversed(SIGNATURES):
         fmt = F.when(head.startswith(sig), F.lit(name)).otherwise(fmt)
-    low = F.lower(F.decode(F.substring("content", 1, 64), "UTF-8"))
+    low = F.lower(F.make_valid_utf8(F.substring("content", 1, 64).cast("string")))
     fmt = F.when((fmt == "unknown") & F.ltrim(low).rlike(r"^<(!doctype html|html|table|\?xml)"), "html") \
            .otherwise(fmt)
     ext = X.extension(F.col("path"))
