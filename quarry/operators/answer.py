@@ -11,16 +11,16 @@ from quarry.operators import retrieve as R
 NO_HITS = "I couldn't find relevant information in the documents to answer your question."
 
 
-def retrieve_two_pass(questions: DataFrame, chunks: DataFrame, min_score: float, k: int,
-                      stem: int = 5) -> DataFrame:
+def retrieve_two_pass(questions: DataFrame, index, min_score: float, k: int, stem_index) -> DataFrame:
     """Pass 1 with the question; questions without any hit at or above
     ``min_score`` are rewritten (default rewrite: stem every term to its first
     ``stem`` letters, i.e. prefix matching) and retrieved once more; still
-    nothing -> the fixed apology row. Bounded: at most one rewrite, no loop."""
-    s1 = (R.bm25(questions, chunks).where(F.col("score") >= min_score)
+    nothing -> the fixed apology row. Bounded: at most one rewrite, no loop.
+    ``index`` / ``stem_index`` are the exact-term and stemmed ``TermIndex``."""
+    s1 = (R.bm25_indexed(questions, index).where(F.col("score") >= min_score)
           .withColumn("pass_no", F.lit(1)))
     miss = questions.join(s1.select("qid").distinct(), "qid", "left_anti")
-    s2 = (R.bm25(miss, chunks, stem=stem).where(F.col("score") >= min_score)
+    s2 = (R.bm25_indexed(miss, stem_index).where(F.col("score") >= min_score)
           .withColumn("pass_no", F.lit(2)))
     hits = s1.unionByName(s2)
     top = R.top_k(hits, k, ["qid"], [F.col("score").desc(), F.col("chunk_id")]) \

@@ -81,6 +81,44 @@ def bm25(questions: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.
             .agg(F.round(F.sum("w"), 6).alias("score")))
 
 
+class TermIndex:
+    """A stored inverted index: postings ``(term, chunk_id, tf, dl)``,
+    document frequencies ``(term, df)`` and the corpus scalars. Built once at
+    ingest (``build_term_index``) and kept as tables (bucketed by term in a
+    warehouse), so answering a batch of questions never re-tokenises the
+    corpus."""
+
+    def __init__(self, postings: DataFrame, dfs: DataFrame, n: int, avgdl: float, stem: int | None):
+        self.postings, self.dfs, self.n, self.avgdl, self.stem = postings, dfs, n, avgdl, stem
+
+
+def build_term_index(chunks: DataFrame, stem: int | None = None) -> TermIndex:
+    toks = chunks.select("chunk_id", term_tokens(F.col("text"), stem).alias("toks"))
+    postings = (toks.select("chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+                .groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    dfs = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n, avgdl = corpus_stats(chunks, stem)
+    return TermIndex(postings, dfs, n, avgdl, stem)
+
+
+def bm25_indexed(questions: DataFrame, index: TermIndex, k1: float = 1.2, b: float = 0.75,
+                 max_df_ratio: float = 0.5, text_col: str = "question") -> DataFrame:
+    """BM25 (same contract as ``bm25``) over a stored ``TermIndex``: the
+    question vocabulary selects its document frequencies (a small table,
+    broadcast by AQE on its measured size) and then its postings."""
+    n, avgdl = index.n, index.avgdl
+    qt = questions.select("qid", F.explode(F.array_distinct(term_tokens(F.col(text_col), index.stem)))
+                          .alias("term"))
+    dfs = (index.dfs.join(qt.select("term").distinct(), "term", "left_semi")
+           .where(F.col("df") <= F.lit(max_df_ratio * n)))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
+    part = idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
+    weighted = index.postings.join(dfs, "term").select("chunk_id", "term", part.alias("w"))
+    return (qt.join(weighted, "term").groupBy("qid", "chunk_id")
+            .agg(F.round(F.sum("w"), 6).alias("score")))
+
+
 def top_k(df: DataFrame, k: int, part: list[str], order: list, rank_col: str = "rank") -> DataFrame:
     """Rank filter; Catalyst plans a partial WindowGroupLimit before the
     shuffle so at most k rows per key and input partition move."""
@@ -88,8 +126,9 @@ def top_k(df: DataFrame, k: int, part: list[str], order: list, rank_col: str = "
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def bm25_top(questions: DataFrame, chunks: DataFrame, k: int, **kw) -> DataFrame:
-    s = bm25(questions, chunks, **kw)
+def bm25_top(questions: DataFrame, chunks, k: int, **kw) -> DataFrame:
+    """Top-k BM25 per question over chunks or a stored ``TermIndex``."""
+    s = bm25_indexed(questions, chunks, **kw) if isinstance(chunks, TermIndex) else bm25(questions, chunks, **kw)
     return top_k(s, k, ["qid"], [F.col("score").desc(), F.col("chunk_id")])
 
 

@@ -258,6 +258,27 @@ def cells_table(spark, d) -> DataFrame:
     return staged(spark, d, "cells", cells)
 
 
+def corpus_chunks(spark, d) -> DataFrame:
+    """The stored corpus (chunks of every document), as retrieval reads it."""
+    return staged(spark, d, "chunks", chunks)
+
+
+_INDEX: dict = {}
+
+
+def term_index(spark, d, stem: int | None = None):
+    """The stored inverted index of the corpus (postings + df tables
+    checkpointed once per session)."""
+    from quarry.operators.retrieve import TermIndex, build_term_index
+    key = (id(spark), d, stem)
+    if key not in _INDEX:
+        idx = build_term_index(corpus_chunks(spark, d), stem)
+        post = idx.postings.checkpoint(eager=True)
+        _INDEX[key] = TermIndex(post, post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                                .checkpoint(eager=True), idx.n, idx.avgdl, stem)
+    return _INDEX[key]
+
+
 def _sql_arr(*xs):
     return "[" + ", ".join("NULL::VARCHAR" if x is None else x for x in xs) + "]"
 

@@ -33,9 +33,9 @@ answers AS (SELECT qid, string_agg(s, chr(10) ORDER BY rank, pos) AS answer FROM
 
 
 def _answers(spark, d):
-    ch = FX.chunks(spark, d)
+    ch = FX.corpus_chunks(spark, d)
     qs = FX.bench_questions(spark, d)
-    top = R.bm25_top(qs, ch, QR.CONTEXT_K).select("qid", "chunk_id", "rank")
+    top = R.bm25_top(qs, FX.term_index(spark, d), QR.CONTEXT_K).select("qid", "chunk_id", "rank")
     return EV.extractive_answer(qs, top, ch, SENT_SPLIT), top, ch, qs
 
 

@@ -27,7 +27,7 @@ _BM25 = W(FX.SQL_CORPUS, FX.SQL_CHUNKS, FX.SQL_BENCH_Q, FX.bm25_sql("bq"))
 
 
 def _chunks_all(spark, d):
-    return FX.chunks(spark, d).withColumn("scope", F.lit("all"))
+    return FX.corpus_chunks(spark, d).withColumn("scope", F.lit("all"))
 
 
 @query("bm25_candidates", _BM25 + f"""
@@ -35,7 +35,7 @@ SELECT qid, rank, chunk_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM scores)
 WHERE rank <= {BM25_K}""")
 def bm25_candidates(spark, d):
-    return R.bm25_top(FX.bench_questions(spark, d), FX.chunks(spark, d), BM25_K) \
+    return R.bm25_top(FX.bench_questions(spark, d), FX.term_index(spark, d), BM25_K) \
             .select("qid", "rank", "chunk_id", "score")
 
 
@@ -45,8 +45,8 @@ SELECT s.qid, s.rank, s.chunk_id, c.source, s.score FROM (
 JOIN chunks c ON c.chunk_id = s.chunk_id
 WHERE s.rank <= {CONTEXT_K}""")
 def topk_per_question(spark, d):
-    ch = FX.chunks(spark, d)
-    hits = R.bm25_top(FX.bench_questions(spark, d), ch, CONTEXT_K)
+    ch = FX.corpus_chunks(spark, d)
+    hits = R.bm25_top(FX.bench_questions(spark, d), FX.term_index(spark, d), CONTEXT_K)
     return hits.join(ch.select("chunk_id", "source"), "chunk_id") \
                .select("qid", "rank", "chunk_id", "source", "score")
 
@@ -225,7 +225,7 @@ def _hits(spark, d):
     (stage 1), with the chunks they point at; BM25 is evaluated once."""
     ch = _chunks_all(spark, d)
     qs = FX.bench_questions(spark, d)
-    scores = R.bm25(qs, ch).join(ch.select("chunk_id", "source"), "chunk_id")
+    scores = R.bm25_indexed(qs, FX.term_index(spark, d)).join(ch.select("chunk_id", "source"), "chunk_id")
     order = [F.col("score").desc(), F.col("chunk_id")]
     n_src = ch.select("source").distinct().count()
     hits = R.hits_with_coverage(scores, CONTEXT_K, 2, n_src, order)
@@ -265,9 +265,9 @@ WHERE rank <= {RERANK_N}""")
 def rerank_top_n(spark, d):
     """Candidates from a stemmed first stage, re-scored by exact-term
     BM25 (the pluggable scorer), keep 6."""
-    ch, qs = FX.chunks(spark, d), FX.bench_questions(spark, d)
-    pool = R.bm25_top(qs, ch, RERANK_POOL, stem=STEM).select("qid", "chunk_id")
-    exact = R.bm25(qs, ch)
+    qs = FX.bench_questions(spark, d)
+    pool = R.bm25_top(qs, FX.term_index(spark, d, STEM), RERANK_POOL).select("qid", "chunk_id")
+    exact = R.bm25_indexed(qs, FX.term_index(spark, d))
     rescored = pool.join(exact, ["qid", "chunk_id"], "left") \
                    .withColumn("score", F.coalesce("score", F.lit(0.0)))
     return R.top_k(rescored, RERANK_N, ["qid"], [F.col("score").desc(), F.col("chunk_id")]) \
@@ -290,5 +290,16 @@ SELECT qid, 2 AS pass_no, 0 AS rank, NULL AS chunk_id, NULL AS score,
 FROM bq WHERE qid NOT IN (SELECT qid FROM hits)""".replace("\n, p1", ",\np1", 1))
 def retrieve_two_pass(spark, d):
     from quarry.operators.answer import retrieve_two_pass as two_pass
-    return two_pass(FX.bench_questions(spark, d), FX.chunks(spark, d), TWO_PASS_MIN_SCORE,
-                    TWO_PASS_K, STEM)
+    return two_pass(FX.bench_questions(spark, d), FX.term_index(spark, d), TWO_PASS_MIN_SCORE,
+                    TWO_PASS_K, FX.term_index(spark, d, STEM))
+
+
+@query("build_term_index", W(FX.SQL_CORPUS, FX.SQL_CHUNKS) + r"""
+SELECT term, count(DISTINCT chunk_id) AS df FROM (
+  SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM chunks)
+GROUP BY term""")
+def build_term_index(spark, d):
+    """J9 ingest side: the inverted index of the whole corpus (postings
+    aggregated per (term, chunk), document frequency per term), built fresh
+    from the documents; retrieval queries read the stored copy."""
+    return R.build_term_index(FX.chunks(spark, d)).dfs
