@@ -114,21 +114,20 @@ def assemble_records(cells: DataFrame, header: DataFrame) -> DataFrame:
     is_m = marker_of().isin(MARKERS)
     b = b.withColumn("_m", F.when(is_m, F.col("row_idx")))
     b = skew.carry_forward(b, SHEET, "row_idx", "_m", "island").where(F.col("island").isNotNull())
-    heads = b.where(F.col("_m").isNotNull()).select(*SHEET, "island", F.col("cells").alias("head"))
-    det = (b.where(F.col("_m").isNull())
-           .select(*SHEET, "island", "row_idx", F.posexplode("cells").alias("j", "c"))
-           .select(*SHEET, "island", "row_idx", "j", X.strip(F.col("c")).alias("t"))
-           .where((F.col("t") != "") & X.parse_amount(F.col("t")).isNull())
-           .groupBy(*SHEET, "island").agg(F.array_join(F.array_distinct(F.transform(
-               F.array_sort(F.collect_list(F.struct("row_idx", "j", "t"))), lambda s: s["t"])), "; ")
-               .alias("details")))
-    rec = heads.join(det, SHEET + ["island"], "left")
+    texts = F.filter(F.transform(F.filter("cells", lambda c: c.isNotNull()), lambda c: X.strip(c)),
+                     lambda t: (t != "") & X.parse_amount(t).isNull())
+    # one shuffle: each record's marker row and its detail rows meet in one
+    # group (a record is one transaction: a handful of rows)
+    rec = b.groupBy(*SHEET, "island").agg(
+        F.max_by(F.when(F.col("_m").isNotNull(), F.col("cells")), F.col("_m").isNotNull()).alias("head"),
+        F.array_sort(F.collect_list(F.when(F.col("_m").isNull(), F.struct("row_idx", texts.alias("t")))))
+        .alias("rest"))
     h = F.col("head")
     typ = X.strip(F.get(h, 1))
     amount = X.largest_number(h)
     acc = F.get(h, 2)
     vch = F.get(h, 3)
-    details = F.coalesce(F.col("details"), F.lit(""))
+    details = F.array_join(F.array_distinct(F.flatten(F.transform("rest", lambda r: r["t"]))), "; ")
     return rec.select(
         *SHEET, "island",
         F.date_format(X.coerce_date(F.get(h, 0)), "yyyy-MM-dd").alias("date"),

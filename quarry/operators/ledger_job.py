@@ -35,9 +35,10 @@ def clean_sums(cells: DataFrame) -> DataFrame:
 
 def tidy_summary(cells: DataFrame) -> DataFrame:
     """Per sheet: kind, row count, Debit / Credit totals (ledger sheets) and
-    the title line above the header."""
-    h = L.ledger_header(cells)
-    kind = L.ledger_kind(cells, h)
+    the title line above the header. The two per-sheet tables (header row,
+    kind) are small and feed four branches, so they are materialised once."""
+    h = L.ledger_header(cells).checkpoint(eager=True)
+    kind = L.ledger_kind(cells, h).checkpoint(eager=True)
     tally = L.control_totals(L.assemble_records(
         cells.join(kind.where(F.col("kind") == "tally").select(*L.SHEET), L.SHEET, "left_semi"), h))
     passed = (L.clean_rows(cells, h).join(kind.where(F.col("kind") == "clean").select(*L.SHEET),

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK = 1 << 20
 
 
 def _blocked(df: DataFrame, order: str, width: int) -> DataFrame:
@@ -56,9 +56,10 @@ def carry_forward(df: DataFrame, part: list[str], order: str, value: str, out: s
     """Last non-NULL ``value`` at or before each row within ``part``
     (gaps-and-islands: the island a row belongs to)."""
     b = _blocked(df, order, width)
-    last_in_blk = (b.where(F.col(value).isNotNull()).groupBy(*part, "_blk")
-                   .agg(F.max_by(value, order).alias("_last")))
-    blocks = b.select(*part, "_blk").distinct().join(last_in_blk, part + ["_blk"], "left")
+    # one aggregation gives every block and its last non-NULL value (NULL
+    # order keys are ignored by max_by)
+    blocks = b.groupBy(*part, "_blk").agg(
+        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
     w_prev = (Window.partitionBy(*part).orderBy("_blk")
               .rowsBetween(Window.unboundedPreceding, -1))
     carry = blocks.withColumn("_carry", F.last("_last", ignorenulls=True).over(w_prev)) \
