@@ -91,7 +91,22 @@ def linearize_rows(spark, d):
     return c.select("c_custkey", X.linearize(arr, "\t").alias("line"))
 
 
-@query("dump_tables_text")
+def _dump_sql():
+    from quarry.plans.q_ledger import _SQL_NAMES, SQL_DETECT, SQL_FIRST30
+    return FX.with_(FX.SQL_CELLS, SQL_FIRST30, SQL_DETECT, _SQL_NAMES) + """,
+cols AS (SELECT file, sheet, string_agg(name, ', ' ORDER BY j) AS cols FROM names GROUP BY file, sheet),
+body AS (SELECT c.file, c.sheet, c.row_idx, c.cells FROM cells c JOIN dhdr h ON c.file = h.file
+         AND c.sheet = h.sheet WHERE c.row_idx > h.header_idx),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, sheet ORDER BY row_idx) AS r FROM body)
+        WHERE r <= 1000),
+lines AS (SELECT file, sheet, string_agg(array_to_string(list_transform(cells, lambda v: coalesce(v, '')), chr(9)),
+          chr(10) ORDER BY row_idx) AS rows FROM top GROUP BY file, sheet)
+SELECT n.file, n.sheet, n.file || '::' || n.sheet || chr(10) || '# Columns: ' || n.cols || chr(10)
+       || coalesce(l.rows, '') AS text
+FROM cols n LEFT JOIN lines l ON n.file = l.file AND n.sheet = l.sheet""".replace("\n,\ncols AS", ",\ncols AS", 1)
+
+
+@query("dump_tables_text", _dump_sql())
 def dump_tables_text(spark, d):
     """Per sheet a text dump: name line, ``# Columns: ..``, then the
     first 1000 body rows tab-joined (ordered by row index)."""
@@ -110,7 +125,13 @@ def write_corpus(spark, d):
     return spark.read.parquet(path).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
-@query("payload_store", None)
+def _payload_sql():
+    from quarry.plans.q_multimodal import SQL_EL
+    return (FX.with_(SQL_EL) + "SELECT modality, count(*) AS n FROM pl WHERE modality = 'text' "
+            "GROUP BY modality")
+
+
+@query("payload_store", _payload_sql())
 def payload_store(spark, d):
     """Payloads stored as a table; lookups are equi-joins."""
     from quarry.operators import multimodal as MM
