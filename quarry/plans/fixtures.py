@@ -21,9 +21,10 @@ SMALL_INPUT_BYTES = 1 << 30
 
 
 def _input_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return int(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+    """Total file size from the file listing (``binaryFile`` with only the
+    ``length`` column selected reads no file content)."""
+    r = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first()
+    return int(r["n"] or 0)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -16,17 +16,15 @@ COLS = ["conv_id", "turn", "role", "text"]
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    """Committed buffer versions (folders ``v=<epoch>``), from the file
+    listing only; data files appear there only when a write job commits."""
+    try:
+        marks = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+                 .option("recursiveFileLookup", True).load(root)
+                 .select(F.regexp_extract("path", r"/v=(\d+)/[^/]+$", 1).alias("v")).distinct().collect())
+    except Exception:  # noqa: BLE001 - no buffer written yet
         return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+    return sorted(int(r["v"]) for r in marks if r["v"])
 
 
 def latest_buffer(spark: SparkSession, root: str) -> DataFrame | None:
