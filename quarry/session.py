@@ -35,6 +35,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -56,3 +57,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for staged tables under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/quarry-stage/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in every Python worker (its pandas UDFs and
+    mapInPandas functions refer to package code): zip the package once per
+    application and register it with ``addPyFile``."""
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import quarry
+    pkg_dir = os.path.dirname(os.path.abspath(quarry.__file__))
+    base = tempfile.mkdtemp(prefix="quarry-pkg-")
+    zip_path = shutil.make_archive(os.path.join(base, "quarry"), "zip",
+                                   root_dir=os.path.dirname(pkg_dir), base_dir="quarry")
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(key)
