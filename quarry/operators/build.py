@@ -9,7 +9,6 @@ computed for new chunks.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
 from quarry.operators.infer import embed_chunks

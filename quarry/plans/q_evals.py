@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import exprs as X
 from quarry.operators import evals as EV
 from quarry.operators import retrieve as R
 from quarry.plans import fixtures as FX

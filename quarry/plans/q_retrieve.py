@@ -138,7 +138,7 @@ def mmr_sql(k: int, fetch_k: int, pool_from: str = "ranked") -> str:
 def mmr_rerank(spark, d):
     v, q = FX.vectors(spark, d), FX.vector_questions(spark, d)
     pool = R.knn(q, v, MMR_FETCH)
-    return R.mmr(pool, q.withColumnRenamed("qid", "qid"), v, MMR_K).select("qid", "rank", "chunk_id", "dist")
+    return R.mmr(pool, q, v, MMR_K).select("qid", "rank", "chunk_id", "dist")
 
 
 def _std_k(total: int, base_k: int = STD_BASE_K) -> tuple[int, int]:

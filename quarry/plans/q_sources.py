@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import exprs as X
-from quarry.operators import ledger as L
 from quarry.plans import fixtures as FX
 from quarry.plans.registry import query
 from quarry.session import scratch_path
