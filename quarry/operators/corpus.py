@@ -96,17 +96,11 @@ def list_sessions(corpus: DataFrame) -> DataFrame:
 def keep_latest_sessions(corpus: DataFrame, keep: int = 3) -> DataFrame:
     """Rows of the ``keep`` newest sessions (session names sort by time).
 
-    The distinct session list is tiny; ranking it needs no wide window over
-    the corpus, and the semi-join keeps the corpus scan partition-pruned."""
-    ranked = (corpus.select("session_id").distinct()
-              .withColumn("r", F.dense_rank().over(_desc_window("session_id")))
-              .where(F.col("r") <= keep).select("session_id"))
-    return corpus.join(ranked, "session_id", "left_semi")
-
-
-def _desc_window(col):
-    from pyspark.sql import Window
-    return Window.orderBy(F.col(col).desc())
+    The newest sessions come from a top-k over the distinct session list
+    (per-partition limit, then merge; no single-partition window), and the
+    semi-join keeps the corpus scan partition-pruned."""
+    newest = corpus.select("session_id").distinct().orderBy(F.col("session_id").desc()).limit(keep)
+    return corpus.join(newest, "session_id", "left_semi")
 
 
 def clean_filename(c):

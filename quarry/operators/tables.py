@@ -99,9 +99,11 @@ def head_tail(df: DataFrame, order: list[str], head: int = 4, tail: int = 3) ->
     return h.unionByName(t)
 
 
-def column_profile(df: DataFrame, name: str, max_cols: int = 30) -> DataFrame:
+def column_profile(df: DataFrame, name: str, max_cols: int = 30, approx: bool = False) -> DataFrame:
     """Per column (first ``max_cols``): type, non-null count, distinct
-    count, numeric min/max. One unpivot + one grouped aggregation."""
+    count, numeric min/max. One unpivot + one grouped aggregation; with
+    ``approx`` the distinct count is a HyperLogLog sketch (no per-value
+    shuffle), which is what a profile of a very large table should use."""
     fields = df.schema.fields[:max_cols]
     numeric = (T.NumericType,)
     long = df.select(F.explode(F.array(*[
@@ -112,7 +114,8 @@ def column_profile(df: DataFrame, name: str, max_cols: int = 30) -> DataFrame:
                   else F.lit(None).cast("double")).alias("x"))
         for i, f in enumerate(fields)])).alias("c")).select("c.*")
     return (long.groupBy("ord", "column", "type")
-            .agg(F.count("s").alias("n_non_null"), F.countDistinct("s").alias("n_distinct"),
+            .agg(F.count("s").alias("n_non_null"),
+                 (F.approx_count_distinct("s") if approx else F.countDistinct("s")).alias("n_distinct"),
                  F.min("x").alias("min_num"), F.max("x").alias("max_num"))
             .withColumn("table", F.lit(name)))
 

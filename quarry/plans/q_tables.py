@@ -245,8 +245,8 @@ def resolve_table_name(spark, d):
     names = (o.select(F.concat(F.lit("ledger_"), F.substring("o_orderpriority", 1, 1), F.lit(".xlsx::"),
                                F.year("o_orderdate").cast("string")).alias("name"))
              .union(c.select(F.concat(F.lit("customers.xlsx::"), F.col("c_mktsegment")).alias("name"))).distinct())
-    from pyspark.sql import Window
-    catalog = names.withColumn("ordinal", F.row_number().over(Window.orderBy("name")))
+    # the sheets load in name order, so the name itself is the load-order key
+    catalog = names.withColumn("ordinal", F.col("name"))
     req = (o.select(F.upper(F.substring("o_orderpriority", 3, 100)).alias("request"))
            .union(o.select(F.concat(F.lit("ledger_"), F.substring("o_orderpriority", 1, 1)).alias("request")))
            .union(c.select(F.lower("c_mktsegment").alias("request")))
