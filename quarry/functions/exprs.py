@@ -57,6 +57,7 @@ def fmt_num(x) -> Column:
     Non-finite values keep their string form."""
     raw = _c(x)
     x = raw.try_cast("double")
+    x = F.when(x == 0, F.lit(0.0)).otherwise(x)  # -0.0 prints as 0, like int(-0.0)
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     return (F.when(~finite, raw.cast("string"))
             .when(x == F.floor(x), F.format_number(x, 0))
