@@ -136,8 +136,9 @@ def matching_statistics(index: FmIndex, text: np.ndarray, ends: np.ndarray, thre
     for k in range(1, threshold):
         if not len(live):
             break
-        a, b = index.extend(text[ends[live] - k], low[live], high[live])
-        go = b - a >= 2
+        c = text[ends[live] - k]
+        a, b = index.extend(c, low[live], high[live])
+        go = (b - a >= 2) & (c > 0)  # a match ends where its part of the text begins
         live = live[go]
         low[live], high[live] = a[go], b[go]
         length[live] = k + 1
