@@ -16,6 +16,7 @@ checksums.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import stage, text_bytes
 
 END_ID = 2
-ROOM = 300_000          # stretches remembered in a worker
+ROOM = 400_000          # stretches remembered in a worker
 PIECE_BYTES = 4 << 20   # of text looked up at once
 ORC = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "2000", "orc.create.index": "true",
        "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
@@ -45,7 +46,8 @@ class StretchEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, array] = {}
+        (self.mark,) = self.whole("|")
         probe = "A b\tc'd  e\nf 12 café́ ́x\r\x0b\x0c g<|endoftext|> h"
         if self.encode([probe.encode()])[0] != self.whole(probe):
             raise ValueError("this tokenizer joins text across white space")
@@ -53,20 +55,45 @@ class StretchEncoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def fresh(self, words: list[bytes]) -> Iterator[array]:
+        """Ids of each word: several hundred go through the library as one text,
+        with a mark between them that none of them holds."""
+        plain = [w.decode() for w in words if b"|" not in w]
+        ids: dict[str, array] = {}
+        for lo in range(0, len(plain), 500):
+            part = plain[lo:lo + 500]
+            flat = np.array(self.tokenizer.encode_batch_fast([" | ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.flatnonzero(flat == self.mark)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the mark between words did not come through")
+            for w, i, j in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(flat)], strict=True):
+                ids[w] = array("i", flat[i:j].tobytes())
+        for w in words:
+            yield ids[w.decode()] if b"|" not in w else array("i", self.whole(w.decode()))
+
     def encode(self, texts: list[bytes]) -> list[list[int]]:
         words = [t.split() for t in texts]
         known = self.known
         new = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(new) > ROOM:
-            known = self.known = {}
-            new = list({w for ws in words for w in ws})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = e.ids
+        ids = dict(zip(new, self.fresh(new), strict=True))
+        if len(known) < ROOM:  # the first words met are the frequent ones; they stay
+            known.update(ids)
+        else:
+            known = _Both(known, ids)
         return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in words]
 
 
+class _Both(dict):
+    """Words of this call first, then those that are kept."""
+
+    def __init__(self, kept: dict, new: dict):
+        super().__init__(new)
+        self.kept = kept
+
+    def __missing__(self, word):
+        return self.kept[word]
+
+
 def encoder(path: str) -> StretchEncoder:
     """One encoder in each worker, kept between tasks."""
     import os
