@@ -96,14 +96,16 @@ def largest_number(arr) -> Column:
     return F.array_max(vals)
 
 
-# Accepted date layouts, tried in order (fixed values).
-DATE_FORMATS = ["yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd-MMM-yyyy"]
+# Accepted date layouts, tried in order: month first, then day first (fixed values).
+DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "M-d-yyyy", "M/d/yyyy", "d-M-yyyy", "d/M/yyyy", "d-MMM-yyyy", "d MMM yyyy",
+                "MMM d yyyy", "yyyy-M-d H:m:s"]
+DATE_RE = r"^[0-9A-Za-z]{1,4}[-/ ][0-9A-Za-z]{1,3}[-/ ]\d{1,4}( \d{1,2}:\d{2}:\d{2})?$"
 
 
 def coerce_date(c, min_year: int | None = None) -> Column:
     """F8: text -> DATE, NULL when unparseable (or before ``min_year``)."""
     s = strip(_c(c).cast("string"))
-    guarded = F.when(s.rlike(r"^\d{1,4}[-/][0-9A-Za-z]{1,3}[-/]\d{1,4}$"), s)
+    guarded = F.when(s.rlike(DATE_RE), s)
     d = F.coalesce(*[F.to_date(F.try_to_timestamp(guarded, F.lit(f))) for f in DATE_FORMATS])
     if min_year is not None:
         d = F.when(F.year(d) >= min_year, d)

@@ -12,15 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import corpus as C
 from quarry.operators.infer import embed_chunks
+from quarry.session import read_if_there
 
 CORPUS_COLS = ["chunk_id", "doc_id", "source", "pos", "text", "fp", "embedding", "session_id"]
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select("session_id", "fp")
-    except Exception:  # noqa: BLE001 - first build: no table yet
-        return None
+    table = read_if_there(spark, path)
+    return None if table is None else table.select("session_id", "fp")
 
 
 def build_corpus(spark: SparkSession, docs: DataFrame, path: str, recursive: bool = False,

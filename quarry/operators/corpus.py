@@ -31,7 +31,7 @@ def chunk_fixed(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OV
 
 
 def chunk_id(doc_id, pos):
-    return F.concat(doc_id.cast("string"), F.lit("-"), F.lpad(pos.cast("string"), 5, "0"))
+    return F.concat(doc_id.cast("string"), F.lit("-"), F.lpad(pos.cast("string"), 19, "0"))
 
 
 def fingerprint(df: DataFrame, text: str = "text", source: str | None = "source",
@@ -39,7 +39,8 @@ def fingerprint(df: DataFrame, text: str = "text", source: str | None = "source"
     """``src::row_id`` when both exist, else ``src::sha256(text)``, else
     ``sha256(text)``."""
     h = F.sha2(F.col(text), 256)
-    src = F.col(source) if source else F.lit(None).cast("string")
+    # a re-upload gets another suffix: the cleaned name is what identifies a file
+    src = clean_filename(X.basename(source)) if source else F.lit(None).cast("string")
     rid = F.col(row_id).cast("string") if row_id else F.lit(None).cast("string")
     fp = F.coalesce(F.concat(src, F.lit("::"), rid),
                     F.concat(F.coalesce(F.concat(src, F.lit("::")), F.lit("")), h))

@@ -14,9 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# ---------------------------------------------------------------------------
 # Embeddings
-# ---------------------------------------------------------------------------
 
 
 def embed_chunks(chunks: DataFrame, num_features: int = 1 << 12, text: str = "text",
@@ -48,9 +46,7 @@ def embed_chunks(chunks: DataFrame, num_features: int = 1 << 12, text: str = "te
     return out.withColumn("embedding", vector_to_array("_vec", "float32")).drop("_tok", "_tf", "_idf", "_vec")
 
 
-# ---------------------------------------------------------------------------
 # Cached batch inference
-# ---------------------------------------------------------------------------
 
 
 def default_generate(prompts: list[str]) -> list[str]:
@@ -84,18 +80,19 @@ def batch_infer_cached(prompts: DataFrame, cache: DataFrame | None, model: str,
     return keyed.join(known, "key", "left"), fresh
 
 
-# ---------------------------------------------------------------------------
 # Output validation
-# ---------------------------------------------------------------------------
 
 
 def validate_json(df: DataFrame, raw: str, schema: str) -> DataFrame:
-    """Parse model output against a fixed schema; rows that do not parse
-    (or miss every field) are flagged ``valid = false`` (quarantine) instead
-    of failing the job."""
-    parsed = F.from_json(F.col(raw), schema, {"mode": "PERMISSIVE"})
-    fields = [f.split()[0] for f in schema.split(", ")]
-    any_field = F.lit(False)
-    for f in fields:
-        any_field = any_field | parsed[f].isNotNull()
-    return df.select("*", parsed.alias("record"), (parsed.isNotNull() & any_field).alias("valid"))
+    """Parse model output against a fixed schema; rows that do not parse, miss a
+    field or hold a value of another type are flagged ``valid = false``
+    (quarantine) instead of failing the job."""
+    struct = T.StructType.fromDDL(schema)
+    bad = "_corrupt_record"
+    parsed = F.from_json(F.col(raw), T.StructType([*struct.fields, T.StructField(bad, T.StringType())]),
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    whole = parsed.isNotNull() & parsed[bad].isNull()
+    for f in struct.fieldNames():
+        whole = whole & parsed[f].isNotNull()
+    record = F.when(parsed.isNotNull(), F.struct(*[parsed[f].alias(f) for f in struct.fieldNames()]))
+    return df.select("*", record.alias("record"), F.coalesce(whole, F.lit(False)).alias("valid"))

@@ -62,17 +62,17 @@ def detect_header(cells: DataFrame, scan: int = 25) -> DataFrame:
 
 
 def column_names(cells: DataFrame, header: DataFrame) -> DataFrame:
-    """Header cells -> names; blank -> ``col{j}``; repeats get ``_1``,
-    ``_2`` in column order. Output (file, sheet, j, name)."""
+    """Header cells -> names; blank -> ``col{j}``; a repeat gets
+    the first of ``_1``, ``_2``, ... that is still free, in column order. Output (file, sheet, j, name)."""
     h = cells.join(header, SHEET).where(F.col("row_idx") == F.col("header_idx"))
-    raw = h.select(*SHEET, F.posexplode("cells").alias("j", "c"))
-    base = F.when(X.is_blank(F.col("c")), F.concat(F.lit("col"), F.col("j").cast("string"))) \
-            .otherwise(X.strip(F.col("c")))
-    raw = raw.withColumn("base", base)
-    occ = F.row_number().over(Window.partitionBy(*SHEET, "base").orderBy("j")) - 1
-    return raw.withColumn("occ", occ).select(
-        *SHEET, "j", F.when(F.col("occ") == 0, F.col("base"))
-        .otherwise(F.concat(F.col("base"), F.lit("_"), F.col("occ").cast("string"))).alias("name"))
+    base = F.transform("cells", lambda c, j: F.when(X.is_blank(c), F.concat(F.lit("col"), j.cast("string"))).otherwise(X.strip(c)))
+
+    def free(taken, b):
+        tries = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda k: F.concat(b, F.lit("_"), k.cast("string")))
+        first = F.element_at(F.filter(tries, lambda t: ~F.array_contains(taken, t)), 1)
+        return F.when(F.array_contains(taken, b), first).otherwise(b)
+    names = F.aggregate(base, F.array().cast("array<string>"), lambda taken, b: F.concat(taken, F.array(free(taken, b))))
+    return h.select(*SHEET, F.posexplode(names).alias("j", "name"))
 
 
 def title_parts(cells: DataFrame, header: DataFrame, n: int = 6) -> DataFrame:

@@ -47,14 +47,18 @@ def corpus_stats(chunks: DataFrame, stem: int | None = None) -> tuple[int, float
     return int(r["n"]), float(r["avgdl"] or 0.0)
 
 
+def _kept(max_df_ratio: float | None, n: int):
+    return F.lit(True) if max_df_ratio is None else F.col("df") <= F.lit(max_df_ratio * n)
+
+
 def bm25(questions: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75,
-         max_df_ratio: float = 0.5, stem: int | None = None, text_col: str = "question") -> DataFrame:
+         max_df_ratio: float | None = None, stem: int | None = None, text_col: str = "question") -> DataFrame:
     """All (qid, chunk_id, score) with score > 0.
 
     ``score = sum over distinct query terms t present in the chunk of
     ln(1 + (N - df + .5)/(df + .5)) * tf (k1+1) / (tf + k1 (1 - b + b dl/avgdl))``
-    rounded to 6 places; terms in more than ``max_df_ratio`` of the chunks are
-    dropped (they carry almost no weight and are the hot keys of the join).
+    rounded to 6 places. Every term counts, common ones too, unless the caller
+    sets ``max_df_ratio``; AQE splits the join partitions that hot terms fill.
 
     Plan: query terms are distinct per question; the chunk token stream is
     semi-joined to the query vocabulary *before* the (chunk, term) aggregation,
@@ -72,7 +76,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.
     # of tokenising the corpus a second time.
     dfs = (tf.where((F.col("tf") > 0) & (F.col("dl") >= 0)).groupBy("term")
            .agg(F.count(F.lit(1)).alias("df"))
-           .where(F.col("df") <= F.lit(max_df_ratio * n)))
+           .where(_kept(max_df_ratio, n)))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
     part = idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
@@ -102,7 +106,7 @@ def build_term_index(chunks: DataFrame, stem: int | None = None) -> TermIndex:
 
 
 def bm25_indexed(questions: DataFrame, index: TermIndex, k1: float = 1.2, b: float = 0.75,
-                 max_df_ratio: float = 0.5, text_col: str = "question") -> DataFrame:
+                 max_df_ratio: float | None = None, text_col: str = "question") -> DataFrame:
     """BM25 (same contract as ``bm25``) over a stored ``TermIndex``: the
     question vocabulary selects its document frequencies (a small table,
     broadcast by AQE on its measured size) and then its postings."""
@@ -110,7 +114,7 @@ def bm25_indexed(questions: DataFrame, index: TermIndex, k1: float = 1.2, b: flo
     qt = questions.select("qid", F.explode(F.array_distinct(term_tokens(F.col(text_col), index.stem)))
                           .alias("term"))
     dfs = (index.dfs.join(qt.select("term").distinct(), "term", "left_semi")
-           .where(F.col("df") <= F.lit(max_df_ratio * n)))
+           .where(_kept(max_df_ratio, n)))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
     part = idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)

@@ -74,13 +74,13 @@ def subtotals(df: DataFrame, keys: list[str], value: str, digits: int = 2) -> Da
 
 
 def extreme_row(df: DataFrame, by: list[str], value: str, ids: list[str]) -> DataFrame:
-    """A5: highest and lowest row per group (ties: smallest ids), as one
-    aggregation with ``max_by``/``min_by`` over a struct key."""
-    keep = F.struct(*[F.col(c) for c in ids], F.col(value))
-    # order key: value first, then ids reversed so the smallest id wins ties
-    hi_key = F.struct(F.col(value), *[-F.col(c) for c in ids])
-    lo_key = F.struct(-F.col(value), *[-F.col(c) for c in ids])
-    agg = df.groupBy(*by).agg(F.max_by(keep, hi_key).alias("hi"), F.max_by(keep, lo_key).alias("lo"))
+    """A5: highest and lowest row per group (ties: smallest ids), for values and
+    ids of any orderable type: the smallest ids of each value, then the rows of
+    the extreme values. Both aggregations combine on the map side."""
+    least = df.groupBy(*by, value).agg(F.min(F.struct(*ids)).alias("_ids"))
+    keep = F.struct(*[F.col(f"_ids.{c}").alias(c) for c in ids], F.col(value))
+    agg = least.where(F.col(value).isNotNull()).groupBy(*by).agg(
+        F.max_by(keep, F.col(value)).alias("hi"), F.min_by(keep, F.col(value)).alias("lo"))
     hi = agg.select(*by, F.lit("highest").alias("kind"), "hi.*")
     lo = agg.select(*by, F.lit("lowest").alias("kind"), "lo.*")
     return hi.unionByName(lo)
@@ -93,10 +93,11 @@ def result_preview(df: DataFrame, order: list[str], n: int = 30) -> DataFrame:
 
 
 def head_tail(df: DataFrame, order: list[str], head: int = 4, tail: int = 3) -> DataFrame:
-    """T5: first ``head`` and last ``tail`` rows by ``order``."""
+    """T5: first ``head`` and last ``tail`` rows by ``order`` (which tells rows
+    apart); a row of a short table that is in both counts as head."""
     h = df.orderBy(*[F.col(c).asc() for c in order]).limit(head).withColumn("part", F.lit("head"))
     t = df.orderBy(*[F.col(c).desc() for c in order]).limit(tail).withColumn("part", F.lit("tail"))
-    return h.unionByName(t)
+    return h.unionByName(t.join(h.select(*order), order, "left_anti").select(*h.columns))
 
 
 def column_profile(df: DataFrame, name: str, max_cols: int = 30, approx: bool = False) -> DataFrame:

@@ -15,28 +15,9 @@ from pyspark.sql import functions as F
 from quarry.operators import corpus as C
 
 
-# Text-heavy tables: per-row work is CPU bound (regex, tokenising).
-TEXT_TABLES = {"documents", "pages", "conversations"}
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def _input_bytes(spark: SparkSession, path: str) -> int:
-    """Total file size from the file listing (``binaryFile`` with only the
-    ``length`` column selected reads no file content)."""
-    r = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first()
-    return int(r["n"] or 0)
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A driver table. A small text table stored as a single row group would
-    be read by one task, so it is spread over the cores (size checked from
-    file metadata; large inputs are read in parallel natively and are never
-    reshuffled here)."""
-    path = f"{d}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in TEXT_TABLES and _input_bytes(spark, path) <= SMALL_INPUT_BYTES:
-        df = df.repartition(spark.sparkContext.defaultParallelism * 2)
-    return df
+    """A driver table, read the same way at every size."""
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def corpus(spark, d) -> DataFrame:
@@ -109,7 +90,7 @@ SQL_CORPUS = "corpus AS (SELECT doc_id, source, lang AS session_id, text FROM do
 
 SQL_CHUNKS = r"""chunks AS (
   SELECT doc_id, source, session_id, pos,
-         CAST(doc_id AS VARCHAR) || '-' || lpad(CAST(pos AS VARCHAR), 5, '0') AS chunk_id,
+         CAST(doc_id AS VARCHAR) || '-' || lpad(CAST(pos AS VARCHAR), 19, '0') AS chunk_id,
          substring(text, pos * 800 + 1, 1000) AS text
   FROM (SELECT *, unnest(range(0, CAST(greatest(1, ceil((length(text) - 200) / 800.0)) AS BIGINT))) AS pos
         FROM corpus))"""
@@ -146,7 +127,7 @@ def bm25_sql(questions_cte: str, name: str = "scores", stem: int | None = None,
 {p}w AS (SELECT t.chunk_id, t.term,
            ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * t.tf * 2.2
              / (t.tf + 1.2 * (0.25 + 0.75 * t.dl / s.avgdl)) AS w
-         FROM {p}tf t JOIN {p}df d ON t.term = d.term, {p}st s WHERE d.df <= 0.5 * s.n),
+         FROM {p}tf t JOIN {p}df d ON t.term = d.term, {p}st s),
 {name} AS (SELECT q.qid, w.chunk_id, round(sum(w.w), 6) AS score
            FROM {p}qt q JOIN {p}w w ON q.term = w.term GROUP BY q.qid, w.chunk_id)"""
 

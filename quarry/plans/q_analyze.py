@@ -50,10 +50,10 @@ def validate_schema(spark, d):
     from quarry.operators.infer import validate_json
     m = AN.extract_metadata(FX.table(spark, d, "documents").select("doc_id", "text"))
     rec = m.select("doc_id", F.to_json(F.struct(
-        F.col("summary").alias("Summary"), F.col("title").alias("Title"), F.col("author").alias("Author"),
-        F.col("date_created").alias("DateCreated"), F.col("last_modified_date").alias("LastModifiedDate"),
-        F.col("publisher").alias("Publisher"), F.col("language").alias("Language"),
-        F.col("page_count").alias("PageCount"), F.col("sentiment_tone").alias("SentimentTone"))).alias("raw"))
+        F.coalesce("summary", F.array().cast("array<string>")).alias("Summary"), F.coalesce("title", F.lit("Not Available")).alias("Title"), F.coalesce("author", F.array().cast("array<string>")).alias("Author"),
+        F.coalesce("date_created", F.lit("Not Available")).alias("DateCreated"), F.coalesce("last_modified_date", F.lit("Not Available")).alias("LastModifiedDate"),
+        F.coalesce("publisher", F.lit("Not Available")).alias("Publisher"), F.coalesce("language", F.lit("Not Available")).alias("Language"),
+        F.coalesce("page_count", F.lit(0)).alias("PageCount"), F.coalesce("sentiment_tone", F.lit("Not Available")).alias("SentimentTone"))).alias("raw"))
     return validate_json(rec, "raw", METADATA_SCHEMA)
 
 

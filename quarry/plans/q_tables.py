@@ -48,10 +48,12 @@ def filter_count(spark, d):
 SELECT count(*) FILTER (WHERE coalesce(contains(lower(CAST(p_partkey AS VARCHAR)), 'brand#1'), false)
   OR coalesce(contains(lower(p_name), 'brand#1'), false) OR coalesce(contains(lower(p_brand), 'brand#1'), false)
   OR coalesce(contains(lower(p_type), 'brand#1'), false)
-  OR coalesce(contains(lower(CAST(p_size AS VARCHAR)), 'brand#1'), false)) AS n
+  OR coalesce(contains(lower(CAST(p_size AS VARCHAR)), 'brand#1'), false)
+  OR coalesce(contains(lower(CAST(p_retailprice AS VARCHAR)), 'brand#1'), false)) AS n
 FROM part""")
 def any_column_search_count(spark, d):
-    p = T(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    p = T(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size",
+                                    "p_retailprice")
     return TB.any_column_search_count(p, "Brand#1")
 
 
@@ -88,7 +90,8 @@ def result_preview(spark, d):
 @query("head_tail_sample", """
 SELECT * FROM (SELECT o_orderkey, o_totalprice, 'head' AS part FROM orders ORDER BY o_orderkey LIMIT 4)
 UNION ALL
-SELECT * FROM (SELECT o_orderkey, o_totalprice, 'tail' AS part FROM orders ORDER BY o_orderkey DESC LIMIT 3)""")
+SELECT * FROM (SELECT o_orderkey, o_totalprice, 'tail' AS part FROM orders ORDER BY o_orderkey DESC LIMIT 3)
+WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 4)""")
 def head_tail_sample(spark, d):
     o = T(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return TB.head_tail(o, ["o_orderkey"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quarry.functions.exprs import DATE_RE
+
 
 def strip(x: str) -> str:
     return f"trim({x}, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
@@ -29,8 +31,9 @@ def fmt_num(x: str) -> str:
 
 def coerce_date(x: str) -> str:
     s = strip(x)
-    g = f"CASE WHEN regexp_matches({s}, '^\\d{{1,4}}[-/][0-9A-Za-z]{{1,3}}[-/]\\d{{1,4}}$') THEN {s} END"
-    fmts = ["%Y-%m-%d", "%d-%m-%Y", "%d/%m/%Y", "%Y/%m/%d", "%d-%b-%Y"]
+    g = f"CASE WHEN regexp_matches({s}, '{DATE_RE}') THEN {s} END"
+    fmts = ["%Y-%m-%d", "%Y/%m/%d", "%m-%d-%Y", "%m/%d/%Y", "%d-%m-%Y", "%d/%m/%Y", "%d-%b-%Y", "%d %b %Y", "%b %d %Y",
+            "%Y-%m-%d %H:%M:%S"]
     return "CAST(coalesce(" + ", ".join(f"try_strptime({g}, '{f}')" for f in fmts) + ") AS DATE)"
 
 

@@ -8,6 +8,7 @@ rolling window W6 at the end of the stream.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +23,24 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
         marks = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
                  .option("recursiveFileLookup", True).load(root)
                  .select(F.regexp_extract("path", r"/v=(\d+)/[^/]+$", 1).alias("v")).distinct().collect())
-    except Exception:  # noqa: BLE001 - no buffer written yet
-        return []
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # no buffer written yet
+            return []
+        raise
     return sorted(int(r["v"]) for r in marks if r["v"])
 
 
-def latest_buffer(spark: SparkSession, root: str) -> DataFrame | None:
-    v = _versions(spark, root)
+def latest_buffer(spark: SparkSession, root: str, below: int | None = None) -> DataFrame | None:
+    """The newest version; ``below`` an epoch, so that a replayed batch never
+    reads what it is about to overwrite."""
+    v = [x for x in _versions(spark, root) if below is None or x < below]
     return spark.read.parquet(f"{root}/v={v[-1]}") if v else None
 
 
 def _batch_writer(root: str, keep: int):
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        old = latest_buffer(spark, root)
+        old = latest_buffer(spark, root, below=epoch_id)
         both = batch.select(*COLS) if old is None else old.select(*COLS).unionByName(batch.select(*COLS))
         w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
         buf = both.dropDuplicates(["conv_id", "turn"]).withColumn("_r", F.row_number().over(w)) \

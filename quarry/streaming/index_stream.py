@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
+from quarry.session import read_if_there
 
 
 def _batch_writer(corpus_path: str, session_id: str):
@@ -20,10 +21,11 @@ def _batch_writer(corpus_path: str, session_id: str):
         docs = batch.select(F.abs(F.xxhash64("path")).alias("doc_id"), F.col("path").alias("source"),
                             F.lit(session_id).alias("session_id"), F.col("value").alias("text"))
         chunks = C.fingerprint(C.chunk_fixed(docs))
-        try:
-            ledger = spark.read.parquet(corpus_path).select("session_id", "fp")
-        except Exception:  # noqa: BLE001 - first batch: no corpus yet
+        ledger = read_if_there(spark, corpus_path)
+        if ledger is None:
             ledger = spark.createDataFrame([], "session_id string, fp string")
+        # the session is a partition of the table: other sessions' files are not read
+        ledger = ledger.where(F.col("session_id") == session_id).select("session_id", "fp")
         new = C.add_to_corpus(chunks, ledger)
         new.write.mode("append").partitionBy("session_id").parquet(corpus_path)
     return write
