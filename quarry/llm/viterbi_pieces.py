@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 
 MARK = "▁"
-ROOM = 300_000
+ROOM = 500_000
 
 _MODELS: dict = {}
 
@@ -56,7 +56,9 @@ class Pieces:
         # the ends of pieces' prefixes: where a search from one position may stop
         self.prefixes = {p[:k] for p in scores for k in range(1, len(p) + 1)}
         self.texts = {i: p for p, (i, _) in scores.items()}
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids as the bytes of 32-bit integers
+        low = {i: chr(x) for x, i in enumerate(byte_ids[:128])} if byte_ids else {}
+        self.plain_texts = self.texts | low
 
     def ids_of(self, piece: str) -> list[int]:
         if piece in self.scores:
@@ -144,15 +146,17 @@ class Pieces:
         for s in self.stretches(MARK + text.replace(" ", MARK)):
             ids = self.known.get(s)
             if ids is None:
-                ids = np.array([i for part in self.stream([s]) for i in part], np.int32)
-                if len(s) <= 64:
-                    if len(self.known) >= ROOM:
-                        self.known.clear()
+                ids = np.array([i for part in self.stream([s]) for i in part], np.int32).tobytes()
+                if len(s) <= 64 and len(self.known) < ROOM:  # the first stretches met are the frequent ones
                     self.known[s] = ids
             parts.append(ids)
-        return np.concatenate(parts)
+        return np.frombuffer(b"".join(parts), np.int32)
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: list[int]) -> str:
+        try:
+            return "".join(map(self.plain_texts.__getitem__, ids)).replace(MARK, " ")[1:]
+        except KeyError:
+            pass  # bytes of longer characters, or unknown ids
         out, raw = [], bytearray()
         of_byte = self._of_byte if hasattr(self, "_of_byte") else {i: x for x, i in enumerate(self.byte_ids or [])}
         self._of_byte = of_byte
