@@ -55,6 +55,7 @@ class Pieces:
         self.inner = {p[k:k + 2] for p in scores for k in range(len(p) - 1)}
         # the ends of pieces' prefixes: where a search from one position may stop
         self.prefixes = {p[:k] for p in scores for k in range(1, len(p) + 1)}
+        self.ends = {p: scores[p][1] if p in scores else None for p in self.prefixes}
         self.texts = {i: p for p, (i, _) in scores.items()}
         self.known: dict[str, bytes] = {}  # ids as the bytes of 32-bit integers
         low = {i: chr(x) for x, i in enumerate(byte_ids[:128])} if byte_ids else {}
@@ -128,6 +129,30 @@ class Pieces:
         if text:
             yield commit(len(text))
 
+    def short(self, text: str) -> list[int]:
+        """``stream`` for a text that its window holds whole, so that nothing is
+        committed before the end: the same search without the bookkeeping."""
+        n, ends, floor, never = len(text), self.ends, self.floor, self
+        best: list = [0.0] + [None] * n
+        back = [0] * (n + 1)
+        for i in range(n):
+            b = best[i]
+            if b is None:
+                continue
+            if text[i] not in self.scores and (best[i + 1] is None or b + floor > best[i + 1]):
+                best[i + 1], back[i + 1] = b + floor, i
+            for j in range(i + 1, n + 1):
+                score = ends.get(text[i:j], never)
+                if score is never:
+                    break
+                if score is not None and (best[j] is None or b + score > best[j]):
+                    best[j], back[j] = b + score, i
+        cuts = [n]
+        while cuts[-1]:
+            cuts.append(back[cuts[-1]])
+        cuts.reverse()
+        return [i for a, b in zip(cuts, cuts[1:]) for i in self.ids_of(text[a:b])]
+
     def stretches(self, text: str) -> list[str]:
         """``text`` cut at borders that no piece crosses, which need no search:
         before each run of marks, and around the line feeds that stand alone."""
@@ -146,7 +171,8 @@ class Pieces:
         for s in self.stretches(MARK + text.replace(" ", MARK)):
             ids = self.known.get(s)
             if ids is None:
-                ids = np.array([i for part in self.stream([s]) for i in part], np.int32).tobytes()
+                found = self.short(s) if len(s) <= 2 * self.longest else [i for part in self.stream([s]) for i in part]
+                ids = np.array(found, np.int32).tobytes()
                 if len(s) <= 64 and len(self.known) < ROOM:  # the first stretches met are the frequent ones
                     self.known[s] = ids
             parts.append(ids)
