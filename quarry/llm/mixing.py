@@ -72,7 +72,10 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
     Each round sums the sizes of the boundary bucket of every source in 4096
     finer buckets (combined on the map side: at most 4096 rows a source leave a
-    task) and moves to the bucket in which the budget ends."""
+    task) and moves to the bucket in which the budget ends. The result is written,
+    so that its size is known when the documents are joined with it: the planner
+    broadcasts it up to spark.sql.autoBroadcastJoinThreshold, and no source's
+    documents meet in one task then."""
     state = stage(plan.select(
         "source", "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("copies")
@@ -105,8 +108,8 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
         .groupBy("s.source").agg(F.sum("d.size").alias("n")).alias("x")
     over = F.col("s.below") + F.coalesce(F.col("x.n"), F.lit(0)) - F.col("s.budget")
     nearer = over < F.col("s.budget") - F.col("s.below")
-    return s.join(at, F.col("s.source").eqNullSafe(F.col("x.source")), "left").select(
-        "s.source", "s.source_size", "s.target", "s.copies", (F.col("s.low") + nearer.cast("long")).alias("cut"))
+    return stage(s.join(at, F.col("s.source").eqNullSafe(F.col("x.source")), "left").select(
+        "s.source", "s.source_size", "s.target", "s.copies", (F.col("s.low") + nearer.cast("long")).alias("cut")), "mix-cuts")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
