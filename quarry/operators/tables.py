@@ -8,11 +8,15 @@ window over the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import exprs as X
+from quarry.session import scratch_path
 
 # Question words -> aggregate (first match wins, in this order).
 OP_WORDS = [
@@ -25,28 +29,111 @@ OP_WORDS = [
 ]
 
 
+MEDIAN_BITS = 14        # the value range is cut into 2^14 ranges at once
+GRAM = 8                # J6: names meet by their first characters, at most so many
+
+
 def _agg(op: str, c):
     c = F.col(c) if isinstance(c, str) else c
-    return {"sum": F.sum(c), "count": F.count(c), "avg": F.avg(c), "median": F.median(c),
-            "max": F.max(c), "min": F.min(c)}[op]
+    return {"sum": F.sum(c), "count": F.count(c), "avg": F.avg(c), "max": F.max(c), "min": F.min(c)}[op]
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _same(a: str, b: str, keys: list[str]):
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+
+
+def _values(df: DataFrame, value: str, *more) -> DataFrame:
+    """``more`` and x: the value as a finite double; rows without a number are left out."""
+    top, v = F.lit(sys.float_info.max), F.col(value).cast("double")
+    return df.where(v.isNotNull() & ~F.isnan(v)).select(*more, F.greatest(F.least(v, top), -top).alias("x"))
+
+
+def _range_no(x, lo, hi, bits: int):
+    """Which of 2^bits equal ranges from lo (0) to hi (2^bits - 1) holds x."""
+    share = (x / 2 - lo / 2) / F.nullif(hi / 2 - lo / 2, F.lit(0.0))
+    last = (1 << bits) - 1
+    return F.when(x == lo, 0).when(x == hi, last).otherwise(F.floor(share * last)).cast("int")
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, bits: int = MEDIAN_BITS) -> DataFrame:
+    """(keys, median): exact medians by counts, so that no task ever holds a
+    group's values. The values are counted in equal ranges between a group's least
+    and greatest value (at most 2^bits rows a group leave a task); the range that
+    holds the middle, narrowed to the least and greatest value in it, is counted
+    again until it is one value. Each round keeps one or two rows a group.
+
+    NULL and not-a-number are left out; infinities count as the largest finite
+    numbers. A group without a value, or an empty table, has no row."""
+    ks = [f"_k{i}" for i in range(len(keys))]
+    if not keys:
+        m = column_median(df, value, bits)
+        return df.sparkSession.createDataFrame([] if m is None else [(m,)], "median double")
+    data = _values(df, value, *[F.col(k).alias(a) for k, a in zip(keys, ks)])
+    state = _written(data.groupBy(*ks).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+                     .select(*ks, F.explode(F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2")))).alias("rank"),
+                             "lo", "hi"), "median")
+    x, lo, hi = F.col("d.x"), F.col("i.lo"), F.col("i.hi")
+    while state.where("lo < hi").limit(1).count():
+        ranges = state.where("lo < hi").select(*ks, "lo", "hi").distinct().alias("i")
+        found = data.alias("d").join(ranges, _same("d", "i", ks) & (x >= lo) & (x <= hi)) \
+            .groupBy(*[f"i.{k}" for k in ks], "i.lo", "i.hi", _range_no(x, lo, hi, bits).alias("b")) \
+            .agg(F.count(F.lit(1)).alias("c"), F.min("d.x").alias("least"), F.max("d.x").alias("most")) \
+            .withColumn("upto", F.sum("c").over(Window.partitionBy(*ks, "lo", "hi").orderBy("b"))).alias("f")
+        s = state.alias("s")
+        moved = s.join(found, _same("s", "f", [*ks, "lo", "hi"]) & (F.col("s.rank") < F.col("f.upto")) & (
+            F.col("s.rank") >= F.col("f.upto") - F.col("f.c")))
+        state = _written(moved.select(*[f"s.{k}" for k in ks], (F.col("s.rank") - F.col("f.upto") + F.col("f.c")).alias("rank"),
+                                      F.col("f.least").alias("lo"), F.col("f.most").alias("hi"))
+                         .unionByName(state.where("lo = hi")), "median")
+    out = state.groupBy(*ks).agg((F.min("lo") * 0.5 + F.max("lo") * 0.5).alias("median"))
+    return out.select(*[F.col(a).alias(k) for k, a in zip(keys, ks)], "median")
+
+
+def column_median(df: DataFrame, value: str, bits: int = MEDIAN_BITS) -> float | None:
+    """``exact_median`` of a whole column. The ranges are literals, which reach
+    the scan as filters; a round brings back the two ranges of the middle."""
+    data = _values(df, value)
+    n, lo, hi = data.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    middle = [(rank, lo, hi) for rank in ((n - 1) // 2, n // 2)]
+    while any(a < b for _r, a, b in middle):
+        for a, b in {(a, b) for _r, a, b in middle if a < b}:
+            inside = data.where((F.col("x") >= a) & (F.col("x") <= b))
+            counts = inside.groupBy(_range_no(F.col("x"), F.lit(a), F.lit(b), bits).alias("b")).agg(
+                F.count("x").alias("c"), F.min("x").alias("least"), F.max("x").alias("most")) \
+                .withColumn("before", F.sum("c").over(Window.orderBy("b")) - F.col("c"))
+            ranks = [r for r, *ab in middle if ab == [a, b]]
+            hit = counts.where(reduce(lambda p, q: p | q, [
+                (F.col("before") <= r) & (F.col("before") + F.col("c") > r) for r in ranks])).collect()
+            middle = [m if [m[1], m[2]] != [a, b] else next((m[0] - h.before, h.least, h.most) for h in hit
+                                                            if h.before <= m[0] < h.before + h.c) for m in middle]
+    return 0.5 * middle[0][1] + 0.5 * middle[1][1]
 
 
 def agg_scalar(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
     """A1: total, count, average, median, maximum, minimum of one column."""
     c = F.col(col)
     return df.agg(F.round(F.sum(c), digits).alias("total"), F.count(c).alias("n"),
-                  F.round(F.avg(c), digits).alias("average"), F.round(F.median(c), digits).alias("median"),
+                  F.round(F.avg(c), digits).alias("average"),
+                  F.round(F.lit(column_median(df, col)).cast("double"), digits).alias("median"),
                   F.round(F.max(c), digits).alias("maximum"), F.round(F.min(c), digits).alias("minimum"))
 
 
 def agg_labeled(df: DataFrame, specs: list[tuple[str, str, str]], digits: int = 2) -> DataFrame:
     """A2: several (label, op, column) values from one aggregation, returned
-    as (label, value) rows via ``stack``."""
-    row = df.agg(*[F.round(_agg(op, c).cast("double"), digits).alias(f"v{i}")
-                   for i, (_l, op, c) in enumerate(specs)])
-    stack = "stack({n}, {args}) as (label, value)".format(
-        n=len(specs), args=", ".join(f"'{lab}', v{i}" for i, (lab, _o, _c) in enumerate(specs)))
-    return row.selectExpr(stack)
+    as (label, value) rows; medians are found by counts beforehand."""
+    medians = {c: column_median(df, c) for _l, op, c in specs if op == "median"}
+    row = df.agg(*[F.round(F.lit(medians[c]).cast("double") if op == "median" else _agg(op, c).cast("double"), digits)
+                             .alias(f"v{i}") for i, (_l, op, c) in enumerate(specs)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(lab).alias("label"), F.col(f"v{i}").alias("value"))
+                                          for i, (lab, _o, _c) in enumerate(specs)])).alias("r")).select("r.*")
 
 
 def filter_count(df: DataFrame, col: str, needle: str, value_col: str | None = None,
@@ -143,10 +230,11 @@ def answer_specs(table: DataFrame, specs: DataFrame, key: str, value: str, table
 
     The table is first reduced to one row per key with every supported
     aggregate (partial aggregation; the table is scanned once however many
-    questions there are), then the specs join that small result. The number
-    is rendered (F1), phrased (F5) and audited (F3)."""
-    per_key = table.groupBy(key).agg(*[_agg(o, value).cast("double").alias(o)
-                                       for o in ("sum", "count", "avg", "median", "max", "min")])
+    questions there are, but for the rounds that find the medians), then the
+    specs join that small result. The number is rendered (F1), phrased (F5) and
+    audited (F3)."""
+    per_key = table.groupBy(key).agg(*[_agg(o, value).cast("double").alias(o) for o in ("sum", "count", "avg", "max", "min")])
+    per_key = per_key.join(exact_median(table, [key], value), key, "left")
     j = specs.join(per_key, specs["filter_val"] == per_key[key], "left")
     v = F.round(F.coalesce(*[F.when(F.col("op") == o, F.col(o)) for o in
                               ("sum", "count", "avg", "median", "max", "min")]), digits)
@@ -158,15 +246,28 @@ def answer_specs(table: DataFrame, specs: DataFrame, key: str, value: str, table
         X.verify_numbers(F.col("answer"), F.array(F.col("value"))), F.lit(False)))
 
 
-def resolve_table_name(requests: DataFrame, catalog: DataFrame, max_catalog: int = 100_000) -> DataFrame:
+def _starts(names: DataFrame, col: str, gram: int) -> DataFrame:
+    """(name columns, key): the first ``gram`` characters, or fewer if the name has fewer."""
+    return names.withColumn("key", F.substring(F.lower(col), 1, gram))
+
+
+def _parts(names: DataFrame, col: str, gram: int) -> DataFrame:
+    """(name columns, key): every different stretch of at most ``gram`` characters."""
+    low = F.lower(col)
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.transform(
+        F.sequence(F.lit(0), F.lit(gram)), lambda n: F.substr(low, i, n.cast("int"))))
+    return names.withColumn("key", F.explode(F.array_distinct(F.flatten(cuts))))
+
+
+def resolve_table_name(requests: DataFrame, catalog: DataFrame, gram: int = GRAM) -> DataFrame:
     """Exact name, else case-insensitive substring either way; first in
-    catalogue (load) order. The catalogue of table names per session is
-    small; it is broadcast only after a count proves it."""
-    from quarry.operators.skew import bounded_broadcast
-    cat = bounded_broadcast(catalog.select("name", "ordinal"), max_catalog)
-    req, tab = F.lower(F.col("request")), F.lower(F.col("name"))
-    cond = (F.col("request") == F.col("name")) | req.contains(tab) | tab.contains(req)
-    j = requests.join(cat, cond, "left")
+    catalogue (load) order. A name that lies in another starts with one of the
+    other's stretches, so candidates meet in an equi-join on at most ``gram``
+    characters and are then checked whole; neither side is broadcast by force."""
+    r, c = requests.select("request").distinct(), catalog.select("name", "ordinal")
+    found = _starts(r, "request", gram).join(_parts(c, "name", gram), "key").where(F.lower("name").contains(F.lower("request"))) \
+        .unionByName(_parts(r, "request", gram).join(_starts(c, "name", gram), "key")
+                     .where(F.lower("request").contains(F.lower("name"))))
     exact = (F.col("request") == F.col("name")).cast("int")
-    best = F.min_by(F.col("name"), F.struct(-exact, F.col("ordinal")))
-    return j.groupBy("request").agg(best.alias("resolved"))
+    best = found.groupBy("request").agg(F.min_by(F.col("name"), F.struct(-exact, F.col("ordinal"))).alias("resolved")).alias("b")
+    return r.alias("r").join(best, F.col("r.request") == F.col("b.request"), "left").select("r.request", "b.resolved")

@@ -30,8 +30,7 @@ def embed_chunks_q(spark, d):
 
 @query("knn_lsh")
 def knn_lsh(spark, d):
-    """Approximate 10-NN of every stored vector (exact fallback for hot
-    buckets); recall against ``knn_exact`` is asserted in tests."""
+    """Approximate 10-NN of every stored vector; recall against ``knn_exact`` is asserted in tests."""
     return lsh(FX.vector_questions(spark, d), FX.vectors(spark, d), 10).select("qid", "chunk_id", "dist")
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import exprs as X
-from quarry.operators import corpus, ledger, multimodal, retrieve, tables
+from quarry.operators import corpus, ledger, lsh, multimodal, retrieve, tables
 from quarry.operators.infer import validate_json
 
 
@@ -67,3 +67,53 @@ def test_records_need_every_field_and_type(spark):
     d = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, raw string")
     got = {r.i: r.valid for r in validate_json(d, "raw", "Title string, Pages int").collect()}
     assert got == {0: False, 1: False, 2: True, 3: False, 4: False}
+
+
+def test_lsh_prunes_clustered_vectors_and_splits_no_bucket(spark):
+    import numpy as np
+    rnd = np.random.default_rng(1)
+    centres = rnd.standard_normal((100, 32))
+    x = np.repeat(centres, 10, axis=0) + 0.1 * rnd.standard_normal((1000, 32))
+    x[500:800] = x[500]  # one bucket holds a third of all rows
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(1000, None), (1001, [])], "chunk_id long, embedding array<double>")
+    few = v.where("chunk_id between 0 and 499").withColumnRenamed("chunk_id", "qid")
+    pairs = lsh.candidates(few, v, 12, 8, 7, "qid", "chunk_id", "embedding")
+    assert pairs.count() <= 0.05 * 500 * 1000
+    dist = ((x[:500, None] - x[None]) ** 2).sum(2)
+    want = {(q, int(i)) for q in range(500) for i in np.argsort(dist[q], kind="stable")[:10]}
+    got = {(r.qid, r.chunk_id) for r in lsh.knn_lsh(few, v, 10, bits=12, n_tables=8).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+    hot = lsh.knn_lsh(v.where("chunk_id = 500").withColumnRenamed("chunk_id", "qid"), v, 300, bits=12, n_tables=8)
+    assert sorted(r.chunk_id for r in hot.collect()) == list(range(500, 800))
+
+
+@pytest.mark.parametrize("bits", [1, 3, 14])
+def test_median_by_counts(spark, bits):
+    import statistics
+    groups = {"a": [1.5], "b": [2.0, 3.0], "c": [-1e308, 1e308, 1e300], "d": [5e-324, 0.0], "e": [7.0] * 9 + [8.0] * 9,
+              None: [float(i * i % 101) / 7 for i in range(200)], "f": [None], "g": [None, 4.0, float("nan")]}
+    d = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(4)
+    got = {r.k: r.median for r in tables.exact_median(d, ["k"], "v", bits).collect()}
+    want = {k: [v for v in vs if v is not None and v == v] for k, vs in groups.items()}
+    assert got == pytest.approx({k: statistics.median(v) for k, v in want.items() if v})
+    assert tables.exact_median(d.limit(0), [], "v", bits).count() == 0
+    for k, v in want.items():
+        mine = d.where(F.col("k").eqNullSafe(k))
+        assert tables.column_median(mine, "v", bits) == (pytest.approx(statistics.median(v)) if v else None)
+    assert [r.value for r in tables.agg_labeled(d.where("k = 'f'"), [("m", "median", "v"), ("n", "count", "v")]).orderBy("label").collect()] == [None, 0.0]
+
+
+def test_table_names_meet_without_a_nested_loop(spark):
+    names = ["Sales 2024.xlsx::North", "sales", "b", "Ünï::x", "a very long name of a sheet in a file", ""]
+    requests = ["SALES", "sales", "north", "the very long name of a sheet", "a very long name of a sheet in a file, please", "zzz", "ÜNÏ", None, "B"]
+    c = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ordinal int")
+    r = spark.createDataFrame([(q,) for q in requests], "request string")
+
+    def resolve(q):
+        if q is None:
+            return None
+        hits = [(n != q, i, n) for i, n in enumerate(names) if n.lower() in q.lower() or q.lower() in n.lower()]
+        return min(hits)[2] if hits else None
+    out = tables.resolve_table_name(r, c)
+    assert {x.request: x.resolved for x in out.collect()} == {q: resolve(q) for q in requests}
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
