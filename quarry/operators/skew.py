@@ -69,10 +69,3 @@ def carry_forward(df: DataFrame, part: list[str], order: str, value: str, out: s
     return (b.join(carry, part + ["_blk"])
             .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(w_loc), F.col("_carry")))
             .drop("_blk", "_carry"))
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it has at most ``max_rows``
-    rows; otherwise return it unchanged and let the planner shuffle."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

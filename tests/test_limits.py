@@ -117,3 +117,26 @@ def test_table_names_meet_without_a_nested_loop(spark):
     out = tables.resolve_table_name(r, c)
     assert {x.request: x.resolved for x in out.collect()} == {q: resolve(q) for q in requests}
     assert "NestedLoop" not in out._jdf.queryExecution().toString()
+
+
+def test_all_text_of_a_page_is_kept(spark):
+    import re
+    page = ("<html><head><TITLE>T &amp; t</TITLE><style>no{}</style></head><body>start<H1 class='x'>Head</H1>between<div>in div"
+            "<ul><li>outer<ul><li>inner</li></ul>tail</li></ul><blockquote>quoted</blockquote></div><p>one<br>two<p>open"
+            "<table><tr><td>a<p>b</p></td><td>c</td></tr></table>after<!-- no --><script>var t='</p>';</script> end\x01</body></html>")
+    d = spark.createDataFrame([(1, page), (2, ""), (3, None), (4, "only text"), (5, "<table><tr><td>unclosed")], "page_id long, html string")
+    rows = multimodal.elements(d).orderBy("page_id", "ord").collect()
+    got = [(r.tag, r.text) for r in rows if r.page_id == 1]
+    assert got == [("title", "T & t"), ("body", "start"), ("h1", "Head"), ("", "between"), ("div", "in div"), ("li", "outer"),
+                   ("li", "inner"), ("", "tail"), ("blockquote", "quoted"), ("p", "one two"), ("p", "open"), ("table", "a b c"),
+                   ("", "after end")]
+    assert {r.page_id: r.text for r in rows if r.page_id > 1} == {4: "only text", 5: "unclosed"}
+    from conftest import SF_SMALL
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    kept = {r.page_id: "".join(t for _o, t in sorted(map(tuple, r.e))) for r in multimodal.elements(pages).groupBy("page_id").agg(
+        F.collect_list(F.struct("ord", "text")).alias("e")).collect()}
+    for r in pages.collect():
+        plain = re.sub(r"<[^>]+>", "", re.sub(multimodal.DROP_RE, "", r.html))
+        for k, v in multimodal.ENTITIES:
+            plain = plain.replace(k, v)
+        assert re.sub(r"\s+", "", kept[r.page_id]) == re.sub(r"\s+", "", plain)
