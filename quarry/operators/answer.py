@@ -13,8 +13,8 @@ NO_HITS = "I couldn't find relevant information in the documents to answer your
 
 def retrieve_two_pass(questions: DataFrame, index, min_score: float, k: int, stem_index) -> DataFrame:
     """Pass 1 with the question; questions without any hit at or above
-    ``min_score`` are rewritten (default rewrite: stem every term to its first
-    ``stem`` letters, i.e. prefix matching) and retrieved once more; still
+    ``min_score`` are rewritten (default rewrite: the common endings of words
+    are taken off, ``retrieve.STEM_RE``) and retrieved once more; still
     nothing -> the fixed apology row. Bounded: at most one rewrite, no loop.
     ``index`` / ``stem_index`` are the exact-term and stemmed ``TermIndex``."""
     s1 = (R.bm25_indexed(questions, index).where(F.col("score") >= min_score)

@@ -24,14 +24,18 @@ from quarry.functions import exprs as X
 # Lexical scoring (BM25)
 # ---------------------------------------------------------------------------
 
-def term_tokens(col, stem: int | None = None):
+# An ending is taken off a word if four characters or more are left.
+STEM_RE = r"^(.{4,}?)(?:ings|ing|edly|ed|ies|es|ly|s|e)$"
+
+
+def term_tokens(col, stem: bool = False):
     t = X.tokens(col)
     if stem:
-        t = F.transform(t, lambda w: F.substring(w, 1, stem))
+        t = F.transform(t, lambda w: F.regexp_replace(w, STEM_RE, "$1"))
     return t
 
 
-def term_index(chunks: DataFrame, stem: int | None = None) -> DataFrame:
+def term_index(chunks: DataFrame, stem: bool = False) -> DataFrame:
     """Inverted index rows ``(chunk_id, term, tf, dl)``. Built once per corpus
     and stored bucketed by term in production; here built on the fly."""
     toks = chunks.select("chunk_id", term_tokens(F.col("text"), stem).alias("toks"))
@@ -39,7 +43,7 @@ def term_index(chunks: DataFrame, stem: int | None = None) -> DataFrame:
             .groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
 
 
-def corpus_stats(chunks: DataFrame, stem: int | None = None) -> tuple[int, float]:
+def corpus_stats(chunks: DataFrame, stem: bool = False) -> tuple[int, float]:
     """(N, avgdl): two scalars, the only values that reach the driver."""
     # Stemming keeps the token count, so one regex count serves both forms.
     r = chunks.select(F.regexp_count(F.lower("text"), F.lit(X.TOKEN_RE)).alias("dl")) \
@@ -52,7 +56,7 @@ def _kept(max_df_ratio: float | None, n: int):
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75,
-         max_df_ratio: float | None = None, stem: int | None = None, text_col: str = "question") -> DataFrame:
+         max_df_ratio: float | None = None, stem: bool = False, text_col: str = "question") -> DataFrame:
     """All (qid, chunk_id, score) with score > 0.
 
     ``score = sum over distinct query terms t present in the chunk of
@@ -92,11 +96,11 @@ class TermIndex:
     warehouse), so answering a batch of questions never re-tokenises the
     corpus."""
 
-    def __init__(self, postings: DataFrame, dfs: DataFrame, n: int, avgdl: float, stem: int | None):
+    def __init__(self, postings: DataFrame, dfs: DataFrame, n: int, avgdl: float, stem: bool):
         self.postings, self.dfs, self.n, self.avgdl, self.stem = postings, dfs, n, avgdl, stem
 
 
-def build_term_index(chunks: DataFrame, stem: int | None = None) -> TermIndex:
+def build_term_index(chunks: DataFrame, stem: bool = False) -> TermIndex:
     toks = chunks.select("chunk_id", term_tokens(F.col("text"), stem).alias("toks"))
     postings = (toks.select("chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
                 .groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
+from quarry.operators import retrieve as R
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -110,12 +111,13 @@ SQL_UPLOADS = ("uploads AS (SELECT doc_id, '/uploads/' || lang || '/' || source
                + str(len(UPLOAD_EXTS)) + " + 1 AS INTEGER)) AS path FROM documents)")
 
 
-def bm25_sql(questions_cte: str, name: str = "scores", stem: int | None = None,
+def bm25_sql(questions_cte: str, name: str = "scores", stem: bool = False,
              chunks_cte: str = "chunks", text_col: str = "question") -> str:
     """CTE chain computing BM25 scores ``name(qid, chunk_id, score)``."""
     tok = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
     if stem:
-        tok = "list_transform(" + tok + f", lambda w: substring(w, 1, {stem}))"
+        ending = R.STEM_RE.replace("{", "{{").replace("}", "}}")
+        tok = "list_transform(" + tok + f", lambda w: regexp_replace(w, '{ending}', '\\1'))"
     p = name + "_"
     return f"""{p}qt AS (SELECT DISTINCT qid, unnest({tok.format(c=text_col)}) AS term FROM {questions_cte}),
 {p}ct AS (SELECT chunk_id, {tok.format(c='text')} AS toks FROM {chunks_cte}),
@@ -248,16 +250,15 @@ def corpus_chunks(spark, d) -> DataFrame:
 _INDEX: dict = {}
 
 
-def term_index(spark, d, stem: int | None = None):
+def term_index(spark, d, stem: bool = False):
     """The stored inverted index of the corpus (postings + df tables
     checkpointed once per session)."""
-    from quarry.operators.retrieve import TermIndex, build_term_index
     key = (id(spark), d, stem)
     if key not in _INDEX:
-        idx = build_term_index(corpus_chunks(spark, d), stem)
+        idx = R.build_term_index(corpus_chunks(spark, d), stem)
         post = idx.postings.checkpoint(eager=True)
-        _INDEX[key] = TermIndex(post, post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                                .checkpoint(eager=True), idx.n, idx.avgdl, stem)
+        _INDEX[key] = R.TermIndex(post, post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                                  .checkpoint(eager=True), idx.n, idx.avgdl, stem)
     return _INDEX[key]
 
 

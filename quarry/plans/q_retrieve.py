@@ -20,7 +20,6 @@ MMR_K, MMR_FETCH = 5, 20
 STD_BASE_K = 5
 TWO_PASS_MIN_SCORE = 60.0
 TWO_PASS_K = 5
-STEM = 5
 RERANK_POOL, RERANK_N = 20, 6
 
 _BM25 = W(FX.SQL_CORPUS, FX.SQL_CHUNKS, FX.SQL_BENCH_Q, FX.bm25_sql("bq"))
@@ -254,7 +253,7 @@ def strip_source_tags(spark, d):
 
 
 @query("rerank_top_n", W(FX.SQL_CORPUS, FX.SQL_CHUNKS, FX.SQL_BENCH_Q, FX.bm25_sql("bq"),
-                         FX.bm25_sql("bq", name="stemmed", stem=STEM)) + f"""
+                         FX.bm25_sql("bq", name="stemmed", stem=True)) + f"""
 SELECT qid, rank, chunk_id, score FROM (
   SELECT c.qid, c.chunk_id, coalesce(s.score, 0) AS score,
          row_number() OVER (PARTITION BY c.qid ORDER BY coalesce(s.score, 0) DESC, c.chunk_id) AS rank
@@ -266,7 +265,7 @@ def rerank_top_n(spark, d):
     """Candidates from a stemmed first stage, re-scored by exact-term
     BM25 (the pluggable scorer), keep 6."""
     qs = FX.bench_questions(spark, d)
-    pool = R.bm25_top(qs, FX.term_index(spark, d, STEM), RERANK_POOL).select("qid", "chunk_id")
+    pool = R.bm25_top(qs, FX.term_index(spark, d, True), RERANK_POOL).select("qid", "chunk_id")
     exact = R.bm25_indexed(qs, FX.term_index(spark, d))
     rescored = pool.join(exact, ["qid", "chunk_id"], "left") \
                    .withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -275,7 +274,7 @@ def rerank_top_n(spark, d):
 
 
 @query("retrieve_two_pass", W(FX.SQL_CORPUS, FX.SQL_CHUNKS, FX.SQL_BENCH_Q, FX.bm25_sql("bq"),
-                              FX.bm25_sql("bq", name="stemmed", stem=STEM)) + f"""
+                              FX.bm25_sql("bq", name="stemmed", stem=True)) + f"""
 , p1 AS (SELECT qid, 1 AS pass_no, chunk_id, score FROM scores WHERE score >= {TWO_PASS_MIN_SCORE}),
 miss AS (SELECT qid FROM bq WHERE qid NOT IN (SELECT qid FROM p1)),
 p2 AS (SELECT qid, 2 AS pass_no, chunk_id, score FROM stemmed
@@ -291,7 +290,7 @@ FROM bq WHERE qid NOT IN (SELECT qid FROM hits)""".replace("\n, p1", ",\np1", 1)
 def retrieve_two_pass(spark, d):
     from quarry.operators.answer import retrieve_two_pass as two_pass
     return two_pass(FX.bench_questions(spark, d), FX.term_index(spark, d), TWO_PASS_MIN_SCORE,
-                    TWO_PASS_K, FX.term_index(spark, d, STEM))
+                    TWO_PASS_K, FX.term_index(spark, d, True))
 
 
 @query("build_term_index", W(FX.SQL_CORPUS, FX.SQL_CHUNKS) + r"""

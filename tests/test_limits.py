@@ -26,6 +26,12 @@ def test_common_terms_still_find_chunks(spark):
     assert retrieve.bm25_indexed(q, retrieve.build_term_index(chunks)).count() == 3
 
 
+def test_stems_join_forms_of_a_word_only(spark):
+    words = "invoice invoices invoiced invoicing interest internal international process processes"
+    got = spark.range(1).select(retrieve.term_tokens(F.lit(words), True).alias("t")).first().t
+    assert len(set(got[:4])) == 1 and len({*got[4:7]}) == 3
+
+
 def test_reuploaded_file_keeps_its_fingerprint(spark):
     d = spark.createDataFrame([("r_0a1b2c.pdf", "t"), ("r_ffffff.pdf", "t")], "source string, text string")
     assert corpus.fingerprint(d).select("fp").distinct().count() == 1
