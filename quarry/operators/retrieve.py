@@ -1,10 +1,10 @@
 """Batch retrieval: N questions against M chunks in one job.
 
 * ``bm25`` - lexical scoring as an equi-join on terms (J9).
-* ``knn`` - exact nearest neighbours: each item partition scores a broadcast
-  block of query vectors with numpy and keeps a partial top-k, then one
-  shuffle by question finishes the top-k (J3/T1). No pair table is ever
-  materialised.
+* ``knn`` - exact nearest neighbours: blocks of questions meet blocks of items
+  in the cells of a grid; a task scores a cell with numpy and keeps a partial
+  top-k, then one shuffle by question finishes the top-k (J3/T1). No pair
+  table is ever materialised and no vector passes through the driver.
 * ``mmr`` - greedy diversity re-rank per question over a bounded pool (T2).
 * ``coverage`` - nearest chunks of every source missing from a result (W1).
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,76 +149,100 @@ def _round6(a):
     return np.sign(a) * np.floor(np.abs(a) * 1e6 + 0.5) / 1e6
 
 
-def _iter_blocks(queries: DataFrame, qid: str, vec: str, block: int):
-    """Stream question vectors to the driver one bounded block at a time."""
-    ids, vecs = [], []
-    for r in queries.select(qid, vec).toLocalIterator():
-        ids.append(r[0])
-        vecs.append(r[1])
-        if len(ids) >= block:
-            yield ids, vecs
-            ids, vecs = [], []
-    if ids:
-        yield ids, vecs
-
-
 def knn(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "qid", qvec: str = "embedding",
-        item_id: str = "chunk_id", ivec: str = "embedding", group: str | None = None,
-        block: int = 2048, sub_batch: int = 2048) -> DataFrame:
+        item_id: str = "chunk_id", ivec: str = "embedding", group: str | None = None, scope: str | None = None,
+        block: int = 2048, item_blocks: int | None = None, sub_batch: int = 2048) -> DataFrame:
     """Exact k nearest items (L2) per question, or per (question, group).
 
     Output ``(qid, item_id[, group], dist)``, dist rounded to 6 places, ties by
-    item id. Question vectors travel as a broadcast block of at most ``block``
-    rows (size checked); larger batches are processed block by block. Items
-    stay partitioned where they are; each task emits at most k rows per
-    (question, group), then one shuffle by question finishes the top-k."""
-    spark = items.sparkSession
-    id_type = items.schema[item_id].dataType
-    q_type = queries.schema[qid].dataType
-    fields = [T.StructField("qid", q_type), T.StructField(item_id, id_type)]
+    item id; rows without a vector take no part. With ``scope`` (a column of
+    both sides, say ``session_id``) a question sees the items of its own scope
+    only; a null scope is one of its own.
+
+    Questions and items are dealt to a grid of cells by hash: a cell meets one
+    block of about ``block`` questions with one of ``item_blocks`` blocks of
+    items (default: the number of shuffle partitions). A task holds a cell's
+    questions, streams its items past them and emits at most k rows per
+    (question, group); one shuffle by question finishes the top-k. No vector
+    passes through the driver, which only counts the questions."""
+    n_i = item_blocks or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_q = max(1, -(-queries.count() // block))
+    fields = [T.StructField("qid", queries.schema[qid].dataType), T.StructField(item_id, items.schema[item_id].dataType)]
     if group:
         fields.append(T.StructField(group, items.schema[group].dataType))
     fields.append(T.StructField("dist", T.DoubleType()))
-    schema = T.StructType(fields)
-    cols = [item_id, ivec] + ([group] if group else [])
-    outs = []
-    for ids, vecs in _iter_blocks(queries, qid, qvec, block):
-        qmat = np.asarray(vecs, dtype=np.float64)
-        bq = spark.sparkContext.broadcast((np.asarray(ids), qmat))
-        outs.append(items.select(*cols).mapInPandas(
-            _knn_partition(bq, k, item_id, ivec, group, sub_batch), schema))
-    if not outs:
-        return spark.createDataFrame([], schema)
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
+
+    def dealt(df, own, other, n_own, n_other, key, vec, is_item, cols):
+        s = F.coalesce(F.concat(F.lit(":"), F.col(scope).cast("string")), F.lit("")) if scope else F.lit("")
+        return df.where(F.col(vec).isNotNull()).select(
+            F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int").alias(own), s.alias("_s"), F.lit(is_item).alias("_item"),
+            *cols, F.col(vec).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+
+    def empty(df, c):
+        return F.lit(None).cast(df.schema[c].dataType)
+
+    q = dealt(queries, "_qb", "_ib", n_q, n_i, qid, qvec, False,
+              [F.col(qid).alias("_q"), empty(items, item_id).alias("_i"),
+               (empty(items, group) if group else F.lit(None).cast("int")).alias("_g")])
+    i = dealt(items, "_ib", "_qb", n_i, n_q, item_id, ivec, True,
+              [empty(queries, qid).alias("_q"), F.col(item_id).alias("_i"),
+               (F.col(group) if group else F.lit(None).cast("int")).alias("_g")])
+    grid = (q.unionByName(i).withColumn("_c", F.col("_qb") * n_i + F.col("_ib"))
+            .repartitionById(n_i * min(n_q, 16), F.col("_c")).sortWithinPartitions("_c", "_s", "_item")
+            .select(F.concat(F.col("_c").cast("string"), "_s").alias("_c"), "_item", "_q", "_i", "_g", "_v"))
+    res = grid.mapInArrow(_knn_cells(k, item_id, group, sub_batch), T.StructType(fields))
     part = ["qid"] + ([group] if group else [])
     res = top_k(res, k, part, [F.col("dist"), F.col(item_id)], "_r").drop("_r")
     return res.withColumnRenamed("qid", qid) if qid != "qid" else res
 
 
-def _knn_partition(bq, k, item_id, ivec, group, sub_batch):
-    def run(it):
-        qids, q = bq.value
-        qn = (q * q).sum(1)
-        best = []  # partial frames, merged at the end of the partition
-        for pdf in it:
-            for s in range(0, len(pdf), sub_batch):
-                part = pdf.iloc[s:s + sub_batch]
-                x = np.stack(part[ivec].to_numpy()).astype(np.float64)
+def _knn_cells(k, item_id, group, sub_batch):
+    def values(col):
+        return col.to_numpy(zero_copy_only=False)
+
+    def matrix(col):
+        return np.stack(values(col)).astype(np.float64)
+
+    def runs(batches):
+        """(cell, questions or items, rows): neighbours of one kind, in order."""
+        for b in batches:
+            if b.num_rows:
+                cell, item = values(b.column(0)), values(b.column(1))
+                cut = np.flatnonzero((cell[1:] != cell[:-1]) | (item[1:] != item[:-1])) + 1
+                for lo, hi in zip([0, *cut], [*cut, b.num_rows]):
+                    for at in range(lo, hi, sub_batch):
+                        yield cell[lo], item[lo], b.slice(at, min(sub_batch, hi - at))
+
+    def out(best):
+        d = _reduce(pd.concat(best), k, item_id, group)
+        return pa.RecordBatch.from_pandas(d, preserve_index=False)
+
+    def run(batches):
+        at, asked, q, best = None, [], None, []
+        for cell, is_item, rows in runs(batches):
+            if cell != at:
+                if best:
+                    yield out(best)
+                at, asked, q, best = cell, [], None, []
+            if not is_item:
+                asked.append((values(rows.column(2)), matrix(rows.column(5))))
+            elif asked:
+                if q is None:
+                    qids, q = np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked])
+                    qn = (q * q).sum(1)
+                x = matrix(rows.column(5))
                 d2 = qn[:, None] + (x * x).sum(1)[None, :] - 2.0 * (q @ x.T)
-                best.append(_select(qids, q, x, np.maximum(d2, 0.0), part, k, item_id, group))
+                best.append(_select(qids, q, x, np.maximum(d2, 0.0), values(rows.column(3)),
+                                    values(rows.column(4)) if group else None, k, item_id, group))
                 if len(best) > 8:
                     best = [_reduce(pd.concat(best), k, item_id, group)]
         if best:
-            yield _reduce(pd.concat(best), k, item_id, group)
+            yield out(best)
     return run
 
 
-def _select(qids, q, x, d2, part, k, item_id, group):
-    ids = part[item_id].to_numpy()
+def _select(qids, q, x, d2, ids, groups, k, item_id, group):
     rows = []
-    groups = part[group].to_numpy() if group else None
     keys = [None] if group is None else pd.unique(groups)
     for g in keys:
         cols = np.arange(len(ids)) if g is None else np.nonzero(groups == g)[0]
@@ -252,7 +277,7 @@ def _reduce(df, k, item_id, group):
 
 def mmr(pool: DataFrame, queries: DataFrame, items: DataFrame, k: int, *, lambda_mult: float = 0.5,
         qid: str = "qid", qvec: str = "embedding", item_id: str = "chunk_id",
-        ivec: str = "embedding", keep: list[str] | None = None, per_call: int = 128) -> DataFrame:
+        ivec: str = "embedding", keep: list[str] | None = None) -> DataFrame:
     """From each question's pool pick ``k`` greedily: first the nearest,
     then argmax ``round(l*sim(q,d) - (1-l)*max sim(d, chosen), 6)``, ties by id.
 
@@ -297,17 +322,21 @@ def mmr(pool: DataFrame, queries: DataFrame, items: DataFrame, k: int, *, lambda
         out["rank"] = np.arange(1, kk + 1, dtype=np.int32)
         return out[out_cols]
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [pick_one(g) for _q, g in pdf.groupby(qid, sort=False)]
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=out_cols)
+    def pick(batches):
+        """Pools lie next to each other; the last of a batch may go on in the next one."""
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf[qid] == pdf[qid].iloc[-1]
+            done, rest = pdf[~last], pdf[last]
+            if len(done):
+                yield pd.concat([pick_one(g) for _q, g in done.groupby(qid, sort=False)], ignore_index=True)
+        if rest is not None and len(rest):
+            yield pick_one(rest)
 
-    # Several questions per Python call (about ``per_call`` each) amortise the
-    # per-group overhead; the bucket count grows with the batch, so a call
-    # never holds more than ~per_call pools.
-    n_q = queries.count()
-    buckets = max(1, -(-n_q // per_call))
-    df = df.withColumn("_b", F.pmod(F.xxhash64(qid), F.lit(buckets)))
-    return df.groupBy("_b").applyInPandas(pick, schema)
+    return df.repartition(qid).sortWithinPartitions(qid).mapInPandas(pick, schema)
 
 
 # ---------------------------------------------------------------------------
@@ -325,13 +354,12 @@ def missing_sources(hits: DataFrame, per_source_best: DataFrame, source: str = "
     return pairs.join(hits.select("qid", source).distinct(), ["qid", source], "left_anti")
 
 
-def coverage(hits: DataFrame, per_source_best: DataFrame, n_sources: int, per_source: int = 2,
+def coverage(hits: DataFrame, per_source_best: DataFrame, per_source: int = 2,
              source: str = "source", item_id: str = "chunk_id", order: list | None = None) -> DataFrame:
     """For each source absent from ``hits`` its ``per_source`` best
     chunks (from ``per_source_best``, already top-k per (qid, source)).
-    A single-source index gets no top-up. Ranked by (source, order...)."""
-    if n_sources <= 1:
-        return per_source_best.limit(0).withColumn("rank", F.lit(0))
+    A single-source index gets no top-up: its source is among the hits.
+    Ranked by (source, order...)."""
     order = order or [F.col("dist"), F.col(item_id)]
     present = hits.select("qid", source).distinct()
     extra = per_source_best.join(present, ["qid", source], "left_anti")
@@ -408,22 +436,24 @@ def strip_source_tags(c):
     return X.strip(s)
 
 
-def hits_with_coverage(scored: DataFrame, k: int, per_source: int, n_sources: int,
-                       order: list, source: str = "source", item_id: str = "chunk_id") -> DataFrame:
+def hits_with_coverage(scored: DataFrame, k: int, per_source: int, order: list, source: str = "source",
+                       item_id: str = "chunk_id", k_col: str | None = None) -> DataFrame:
     """R2/U1 in one linear pass over scored (qid, source, item) rows: the
     overall top-k (stage 0) and, for each source absent from it, that
     source's best ``per_source`` items (stage 1, ranked by source then
     order). The overall top-k is a subset of the per-source top-k, so one
     per-(question, source) rank filter feeds both stages and the scored
-    input is consumed once."""
+    input is consumed once. ``k_col`` names a column with the question's own
+    k, of which ``k`` is the greatest possible."""
     keep = max(k, per_source)
+    k_of = F.col(k_col) if k_col else F.lit(k)
     ps = top_k(scored, keep, ["qid", source], order, "rs")
     w_all = Window.partitionBy("qid").orderBy(*order)
     ps = ps.withColumn("r", F.row_number().over(w_all))
-    present = F.max(F.when(F.col("r") <= k, 1)).over(Window.partitionBy("qid", source))
+    present = F.max(F.when(F.col("r") <= k_of, 1)).over(Window.partitionBy("qid", source))
     ps = ps.withColumn("present", present)
-    stage0 = F.col("r") <= k
-    cover = (F.col("present").isNull() & (F.col("rs") <= per_source)) if n_sources > 1 else F.lit(False)
+    stage0 = F.col("r") <= k_of
+    cover = F.col("present").isNull() & (F.col("rs") <= per_source)
     sel = ps.where(stage0 | cover).withColumn("stage", F.when(stage0, 0).otherwise(1))
     w_stage = Window.partitionBy("qid", "stage").orderBy(
         F.when(F.col("stage") == 1, F.col(source)), *order)

@@ -91,8 +91,7 @@ _COVER_SQL = f"""cover AS (
 @query("source_coverage", _KNN[:-1] + ",\n" + _COVER_SQL + "\nSELECT qid, rank, chunk_id, source, dist FROM cover")
 def source_coverage(spark, d):
     hits, best = _stage1(spark, d)
-    n_src = FX.vectors(spark, d).select("source").distinct().count()
-    return R.coverage(hits, best, n_src).select("qid", "rank", "chunk_id", "source", "dist")
+    return R.coverage(hits, best).select("qid", "rank", "chunk_id", "source", "dist")
 
 
 @query("retrieve_with_coverage", _KNN[:-1] + ",\n" + _COVER_SQL + f"""
@@ -101,8 +100,7 @@ UNION ALL SELECT qid, 1 AS stage, rank, chunk_id, source, dist FROM cover""")
 def retrieve_with_coverage(spark, d):
     hits, best = _stage1(spark, d)
     hits = R.top_k(hits, STAGE1_K, ["qid"], [F.col("dist"), F.col("chunk_id")])
-    n_src = FX.vectors(spark, d).select("source").distinct().count()
-    cov = R.coverage(hits, best, n_src)
+    cov = R.coverage(hits, best)
     cols = ["qid", "stage", "rank", "chunk_id", "source", "dist"]
     return (hits.withColumn("stage", F.lit(0)).select(*cols)
             .unionByName(cov.withColumn("stage", F.lit(1)).select(*cols)))
@@ -169,8 +167,7 @@ def retrieve_standard(spark, d):
     pool = R.knn(q, v, fetch).join(v.select("chunk_id", "source"), "chunk_id")
     picked = R.mmr(pool, q, v, k, keep=["source"])
     best = R.knn(q, v, 2, group="source")
-    n_src = v.select("source").distinct().count()
-    cov = R.coverage(picked, best, n_src)
+    cov = R.coverage(picked, best)
     cols = ["qid", "stage", "rank", "chunk_id", "source", "dist"]
     return (picked.withColumn("stage", F.lit(0)).select(*cols)
             .unionByName(cov.withColumn("stage", F.lit(1)).select(*cols)))
@@ -226,8 +223,7 @@ def _hits(spark, d):
     qs = FX.bench_questions(spark, d)
     scores = R.bm25_indexed(qs, FX.term_index(spark, d)).join(ch.select("chunk_id", "source"), "chunk_id")
     order = [F.col("score").desc(), F.col("chunk_id")]
-    n_src = ch.select("source").distinct().count()
-    hits = R.hits_with_coverage(scores, CONTEXT_K, 2, n_src, order)
+    hits = R.hits_with_coverage(scores, CONTEXT_K, 2, order)
     cols = ["qid", "stage", "rank", "chunk_id", "source"]
     return hits.select(*cols).withColumn("scope", F.lit("all")), ch
 

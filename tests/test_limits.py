@@ -146,3 +146,35 @@ def test_all_text_of_a_page_is_kept(spark):
         for k, v in multimodal.ENTITIES:
             plain = plain.replace(k, v)
         assert re.sub(r"\s+", "", kept[r.page_id]) == re.sub(r"\s+", "", plain)
+
+
+def test_nearest_neighbours_stay_in_their_scope(spark):
+    """Several blocks of questions, a scope that is null, a row without a vector."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, ["a", "b", None][i % 3], i % 2, [float(x) for x in rng.normal(size=4)]) for i in range(90)]
+    schema = "chunk_id long, session_id string, source int, embedding array<double>"
+    items = spark.createDataFrame(rows + [(500, "a", 0, None)], schema)
+    got = retrieve.knn(items.withColumnRenamed("chunk_id", "qid"), items, 3, group="source", scope="session_id", block=20, item_blocks=3,
+                       sub_batch=7).collect()
+    want = set()
+    for q, s, _, v in rows:
+        for g in (0, 1):
+            d = sorted((round(float(np.linalg.norm(np.subtract(v, w))), 6), i) for i, t, h, w in rows if t == s and h == g)
+            want |= {(q, g, i, x) for x, i in d[:3]}
+    assert {(r.qid, r.source, r.chunk_id, r.dist) for r in got} == want
+
+
+def test_pools_cut_by_a_batch_are_reranked_whole(spark):
+    items = spark.range(40).select(F.col("id").alias("chunk_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    asked = items.withColumnRenamed("chunk_id", "qid")
+    pool = retrieve.knn(asked, items, 12)
+    whole = {tuple(r) for r in retrieve.mmr(pool, asked, items, 5).collect()}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert {tuple(r) for r in retrieve.mmr(pool, asked, items, 5).collect()} == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(whole) == 200
