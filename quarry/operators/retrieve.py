@@ -90,6 +90,29 @@ def bm25(questions: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.
             .agg(F.round(F.sum("w"), 6).alias("score")))
 
 
+def bm25_in_scope(questions: DataFrame, chunks: DataFrame, scope: str = "session_id", k1: float = 1.2, b: float = 0.75,
+                  stem: bool = False, text_col: str = "question") -> DataFrame:
+    """(qid, scope, chunk_id, score): ``bm25`` within each scope, whose chunks
+    alone make up N, avgdl and the document frequencies. The scope is a part of
+    every key, so a session costs what its own chunks cost; its statistics are
+    an aggregate that stays in Spark."""
+    qt = questions.select("qid", scope, F.explode(F.array_distinct(term_tokens(F.col(text_col), stem))).alias("term"))
+    toks = chunks.select(scope, "chunk_id", term_tokens(F.col("text"), stem).alias("toks"))
+    stats = toks.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
+    occ = (toks.select(scope, "chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+           .join(qt.select(scope, "term").distinct(), [scope, "term"], "left_semi"))
+    tf = occ.groupBy(scope, "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    # as in ``bm25``: the true predicate lets both branches share one shuffle
+    dfs = (tf.where((F.col("tf") > 0) & (F.col("dl") >= 0)).groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
+           .join(stats, scope))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
+    weighted = tf.join(dfs, [scope, "term"]).select(
+        scope, "chunk_id", "term", (idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)).alias("w"))
+    return (qt.join(weighted, [scope, "term"]).groupBy("qid", scope, "chunk_id")
+            .agg(F.round(F.sum("w"), 6).alias("score")))
+
+
 class TermIndex:
     """A stored inverted index: postings ``(term, chunk_id, tf, dl)``,
     document frequencies ``(term, df)`` and the corpus scalars. Built once at
@@ -427,6 +450,22 @@ def pack_context(hits: DataFrame, chunks: DataFrame, manifest: DataFrame, by: st
                                         F.lit("\n\n"), F.col("body")).alias("context")))
 
 
+def retrieve_in_session(questions: DataFrame, chunks: DataFrame, scope: str = "session_id", base_k: int = 5,
+                        per_source: int = 2, broad_cap: int = 60) -> DataFrame:
+    """R2 over lexical scores, each question in its own session: route it, set k
+    from the session's chunk count, take the k best chunks (stage 0) and the
+    best ones of each source of the session that is absent from them (stage 1).
+    Questions about the file list or about table figures need no chunks."""
+    from quarry.operators.corpus import distinct_sources
+    asked = route(questions).where(F.col("route").isin("broad", "specific"))
+    asked = adaptive_k(asked, distinct_sources(chunks, scope), base_k=base_k, broad_cap=broad_cap, by=scope)
+    scored = (bm25_in_scope(asked, chunks, scope).join(chunks.select(scope, "chunk_id", "source"), [scope, "chunk_id"])
+              .join(asked.select("qid", "route", "k"), "qid"))
+    order = [F.col("score").desc(), F.col("chunk_id")]
+    return hits_with_coverage(scored, broad_cap, per_source, order, k_col="k").select(
+        "qid", scope, "route", "stage", "rank", "chunk_id", "source", "score")
+
+
 def strip_source_tags(c):
     """``[Source: x]`` -> ``x``; collapse runs of blanks; no blank before
     ``.,;:)`` or a newline; strip."""

@@ -67,6 +67,14 @@ def routed_questions(spark, d) -> DataFrame:
                        F.replace(t, F.lit("{s}"), F.col("source")).alias("question"))
 
 
+def session_questions(spark, d) -> DataFrame:
+    """Each benchmark passage behind a question of the templates, asked in the
+    session of the document that has the passage's number."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    r = routed_questions(spark, d)
+    return b.join(r, "qid").select("qid", "session_id", F.concat_ws(" ", "question", "text").alias("question"))
+
+
 # Fixed extension cycle used to name one upload per document.
 UPLOAD_EXTS = [".pdf", ".docx", ".txt", ".md", ".csv", ".xlsx", ".exe", ".PDF", ".sqlite",
                ".pptx", ".json", ".html", ".xls"]
@@ -105,6 +113,9 @@ SQL_ROUTED_Q = ("rq AS (SELECT doc_id AS qid, lang AS session_id, replace(list_e
                 + ", ".join("'" + t + "'" for t in TEMPLATES) +
                 "], CAST(doc_id % 6 + 1 AS INTEGER)), '{s}', source) AS question FROM documents)")
 
+SQL_SESSION_Q = ("sq AS (SELECT b.item_id AS qid, session_id, concat_ws(' ', question, text) AS question "
+                 "FROM benchmark b JOIN rq ON b.item_id = rq.qid)")
+
 SQL_UPLOADS = ("uploads AS (SELECT doc_id, '/uploads/' || lang || '/' || source || ' v' || "
                "CAST(doc_id AS VARCHAR) || '_' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 6) || "
                "list_extract([" + ", ".join("'" + e + "'" for e in UPLOAD_EXTS) + "], CAST(doc_id % "

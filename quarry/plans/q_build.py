@@ -20,9 +20,12 @@ def chunk_recursive(spark, d):
         "doc_id", "pos", "chunk_id", F.length("text").alias("n_chars"))
 
 
-@query("embed_chunks")
+@query("embed_chunks", FX.with_(FX.SQL_CORPUS, FX.SQL_CHUNKS) + r"""
+SELECT chunk_id, 4096 AS dim, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0::DOUBLE ELSE 0.0 END AS norm
+FROM chunks""")
 def embed_chunks_q(spark, d):
-    """HashingTF-IDF unit vectors for every fixed chunk."""
+    """HashingTF-IDF vectors for every fixed chunk; SQL holds their size
+    and length (1, or 0 without a token)."""
     e = embed_chunks(FX.chunks(spark, d).select("chunk_id", "text"))
     return e.select("chunk_id", F.size("embedding").alias("dim"),
                     F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
@@ -35,14 +38,13 @@ def knn_lsh(spark, d):
 
 
 @query("build_corpus", FX.with_(FX.SQL_CORPUS, FX.SQL_CHUNKS) + """
-SELECT session_id, count(DISTINCT source || '::' || sha256(text)) AS added, CAST(0 AS BIGINT) AS re_added
-FROM chunks GROUP BY session_id""")
+SELECT session_id, min(chunk_id) AS chunk_id, source || '::' || sha256(text) AS fp, 1 AS run
+FROM chunks GROUP BY ALL""")
 def build_corpus(spark, d):
     """Full build into a fresh corpus table, then an idempotent re-run;
-    returns per-session counts of (first run, second run) additions."""
+    returns the chunks that each run added (none in the second)."""
     from quarry.operators.build import build_corpus as build
     path = scratch_path(spark, "corpus-build")
     docs = FX.corpus(spark, d)
-    first = build(spark, docs, path).groupBy("session_id").agg(F.count(F.lit(1)).alias("added"))
-    second = build(spark, docs, path).groupBy("session_id").agg(F.count(F.lit(1)).alias("re_added"))
-    return first.join(second, "session_id", "left").fillna(0, ["re_added"])
+    runs = [build(spark, docs, path).withColumn("run", F.lit(n)) for n in (1, 2)]
+    return runs[0].unionByName(runs[1]).select("session_id", "chunk_id", "fp", "run")

@@ -35,7 +35,9 @@ def contextualize_batch(spark, d):
 
 
 @query("parse_history", f"""
-SELECT conv_id, turn, len(kept) AS n_items, coalesce(kept[1].role, '') AS first_role FROM (
+SELECT conv_id, turn, len(kept) AS n_items,
+  coalesce(array_to_string(list_transform(kept, lambda x: coalesce(x.role, '') || ': ' || x.content), chr(10)), '') AS items
+FROM (
   SELECT conv_id, turn, CASE WHEN len(k) > 12 THEN k[-12:] ELSE k END AS kept FROM (
     SELECT conv_id, turn, list_filter(coalesce(from_json(raw, '[{{"role":"VARCHAR","content":"VARCHAR"}}]'), []),
            lambda x: x IS NOT NULL AND coalesce({S.strip('x.content')}, '') <> '') AS k FROM (
@@ -50,4 +52,5 @@ def parse_history(spark, d):
     raw = F.to_json(F.collect_list(F.struct(F.col("role"), F.col("text").alias("content"))).over(w))
     kept = CV.parse_history(raw)
     return c.select("conv_id", "turn", F.size(kept).alias("n_items"),
-                    F.coalesce(F.get(kept, 0)["role"], F.lit("")).alias("first_role"))
+                    F.array_join(F.transform(kept, lambda x: F.concat(F.coalesce(x["role"], F.lit("")), F.lit(": "),
+                                                                      x["content"])), "\n").alias("items"))

@@ -66,13 +66,11 @@ def list_sessions(spark, d):
 
 
 @query("keep_latest_sessions", W(FX.SQL_CORPUS, FX.SQL_CHUNKS) + """
-SELECT session_id, count(*) AS n_chunks FROM chunks
+SELECT session_id, chunk_id FROM chunks
 WHERE session_id IN (SELECT session_id FROM (SELECT DISTINCT session_id FROM chunks)
-                     ORDER BY session_id DESC LIMIT 3)
-GROUP BY session_id""")
+                     ORDER BY session_id DESC LIMIT 3)""")
 def keep_latest_sessions(spark, d):
-    kept = C.keep_latest_sessions(FX.chunks(spark, d), 3)
-    return kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return C.keep_latest_sessions(FX.chunks(spark, d), 3).select("session_id", "chunk_id")
 
 
 @query("filter_supported", W(FX.SQL_UPLOADS) + """

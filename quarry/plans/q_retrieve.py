@@ -239,6 +239,48 @@ def pack_context(spark, d):
     return _packed(spark, d).select("qid", "scope", "context")
 
 
+_SESSION_SQL = W(FX.SQL_CORPUS, FX.SQL_CHUNKS, FX.SQL_ROUTED_Q, FX.SQL_SESSION_Q, rf"""asked AS (
+  SELECT *, CASE WHEN regexp_matches(question, '{R.BROAD_RE[4:]}', 'i') THEN 'broad' ELSE 'specific' END AS route
+  FROM sq WHERE NOT regexp_matches(question, '{R.FILE_LIST_RE[4:]}', 'i')
+            AND NOT regexp_matches(question, '{R.COMPUTE_RE[4:]}', 'i')),
+ct AS (SELECT session_id, chunk_id, source, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS toks FROM chunks),
+st AS (SELECT session_id, count(*) AS n, avg(len(toks)) AS avgdl FROM ct GROUP BY session_id),
+kq AS (SELECT qid, route, CASE route WHEN 'broad' THEN least(n, 60) ELSE least(n, 16) END AS k
+       FROM asked JOIN st ON asked.session_id = st.session_id),
+qt AS (SELECT DISTINCT qid, session_id, unnest(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}]+')) AS term FROM asked),
+tf AS (SELECT session_id, chunk_id, source, term, count(*) AS tf, max(dl) AS dl
+       FROM (SELECT session_id, chunk_id, source, len(toks) AS dl, unnest(toks) AS term FROM ct) GROUP BY ALL),
+df AS (SELECT session_id, term, count(*) AS df FROM tf GROUP BY ALL),
+scores AS (SELECT q.qid, q.session_id, t.chunk_id, t.source,
+    round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.dl / s.avgdl))), 6) AS score
+  FROM qt q JOIN tf t ON q.session_id = t.session_id AND q.term = t.term
+  JOIN df d ON d.session_id = t.session_id AND d.term = t.term JOIN st s ON s.session_id = t.session_id GROUP BY ALL),
+ranked AS (SELECT s.*, kq.route, kq.k, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, chunk_id) AS r,
+    row_number() OVER (PARTITION BY s.qid, source ORDER BY score DESC, chunk_id) AS rs FROM scores s JOIN kq ON s.qid = kq.qid),
+hits AS (SELECT qid, session_id, route, 0 AS stage, r AS rank, chunk_id, source, score FROM ranked WHERE r <= k
+  UNION ALL SELECT qid, session_id, route, 1, row_number() OVER (PARTITION BY qid ORDER BY source, score DESC, chunk_id),
+    chunk_id, source, score FROM ranked p WHERE rs <= 2 AND NOT EXISTS (
+    SELECT 1 FROM ranked h WHERE h.r <= h.k AND h.qid = p.qid AND h.source = p.source))""")
+
+
+@query("retrieve_in_session", _SESSION_SQL + "SELECT * FROM hits")
+def retrieve_in_session(spark, d):
+    return R.retrieve_in_session(FX.session_questions(spark, d), FX.corpus_chunks(spark, d), base_k=STD_BASE_K)
+
+
+@query("pack_in_session", _SESSION_SQL[:-1] + """,
+manifest AS (SELECT session_id, CAST(count(*) AS VARCHAR) || ' file(s): ' || string_agg(n, ', ' ORDER BY n) AS name
+  FROM (SELECT DISTINCT session_id, regexp_replace(source, '_[0-9a-f]{6}(\\.[^.]+)$', '\\1') AS n FROM chunks) GROUP BY session_id)
+SELECT h.qid, h.session_id, any_value(m.name) || chr(10) || chr(10) || string_agg('[Source: ' || h.source || ']' || chr(10)
+    || c.text, chr(10) || chr(10) ORDER BY h.stage, h.rank) AS context
+FROM hits h JOIN chunks c ON c.chunk_id = h.chunk_id JOIN manifest m ON m.session_id = h.session_id
+GROUP BY h.qid, h.session_id""")
+def pack_in_session(spark, d):
+    """A10 and A11 with the session as the unit: its files, its chunks."""
+    ch = FX.corpus_chunks(spark, d)
+    return R.pack_context(retrieve_in_session(spark, d), ch, C.file_manifest(ch), by="session_id")
+
+
 @query("strip_source_tags", _PACK_SQL + r"""
 SELECT qid, regexp_replace(regexp_replace(regexp_replace(regexp_replace(context,
          '\s*\[Source:\s*([^\]]+?)\s*\]\s*', ' \1 ', 'g'), '[ \t]{2,}', ' ', 'g'),

@@ -32,13 +32,19 @@ def staged_files(spark, d) -> dict[str, str]:
 
 
 @query("scan_text_files", """
-SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY source""")
+SELECT source, count(*) AS n_lines, CAST(sum(length(line) + 1) AS BIGINT) AS n_chars,
+       CAST(sum(CAST('0x' || substring(md5(line), 1, 8) AS BIGINT)) AS BIGINT) AS content
+FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY source""")
 def scan_text_files(spark, d):
-    """Whole-text files; every file's characters counted per source
-    (the writer ends each document with a newline)."""
+    """Whole-text files; per source the lines, characters and the sum of
+    the lines' hashes (the writer ends each document with a newline, and deals
+    documents to files as it likes)."""
     t = SF.scan_text_files(spark, staged_files(spark, d)["text"])
     src = F.regexp_extract("path", r"source=([^/]+)", 1)
-    return t.groupBy(src.alias("source")).agg(F.sum(F.length("text")).alias("n_chars"))
+    lines = t.select(src.alias("source"), F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1)).alias("line"))
+    head = F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("long")
+    return lines.groupBy("source").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line") + 1).alias("n_chars"),
+                                       F.sum(head).alias("content"))
 
 
 @query("scan_csv_table", """
@@ -59,10 +65,10 @@ def scan_csv_text(spark, d):
                     X.linearize(F.array(*[F.col(c) for c in t.columns]), ", ").alias("line"))
 
 
-@query("scan_json_docs", "SELECT event_id, event_type, value FROM events")
+@query("scan_json_docs", "SELECT event_id, event_type, value, props FROM events")
 def scan_json_docs(spark, d):
     """S4 (records): JSON lines read back as records."""
-    return SF.scan_json_records(spark, staged_files(spark, d)["json"]).select("event_id", "event_type", "value")
+    return SF.scan_json_records(spark, staged_files(spark, d)["json"]).select("event_id", "event_type", "value", "props")
 
 
 @query("scan_mixed_files")
@@ -114,40 +120,42 @@ def dump_tables_text(spark, d):
 
 
 @query("write_corpus", FX.with_(FX.SQL_CORPUS, FX.SQL_CHUNKS) +
-       "SELECT session_id, count(*) AS n_chunks FROM chunks GROUP BY session_id")
+       "SELECT session_id, chunk_id, source || '::' || sha256(text) AS fp, md5(text) AS content FROM chunks")
 def write_corpus(spark, d):
     """Chunks + fingerprints written partitioned by session, read back
     (partition pruning on session_id)."""
     from quarry.operators.corpus import fingerprint
     path = scratch_path(spark, "corpus")
     fingerprint(FX.chunks(spark, d)).write.partitionBy("session_id").mode("append").parquet(path)
-    return spark.read.parquet(path).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return spark.read.parquet(path).select("session_id", "chunk_id", "fp", F.md5("text").alias("content"))
 
 
 def _payload_sql():
     from quarry.plans.q_multimodal import SQL_EL
-    return (FX.with_(SQL_EL) + "SELECT modality, count(*) AS n FROM pl WHERE modality = 'text' "
-            "GROUP BY modality")
+    return FX.with_(SQL_EL) + "SELECT doc_id, modality, payload FROM pl"
 
 
 @query("payload_store", _payload_sql())
 def payload_store(spark, d):
-    """Payloads stored as a table; lookups are equi-joins."""
+    """Payloads stored as a table; lookups are equi-joins. Every element's
+    payload is looked up."""
     from quarry.operators import multimodal as MM
     path = scratch_path(spark, "payloads")
-    MM.payloads(MM.elements(FX.table(spark, d, "pages"))).write.mode("overwrite").parquet(path)
-    store = spark.read.parquet(path)
-    wanted = store.select("doc_id").where(F.col("modality") == "text")
-    return wanted.join(store, "doc_id", "left").groupBy("modality").agg(F.count(F.lit(1)).alias("n"))
+    found = MM.payloads(MM.elements(FX.table(spark, d, "pages")))
+    found.write.mode("overwrite").parquet(path)
+    return found.select("doc_id").join(spark.read.parquet(path), "doc_id", "left").select("doc_id", "modality", "payload")
 
 
 @query("write_tidy_ledger", """
 SELECT 'ledger_' || substring(o_orderpriority, 1, 1) || '.xlsx' AS file, CAST(year(o_orderdate) AS VARCHAR) AS sheet,
-       count(*) AS n_rows FROM orders GROUP BY ALL""")
+       o_orderkey * 100 + 100 AS island, strftime(o_orderdate, '%Y-%m-%d') AS date,
+       'Customer#' || CAST(o_custkey AS VARCHAR) AS account,
+       round(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, 2) AS debit,
+       round(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END, 2) AS credit FROM orders""")
 def write_tidy_ledger(spark, d):
     """Tidy rows of every ledger sheet, one partitioned write."""
     from quarry.operators.ledger_job import tidy_rows, write_tidy
     path = scratch_path(spark, "tidy")
     write_tidy(tidy_rows(FX.cells_table(spark, d)), path)
     t = spark.read.parquet(path).withColumn("sheet", F.col("sheet").cast("string"))
-    return t.groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("n_rows"))
+    return t.select("file", "sheet", "island", "date", "account", "debit", "credit")
