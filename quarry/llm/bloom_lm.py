@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, mix, stage, text_bytes
+from quarry.llm.common import mix, stage, text_bytes, word_hashes
 
 ALPHA = 0.1             # added to each count in p1
 BACKOFF = 0.7           # share of p1 in the interpolation
@@ -38,7 +38,7 @@ HOT_WORDS = 1 << 20     # 16 bytes each in the broadcast
 BITS_PER_TOKEN = 5      # about 12 per different bigram
 MAX_FILTER = 96 << 20   # bytes of one broadcast filter
 BLOCK_BITS = 18         # bits of a block as a power of two
-TASK_TOKENS = 4_000_000  # training tokens whose bigrams one task turns into blocks
+TASK_TOKENS = 2_000_000  # training tokens whose bigrams one task turns into blocks
 PIECE = 400_000         # tokens worked on at once
 
 U = np.uint64
@@ -49,11 +49,10 @@ BASE = U(0x9E3779B97F4A7C15)
 def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(batch, first row, offsets, token hashes): runs of whole texts of about
     ``PIECE`` tokens, each text ended by ``END``."""
-    hashes = WordHashes()
     for b in batches:
         held, first, n = [], 0, 0
         for i, t in enumerate(b.column(column)):
-            h = hashes.of(text_bytes(t.as_py()).lower().split())
+            h = word_hashes(text_bytes(t.as_py()).lower().split())
             held.append(np.append(h, U(END)))
             n += len(held[-1])
             if n >= PIECE or i == b.num_rows - 1:
@@ -75,12 +74,11 @@ def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return (((keys >> U(32)) * U(blocks)) >> U(32)).astype(np.int64)
 
 
-def probes(keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
-    """Six bit positions inside the block for (bigram, level)."""
-    for part in (1, 2):
-        x = mix(keys + U((2 * level + part) * int(BASE) & (1 << 64) - 1))
-        for k in range(3):
-            yield ((x >> U(k * BLOCK_BITS)) & U((1 << BLOCK_BITS) - 1)).astype(np.int64)
+def probes(keys: np.ndarray, level: int, part: int) -> Iterator[np.ndarray]:
+    """Bit positions inside the block for (bigram, level): three in each of two parts."""
+    x = mix(keys + U((2 * level + part) * int(BASE) & (1 << 64) - 1))
+    for k in range(3):
+        yield ((x >> U(k * BLOCK_BITS)) & U((1 << BLOCK_BITS) - 1)).view(np.int64)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -106,8 +104,9 @@ def filled_blocks(keys: np.ndarray, counts: np.ndarray, blocks: int) -> Iterator
         flags = np.zeros(min(64, len(ids) - lo) << BLOCK_BITS, np.uint8)
         j = 1
         while len(k):
-            for p in probes(k, j):
-                flags[base + p] = 1
+            for part in (1, 2):
+                for p in probes(k, j, part):
+                    flags[base + p] = 1
             j += 1
             more = q >= j
             k, q, base = k[more], q[more], base[more]
@@ -117,19 +116,19 @@ def filled_blocks(keys: np.ndarray, counts: np.ndarray, blocks: int) -> Iterator
 
 
 def stored_levels(bits: np.ndarray, keys: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Level read for each bigram: probes go on only for those still present."""
+    """Level read for each bigram: probes go on only for those still present
+    after each three."""
     out = np.zeros(len(keys), np.int64)
-    live = np.arange(len(keys))
+    live, base = np.arange(len(keys)), block << BLOCK_BITS
     level = 1
     while len(live) and level < 64:
-        k, base = keys[live], block[live] << BLOCK_BITS
-        keep = np.arange(len(live))
-        for p in probes(k, level):
-            at = base[keep] + p[keep]
-            keep = keep[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            if not len(keep):
-                break
-        live = live[keep]
+        for part in (1, 2):
+            found = np.ones(len(live), np.uint8)
+            for p in probes(keys, level, part):
+                at = base + p
+                found &= bits[at >> 3] >> (at & 7).astype(np.uint8)
+            keep = np.flatnonzero(found)
+            live, keys, base = live[keep], keys[keep], base[keep]
         out[live] = level
         level += 1
     return out
@@ -194,8 +193,9 @@ def token_scores(docs: DataFrame, hot, bits, shard: int, shards: int, blocks: in
         for b, first, offsets, w in pieces(batches, 1):
             n = len(offsets) - 1
             row = np.repeat(np.arange(n), np.diff(offsets))
-            at = np.searchsorted(words[:-1], w)
-            c = np.where(words[at] == w, counts[at], -1)
+            different, which = np.unique(w, return_inverse=True)
+            at = np.searchsorted(words[:-1], different)
+            c = np.where(words[at] == different, counts[at], -1)[which]
             v = histories(w, offsets)
             cv = np.concatenate([[starts], c[:-1]])
             cv[offsets[:-1]] = starts

@@ -52,21 +52,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered for up to ``room`` words."""
-
-    def __init__(self, seed: int = 0, room: int = 400_000):
-        super().__init__()
-        self.seed, self.room = seed, room
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, self.seed)
-        if len(self) < self.room:
-            self[word] = h
-        return h
-
-    def of(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list) -> np.ndarray:
+    """64-bit hash of each word (hashing again is faster than looking it up)."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

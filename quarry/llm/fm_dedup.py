@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, WordHashes, mix, stage, text_bytes
+from quarry.llm.common import NULL_ID, mix, stage, text_bytes, word_hashes
 
 WINDOW = 20
 GRAM = 8                # words in an anchor
@@ -179,12 +179,11 @@ def document_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """One row per row of docs: doc_id, n_words, the hash of its words joined by
     one blank, and the segments as arrays."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             rows = []
             for t in b.column(1):
                 words = text_bytes(t.as_py()).split()
-                parts = segments(hashes.of(words), window, gram) if len(words) >= window else [np.empty(0, U)] * 4
+                parts = segments(word_hashes(words), window, gram) if len(words) >= window else [np.empty(0, U)] * 4
                 rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest(), *parts))
             n, sha, first, count, anchor, seg = zip(*rows, strict=True) if rows else [[]] * 6
             lists = [pa.array([x.astype(kind) if kind != np.int64 else x.view(np.int64) for x in col], pa.list_(to))
@@ -232,11 +231,10 @@ def repeated_windows(docs: DataFrame, found: DataFrame, window: int, gram: int,
     by_doc = stage(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("want")), "fm-wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             out = {k: [] for k in ("anchor", "doc_id", "start", "words")}
             for d, t, want in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                h = hashes.of(text_bytes(t.as_py()).split())
+                h = word_hashes(text_bytes(t.as_py()).split())
                 wins = polynomial(h, window) if len(h) >= window else h[:0]
                 for w in want.as_py():
                     s, n = w["start"], w["n"]
