@@ -200,13 +200,12 @@ def touched(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     """Rows of ``docs`` that may have an id of ``wanted``: a bit per hashed id,
     ``bits`` in all whatever the input, tested where the text lies. A full
     filter lets every row through to the join, which decides."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1  # bitmap_bucket_number is 1-based over positions 1..32768
     maps = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")).collect()
     flags = np.zeros(bits // 8 + 4096, np.uint8)
     for k, m in maps:
         flags[(k - 1) * 4096:(k - 1) * 4096 + len(m)] |= np.frombuffer(m, np.uint8)
-    # a multiple of 32768 opens a bucket; bitmap_bucket_number is 1-based over positions 1..32768
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
     @F.pandas_udf("boolean")

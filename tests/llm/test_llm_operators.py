@@ -349,6 +349,14 @@ def test_fm_dedup_returns_the_kept_words_and_takes_null_ids(docs):
             assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 and len(r.text.split(" ")) >= r.n_words - r.n_removed
 
 
+@pytest.mark.parametrize("bits", [fm_dedup.FILTER_BITS, 1])
+def test_fm_dedup_takes_ids_whose_hash_is_zero(spark, bits):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(25317696, text + " x"), (25317697, "y " + text)]  # the first id's hash is 0 of 2**24; with one bit, all are
+    got = fm_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bits=bits).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {25317696: 0, 25317697: 30}
+
+
 def test_fm_index_counts_and_matching_statistics():
     rnd = np.random.default_rng(5)
     text = np.concatenate([np.append(rnd.integers(1, 4, n), 0) for n in (30, 50, 5, 80)])
