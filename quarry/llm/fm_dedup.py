@@ -18,8 +18,9 @@ a segment. Equal windows have equal anchors, so segments meet by anchor:
    are compared by their hashes in an aggregation instead.
 
 Defined results: a null or empty text has no words; a word is compared unchanged;
-null ids sort first; rows that share a doc_id are read as one document, in which
-equal positions do not repeat each other.
+documents are ordered by id, null ids first, and those of one id by the hash of
+their text. Different texts of one id are documents of their own, and so is every
+row with a null id; rows that repeat a non-null id with its text are one document.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ HOT = 2048              # different segments that may share an anchor in a shard
 SHARD = 16384           # segments aimed at in a shard
 FILTER_BITS = 1 << 24   # of the filter that keeps untouched texts out of a join
 BASE = np.uint64(0x9E3779B97F4A7C15)
+KEY = ["doc_id", "part"]  # of a document: its id and the hash of its text
 
 U = np.uint64
 
@@ -176,12 +178,12 @@ def shard_repeats(doc: np.ndarray, start: np.ndarray, words: list[np.ndarray], w
 
 
 def document_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, the hash of its words joined by
-    one blank, and the segments as arrays."""
+    """One row per row of docs: doc_id and part, a number of the row, n_words, the
+    hash of its words joined by one blank, and the segments as arrays."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t in b.column(1):
+            for t in b.column(2):
                 words = text_bytes(t.as_py()).split()
                 parts = segments(word_hashes(words), window, gram) if len(words) >= window else [np.empty(0, U)] * 4
                 rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest(), *parts))
@@ -189,18 +191,19 @@ def document_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
             lists = [pa.array([x.astype(kind) if kind != np.int64 else x.view(np.int64) for x in col], pa.list_(to))
                      for col, kind, to in ((first, np.int32, pa.int32()), (count, np.int32, pa.int32()),
                                            (anchor, np.int64, pa.int64()), (seg, np.int64, pa.int64()))]
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), *lists], names)
+            yield pa.record_batch([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int64()), pa.array(sha, pa.string()), *lists], names)
 
-    names = ["doc_id", "n_words", "sha", "start", "n", "anchor", "seg"]
-    return docs.mapInArrow(run, "doc_id long, n_words long, sha string, start array<int>, n array<int>, "
-                                "anchor array<long>, seg array<long>")
+    names = ["doc_id", "part", "row", "n_words", "sha", "start", "n", "anchor", "seg"]
+    numbered = docs.select(*KEY, "text", F.monotonically_increasing_id().alias("row"))
+    return numbered.mapInArrow(run, "doc_id long, part long, row long, n_words long, sha string, start array<int>, "
+                                    "n array<int>, anchor array<long>, seg array<long>")
 
 
 def touched(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
-    """Rows of ``docs`` that may have an id of ``wanted``: a bit per hashed id,
+    """Rows of ``docs`` that may have a key of ``wanted``: a bit per hashed key,
     ``bits`` in all whatever the input, tested where the text lies. A full
     filter lets every row through to the join, which decides."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1  # bitmap_bucket_number is 1-based over positions 1..32768
+    at = F.pmod(F.xxhash64(*KEY), F.lit(bits)) + 1  # bitmap_bucket_number is 1-based over positions 1..32768
     maps = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")).collect()
     flags = np.zeros(bits // 8 + 4096, np.uint8)
@@ -216,31 +219,31 @@ def touched(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, found: DataFrame, window: int, gram: int, hot: int, shard: int, bits: int) -> DataFrame:
-    """(doc_id, start, n): runs of windows that also start earlier."""
-    seg = found.select("doc_id", F.explode(F.arrays_zip("start", "n", "anchor", "seg")).alias("x")).select("doc_id", "x.*")
+    """(doc_id, part, start, n): runs of windows that also start earlier."""
+    place = F.struct(*KEY, "start")
+    seg = found.select(*KEY, F.explode(F.arrays_zip("start", "n", "anchor", "seg")).alias("x")).select(*KEY, "x.*")
     met = seg.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("c > 1")
     seg = stage(seg.join(met.select("anchor", (F.col("lo") != F.col("hi")).alias("many")), "anchor"), "fm-segments")
-    firsts = stage(seg.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.first("n").alias("n"),
+    firsts = stage(seg.groupBy("anchor", "seg").agg(F.min(place).alias("f"), F.first("n").alias("n"),
                                                     F.first("many").alias("many"), F.count(F.lit(1)).alias("c")), "fm-firsts")
     later = seg.join(firsts.where("c > 1").select("anchor", "seg", "f"), ["anchor", "seg"]).where(
-        F.struct("doc_id", "start") != F.col("f")).select("doc_id", "start", "n")
+        place != F.col("f")).select(*KEY, "start", "n")
 
     many = firsts.where("many").groupBy("anchor").agg(F.count(F.lit(1)).alias("k"))
     wanted = firsts.where("many").join(many, "anchor").select("f.*", "n", "anchor", (F.col("k") > hot).alias("hot"))
-    by_doc = stage(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("want")), "fm-wanted")
+    by_doc = stage(wanted.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("want")), "fm-wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = {k: [] for k in ("anchor", "doc_id", "start", "words")}
-            for d, t, want in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            out = {k: [] for k in ("anchor", *KEY, "start", "words")}
+            for d, p, t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 h = word_hashes(text_bytes(t.as_py()).split())
                 wins = polynomial(h, window) if len(h) >= window else h[:0]
                 for w in want.as_py():
                     s, n = w["start"], w["n"]
-                    if s + n > len(wins):
-                        continue  # the other text of a repeated id
                     out["anchor"].append(w["anchor"])
                     out["doc_id"].append(d)
+                    out["part"].append(p)
                     out["start"].append(s)
                     # a hot anchor's windows go by their hashes, shown by a row with fewer words than a window
                     out["words"].append(wins[s:s + n].view(np.int64) if w["hot"] else h[s:s + n + window - 1].view(np.int64))
@@ -249,28 +252,33 @@ def repeated_windows(docs: DataFrame, found: DataFrame, window: int, gram: int,
                     out = {k: [] for k in out}
             yield pa.record_batch(list(map(pa.array, out.values(), kinds)), list(out))
 
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-    rows = stage(touched(docs, by_doc, bits).join(by_doc, "doc_id").select("doc_id", "text", "want").mapInArrow(
-        fetch, "anchor long, doc_id long, start int, words array<long>").distinct(), "fm-rows")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    rows = stage(touched(docs, by_doc, bits).join(by_doc, KEY).select(*KEY, "text", "want").mapInArrow(
+        fetch, "anchor long, doc_id long, part long, start int, words array<long>").distinct(), "fm-rows")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        doc, start = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for k in (1, 2))
-        words = [x.values.to_numpy(zero_copy_only=False).view(U) for b in held for x in b.column(3)]
-        d, s = shard_repeats(doc, start, words, window)
-        yield pa.record_batch([pa.array(d), pa.array(s.astype(np.int32)), pa.array(np.ones(len(d), np.int32))], ["doc_id", "start", "n"])
+        doc, part, start = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for k in (1, 2, 3))
+        words = [x.values.to_numpy(zero_copy_only=False).view(U) for b in held for x in b.column(4)]
+        order = np.lexsort((part, doc))
+        doc, part = doc[order], part[order]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])
+        rank = np.empty(len(doc), np.int64)
+        rank[order] = np.cumsum(new) - 1
+        d, s = shard_repeats(rank, start, words, window)
+        yield pa.record_batch([pa.array(doc[new][d]), pa.array(part[new][d]), pa.array(s.astype(np.int32)),
+                               pa.array(np.ones(len(d), np.int32))], [*KEY, "start", "n"])
 
     full = F.size("words") >= window
     shards = max(1, -(-rows.where(full).count() // shard))
-    matched = rows.where(full).repartition(shards, "anchor").mapInArrow(search, "doc_id long, start int, n int")
+    matched = rows.where(full).repartition(shards, "anchor").mapInArrow(search, "doc_id long, part long, start int, n int")
 
-    wins = rows.where(~full).select("doc_id", F.posexplode("words").alias("k", "w"), "start").select(
-        "w", "doc_id", (F.col("start") + F.col("k")).alias("start"))
-    low = wins.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    hot_later = wins.join(low, "w").where(F.struct("doc_id", "start") != F.col("f")).select(
-        "doc_id", "start", F.lit(1).alias("n"))
+    wins = rows.where(~full).select(*KEY, F.posexplode("words").alias("k", "w"), "start").select(
+        "w", *KEY, (F.col("start") + F.col("k")).alias("start"))
+    low = wins.groupBy("w").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    hot_later = wins.join(low, "w").where(place != F.col("f")).select(*KEY, "start", F.lit(1).alias("n"))
     return later.unionByName(matched).unionByName(hot_later)
 
 
@@ -279,32 +287,35 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_words, n_removed, kept_sha256), one row per row of ``docs``;
     ``with_text`` adds the kept words, joined by one blank (null where nothing
     was removed: the text stands as it is)."""
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
+                    F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("part"), F.col(text_col).alias("text"))
     found = stage(document_segments(d, window, gram), "fm-documents")
     spans = repeated_windows(d, found, window, gram, hot, shard, bits)
-    by_doc = stage(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "fm-spans")
+    by_doc = stage(spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("spans")), "fm-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for d, t, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for d, p, t, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 words = text_bytes(t.as_py()).split()
                 at = np.array([(x["start"], x["n"]) for x in spans.as_py()], np.int64)
-                at = at[at[:, 0] + at[:, 1] + window - 1 <= len(words)]
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, at[:, 0], 1)
                 np.add.at(edge, at[:, 0] + at[:, 1] + window - 1, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 kept = b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x)
-                out.append((d, hashlib.sha256(b" ".join(words)).hexdigest(), int(gone.sum()),
-                            hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+                out.append((d, p, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    names, kinds = ["doc_id", "sha", "n_removed", "kept_sha", "kept"], [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
-    new = touched(d, by_doc, bits).join(by_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(
-        cut, "doc_id long, sha string, n_removed long, kept_sha string, kept string").dropDuplicates(["doc_id", "sha"])
-    out = found.select("doc_id", "n_words", "sha").join(new, ["doc_id", "sha"], "left")
-    cols = [F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-            F.coalesce("kept_sha", "sha").alias("kept_sha256")]
-    return out.select(*cols, *([F.col("kept").alias("text")] if with_text else []))
+    names, kinds = [*KEY, "n_removed", "kept_sha", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    new = touched(d, by_doc, bits).join(by_doc, KEY).select(*KEY, "text", "spans").mapInArrow(
+        cut, "doc_id long, part long, n_removed long, kept_sha string, kept string").dropDuplicates(KEY)
+    # of equal texts without an id, all rows but one are whole repeats of that one
+    one = found.where(F.col("doc_id") == NULL_ID).groupBy("part").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("one"))
+    out = found.select(*KEY, "row", "n_words", "sha").join(new, KEY, "left").join(one, "row", "left")
+    again = (F.col("doc_id") == NULL_ID) & F.col("one").isNull() & (F.col("n_words") >= window)
+    cols = [F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_words",
+            F.when(again, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+            F.when(again, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256")]
+    return out.select(*cols, *([F.when(again, F.lit("")).otherwise(F.col("kept")).alias("text")] if with_text else []))

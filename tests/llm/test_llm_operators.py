@@ -349,10 +349,52 @@ def test_fm_dedup_returns_the_kept_words_and_takes_null_ids(docs):
             assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 and len(r.text.split(" ")) >= r.n_words - r.n_removed
 
 
+def signed_hash(t):
+    import xxhash
+    return simhash.signed(xxhash.xxh64_intdigest((t or "").encode(), 42))
+
+
+def rows_brute(rows, window):
+    """(doc_id, n_words, n_removed, hash of the kept words): each text of an id
+    is a document, and so is each row without an id."""
+    docs = collections.Counter((i is not None, i or 0, signed_hash(t), t or "") for i, t in rows)
+    seen, out = set(), []
+    for (known, i, _, t), n in sorted(docs.items()):
+        w = t.encode().split()
+        for _ in range(1 if known else n):
+            gone = set()
+            for k in range(len(w) - window + 1):
+                if (key := tuple(w[k:k + window])) in seen:
+                    gone |= set(range(k, k + window))
+                seen.add(key)
+            kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
+            out += [(i if known else None, len(w), len(gone), hashlib.sha256(kept).hexdigest())] * (n if known else 1)
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("hot", [2048, 2])
+def test_fm_dedup_null_and_shared_ids(spark, hot):
+    rnd = random.Random(11)
+    passages = [" ".join(rnd.choices("abcdefgh", k=24)) for _ in range(4)]
+
+    def text():
+        return " ".join(rnd.choices("ijklmnop", k=rnd.randint(0, 30))) + " " + rnd.choice([*passages, ""]) + " " + " ".join(
+            rnd.choices("ijklmnop", k=rnd.randint(0, 30)))
+    whole = text() + " " + passages[0]
+    rows = [(None, text()) for _ in range(15)] + [(None, whole)] * 3 + [(None, "a short text")] * 2 + [(None, None), (None, "")]
+    rows += [(7, text()) for _ in range(15)] + [(7, whole), (8, whole), (8, whole), (0, text()), (-5, text())]
+    rows += [(9, None), (9, " "), (9, text())]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = fm_dedup.drop_repeats(d, hot=hot, shard=5, with_text=True).collect()
+    assert sorted((tuple(r)[:4] for r in out), key=repr) == rows_brute(rows, fm_dedup.WINDOW)
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in out if r.text is not None)
+    assert all(r.n_removed == 0 for r in out if r.text is None)
+
+
 @pytest.mark.parametrize("bits", [fm_dedup.FILTER_BITS, 1])
 def test_fm_dedup_takes_ids_whose_hash_is_zero(spark, bits):
     text = " ".join(f"w{k}" for k in range(30))
-    rows = [(25317696, text + " x"), (25317697, "y " + text)]  # the first id's hash is 0 of 2**24; with one bit, all are
+    rows = [(25317696, text + " x"), (25317697, "y " + text)]  # the first id's hash is 0 of 2**24; with one bit, every hash is
     got = fm_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bits=bits).collect()
     assert {r.doc_id: r.n_removed for r in got} == {25317696: 0, 25317697: 30}
 
