@@ -70,9 +70,26 @@ def text_bytes(value: str | None) -> bytes:
     return b"" if value is None else value.encode()
 
 
-def restored(keys: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs``, all columns, whose id is in ``keys`` (one column, null
-    ids included). Only the key is compared, so any other column may clash."""
-    k = keys.select(F.col(keys.columns[0]).alias("_k"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
-    return rows.join(k, rows["_id"].eqNullSafe(k["_k"]), "left_semi").select("_row.*")
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text, null as an empty one."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def restored(keys: DataFrame, docs: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs``, all columns, whose id (null ids included) and digest are
+    in ``keys`` (doc_id, digest, and maybe ``single``). Where a key says single and
+    several rows have it, the one that sorts first as JSON stands for them. Any
+    other column may clash with the keys'."""
+    rows = docs.select(F.col(id_col).alias("_id"), digest.alias("_digest"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+
+    def found(some: DataFrame) -> DataFrame:
+        k = some.select(F.col("doc_id").alias("_k"), F.col("digest").alias("_d"))
+        return rows.join(k, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d")), "left_semi")
+
+    if "single" not in keys.columns:
+        return found(keys).select("_row.*")
+    out = found(keys.where("not single"))
+    if not keys.where("single").isEmpty():
+        out = out.unionByName(found(keys.where("single")).groupBy("_id", "_digest").agg(
+            F.min_by("_row", F.to_json("_row")).alias("_row")))
+    return out.select("_row.*")

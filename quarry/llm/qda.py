@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stage, text_bytes
@@ -64,15 +64,16 @@ def statistics(text: bytes) -> np.ndarray:
     return np.concatenate([lexical, np.log(share)])
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x): an array of ``NAMES`` for each row."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
+    """(doc_id, x): an array of ``NAMES`` for each row, and its binary ``digest`` if given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [statistics(text_bytes(t.as_py())) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+            yield pa.record_batch([b.column(0), pa.array(x, pa.list_(pa.float64())), *b.columns[2:]], ["doc_id", "x", *more])
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "doc_id long, x array<double>")
+    more = [] if digest is None else ["digest"]
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([digest.alias("digest")] if more else []))
+    return d.mapInArrow(run, "doc_id long, x array<double>" + (", digest binary" if more else ""))
 
 
 @dataclass(frozen=True)
@@ -139,8 +140,9 @@ def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, len(NAMES)))
-            yield pa.record_batch([b.column(0), pa.array(model.score(x))], ["doc_id", "score"])
-    return rows.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+            yield pa.record_batch([b.column(0), pa.array(model.score(x)), *b.columns[2:]], ["doc_id", "score", *more])
+    more = [c for c in rows.columns if c == "digest"]
+    return rows.select("doc_id", "x", *more).mapInArrow(run, "doc_id long, score double" + (", digest binary" if more else ""))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -149,12 +151,13 @@ def held_out(id_col: str = "doc_id"):
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per row of ``docs``. The
-    texts are read once; their vectors are written and used for both steps."""
-    x = stage(features(docs, id_col, text_col), "qda-features")
+                   threshold: float = THRESHOLD, digest: Column | None = None) -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row per row of ``docs``, and its
+    ``digest`` if given. The texts are read once; their vectors are written and used for both steps."""
+    x = stage(features(docs, id_col, text_col, digest), "qda-features")
     y = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
         .agg(F.round(F.avg("quality")).cast("int").alias("y"))
     model = fit(x.where(~held_out()).join(y, "doc_id").select("x", "y"))
     return scored(x, model).select("doc_id", held_out().alias("held_out"), "score",
-                                   (F.col("score") >= threshold).cast("int").alias("predicted"))
+                                   (F.col("score") >= threshold).cast("int").alias("predicted"),
+                                   *([] if digest is None else ["digest"]))

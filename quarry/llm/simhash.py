@@ -26,7 +26,7 @@ from itertools import combinations, islice, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stage, text_bytes
@@ -59,15 +59,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint as a signed long."""
+                 shingle: int = SHINGLE, seed: int = SEED, digest: Column | None = None) -> DataFrame:
+    """(doc_id, fp): the 64-bit fingerprint as a signed long, and the row's binary ``digest`` if given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(text_bytes(t.as_py()), shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *more])
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "doc_id long, fp long")
+    more = [] if digest is None else ["digest"]
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([digest.alias("digest")] if more else []))
+    return d.mapInArrow(run, "doc_id long, fp long" + (", digest binary" if more else ""))
 
 
 def split_bits(bits: list[int], n: int) -> list[int]:
@@ -261,14 +262,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
-                   shingle: int = SHINGLE, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row per row of ``docs``."""
-    fps = stage(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp")
+                   shingle: int = SHINGLE, seed: int = SEED, group: int = GROUP, digest: Column | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id), one row per row of ``docs``; with
+    ``digest`` also that and root, which tells components without an id apart."""
+    fps = stage(fingerprints(docs, id_col, text_col, shingle, seed, digest), "simhash-fp")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), radius, group))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = stage(placed, "simhash-roots")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = placed.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_fp = placed.join(least, "root").select("fp", "component_id", "root")
+    return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+                                          *([] if digest is None else ["digest", "root"]))

@@ -570,3 +570,49 @@ def test_pipeline_stages(docs, spark, tmp_path):
                 i for (i, _), n in before.items() for _ in range(n)) and all(r.round_trip for r in rows)
         out.write.parquet(f"{tmp_path}/{name}")
         cur = spark.read.parquet(f"{tmp_path}/{name}")
+
+
+def test_pipeline_decides_on_rows_of_null_and_shared_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rnd = random.Random(5)
+
+    def good():
+        return " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(2, 8))) for _ in range(30)) + "."
+
+    def bad():
+        return " ".join(w.upper() + "!!" for w in good().split())
+
+    def frame(rows):
+        return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    train = [(i, good() if i % 2 else bad(), "s0") for i in range(200)]
+    spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(train + [(i, f(), "s0") for i in (None, 500) for f in (good, bad, bad)])
+    scores = qda.quality_scores(docs, labels).where("predicted = 1").collect()
+    out = p.quality(spark, docs, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in out) == collections.Counter(r.doc_id for r in scores)
+    assert [sum(r.doc_id == i for r in out) for i in (None, 500)] == [1, 1]
+
+    a, b, c, d = (good() for _ in range(4))
+    near = d + " end"
+    rows = [(None, a, "s0"), (None, a.upper(), "s0"), (None, a, "s1"), (None, b, "s0"), (1, b, "s0"), (1, c, "s0"), (1, c, "s0"),
+            (2, c, "s0"), (2, a + " x", "s0"), (3, d, "s0"), (3, d, "s0"), (None, None, "s0"), (None, "", "s0")]
+    out = [(r.doc_id, lower(r.text)) for r in p.exact(spark, frame(rows), str(tmp_path)).collect()]
+    want = [(None, a), (1, b), (2, c), (2, a + " x"), (3, d), (None, "")]
+    assert sorted(out, key=repr) == sorted(((i, lower(t)) for i, t in want), key=repr)
+
+    rows += [(None, near, "s0"), (1, near, "s0")]
+    roots = components_brute([simhash_brute(t) for _, t, _ in rows], 2)
+    group = lambda t: roots[simhash_brute(t)]
+    out = [(r.doc_id, group(r.text)) for r in p.near(spark, frame(rows), str(tmp_path)).collect()]
+    ids = collections.defaultdict(list)
+    for i, t, _ in rows:
+        ids[group(t)] += [i] * (i is not None)
+    assert sorted(out, key=repr) == sorted(((min(x, default=None), g) for g, x in ids.items()), key=repr)
+
+    rows = [(i, good(), f"s{k % 3}") for i in (None, 7) for k in range(120)]
+    _, target, _ = mix_brute([(i, t, "en", s) for i, t, s in rows])
+    out = p.mix(spark, frame(rows), str(tmp_path)).collect()
+    for s, want in target.items():
+        assert abs(sum(len(r.text.split()) for r in out if r.source == s) - want) <= 30
