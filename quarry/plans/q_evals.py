@@ -111,8 +111,8 @@ def assemble_prompts(spark, d):
 
 @query("batch_infer_cached")
 def batch_infer_cached(spark, d):
-    """Prompts of R5 through the cached batch hook; a second pass over
-    the same prompts finds everything in the cache (no recomputation)."""
+    """Prompts of R5 through the batch hook, one pass with an empty cache:
+    every distinct prompt is computed, and nothing is joined with cached rows."""
     from quarry.operators.infer import batch_infer_cached as bic
     prompts = assemble_prompts(spark, d)
     answers, fresh = bic(prompts, None, "default")
