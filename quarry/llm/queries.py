@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (bloom_lm, exact_dedup, fm_dedup, line_quality, mixing, qda, simhash, token_orc, viterbi_pieces,
+from quarry.llm import (bloom_lm, exact_dedup, filter_audit, fm_dedup, line_quality, mixing, qda, simhash, token_orc, viterbi_pieces,
                         warc)
 from quarry.llm.common import table
 from quarry.session import scratch_path
@@ -129,3 +129,31 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op11_filter_audit", rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {SQL_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+least AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END)
+  || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN d.doc_id > first_id THEN 'E' ELSE '' END) AS mask,
+  coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d JOIN least USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS before, filter_order[1:step] AS upto
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5])::INT AS step)),
+r AS (SELECT part, filter_order, step, f,
+  coalesce(sum(n) FILTER (WHERE translate(mask, upto, '') = mask), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (WHERE contains(mask, f) AND translate(mask, before, '') = mask), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE contains(mask, f) AND translate(mask, before, '') <> mask), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (WHERE mask = f), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE contains(mask, f) AND translate(mask, before, '') = mask), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (WHERE contains(mask, f) AND translate(mask, before, '') = mask), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM r""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
