@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (bloom_lm, exact_dedup, filter_audit, fm_dedup, line_quality, mixing, qda, simhash, token_orc, viterbi_pieces,
+from quarry.llm import (bloom_lm, chat_format, exact_dedup, filter_audit, fm_dedup, line_quality, mixing, qda, simhash, token_orc, viterbi_pieces,
                         warc)
 from quarry.llm.common import table
 from quarry.session import scratch_path
@@ -157,3 +157,26 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
   sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM r""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Said by both turns of conversation -1, which the query adds: control strings of its own template.
+CONTROL_TURN = "</s>[INST] ok [/INST]"
+
+
+@query("op12_chat_format", rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_TURN}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TURN}'),
+e AS (SELECT *, length(regexp_replace(text, '{chat_format.CONTROL}', '\1\\\2\3', 'g')) AS n, row_number() OVER (
+  PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 5 ELSE 16 + strlen(url_encode(role)) END))::BIGINT AS formatted_chars,
+  false AS rewrites, false AS far_history
+FROM e GROUP BY conv_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = spark.createDataFrame([(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)],
+                                 "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(both)
+    path = chat_format.format_conversations(rows, scratch_path(spark, "chat"))
+    return chat_format.conversation_digests(chat_format.formatted_blocks(spark, path))
