@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (bloom_lm, chat_format, exact_dedup, filter_audit, fm_dedup, line_quality, mixing, qda, simhash, token_orc, viterbi_pieces,
+from quarry.llm import (bloom_lm, chat_format, collocations, exact_dedup, filter_audit, fm_dedup, line_quality, mixing, qda, simhash, token_orc, viterbi_pieces,
                         warc)
 from quarry.llm.common import table
 from quarry.session import scratch_path
@@ -180,3 +180,26 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(both)
     path = chat_format.format_conversations(rows, scratch_path(spark, "chat"))
     return chat_format.conversation_digests(chat_format.formatted_blocks(spark, path))
+
+
+@query("op13_collocations", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p WHERE len(w) > 1
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p WHERE len(w) > 2),
+total AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+s AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+c AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS lp, array_to_string(w[cut + 1:], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM s)),
+sc AS (SELECT c.*, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = lp JOIN f y ON y.lang = c.lang AND y.phrase = rp),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner2 AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM s WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner2 i ON i.lang = best.lang AND i.phrase = best.phrase WHERE longer IS NULL OR 100 * longer < 50 * a),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM top JOIN total USING (lang) WHERE rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
