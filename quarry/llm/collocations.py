@@ -12,11 +12,11 @@ the proposals. A wrong or empty sample costs passes (at most as many as a phrase
 has words), never results.
 
 The border is never listed. A phrase is counted where both shorter phrases
-stand in the proposals, which tasks hold as one bit array a length of ``BITS``
-bits: a fixed size, whatever the corpus. Two phrases on one bit add a phrase to
-the count and change no result, as counts are kept by the phrase itself. A later
-pass leaves out what the bits of the pass before let through, so nothing is
-counted twice.
+stand in the proposals, which tasks hold as one bit array a length, sized by the
+sample's proposals and of ``BITS`` bits at most, whatever the corpus. Two
+phrases on one bit add a phrase to the count and change no result, as counts are
+kept by the phrase itself. Arrays only gain bits, and a later pass leaves out
+what the bits of the pass before let through, so nothing is counted twice.
 
 Scale: a pass reads the texts in their scan tasks, where Arrow cuts the words;
 numpy counts the different phrases of each ``CHUNK`` characters before Spark sums
@@ -45,7 +45,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import mix, stage
 
-BITS = 1 << 27  # of the proposals of one phrase length: 16 MB
+BITS = 1 << 27  # most bits for the proposals of one phrase length: 16 MB
+PER_PHRASE = 16  # bits for each phrase that the sample proposes, up to BITS
 CHUNK = 1 << 24  # bytes of text counted at a time
 SAMPLE = 8  # one document in so many proposes
 BREAKS = b".,;:!?\x0b\x0c\r"  # with the line feed: no phrase goes across
@@ -179,11 +180,18 @@ def bit_place() -> Column:
     return place("lang", "phrase")
 
 
-def proposals(phrases: DataFrame, longest: int, earlier: list | None = None) -> list:
-    """A bit array for each phrase length below ``longest``: the bits of
-    ``phrases`` and those of ``earlier``. At most BITS bits each reach the driver."""
-    out = [np.zeros(BITS // 8, np.uint8) if earlier is None else earlier[k].copy() for k in range(longest - 1)]
-    at = phrases.where(F.col("k").between(1, longest - 1)).select("k", (bit_place() + 1).alias("at"))  # buckets start at 1
+def empty_bits(phrases: DataFrame, longest: int) -> list:
+    """Bit arrays for phrases of 1 to ``longest`` - 1 words, sized by their number."""
+    n = phrases.where(F.col("k").between(1, longest - 1)).count()
+    size = min(BITS, max(1 << 16, 1 << (PER_PHRASE * n).bit_length()))
+    return [np.zeros(size // 8, np.uint8) for _ in range(longest - 1)]
+
+
+def with_bits(earlier: list, phrases: DataFrame) -> list:
+    """``earlier`` and the bits of ``phrases``; at most BITS a length reach the driver."""
+    out = [x.copy() for x in earlier]
+    size = 8 * len(out[0])
+    at = phrases.where(F.col("k").between(1, len(out))).select("k", (bit_place() % size + 1).alias("at"))  # buckets start at 1
     maps = at.groupBy("k", F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
     for k, b, m in maps.toLocalIterator():
         out[k - 1][(b - 1) * 4096:(b - 1) * 4096 + len(m)] |= np.frombuffer(m, np.uint8)
@@ -216,14 +224,14 @@ def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, rate: i
     context = docs.sparkSession.sparkContext
     few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate)) == 0)
     seen = stage(counted(few, longest - 1).where(F.col("n") >= lowered(least, rate)), "phrases-sample")
-    bits, shared, found = proposals(seen, longest), [None], []
+    bits, shared, found = with_bits(empty_bits(seen, longest), seen), [None], []
     while True:
         shared.append(context.broadcast(bits))
         found.append(stage(counted(docs, longest, shared[-1], shared[-2]).where((F.col("n") >= least) | (F.col("k") == 0)), "phrases-pass"))
         inner = found[-1].where(F.col("k").between(1, longest - 1))
         if without_bit(inner, shared[-1]).isEmpty():
             break
-        bits = proposals(inner, longest, bits)
+        bits = with_bits(bits, inner)
     for b in shared[1:]:
         b.destroy()
     out = found[0]
