@@ -2,28 +2,30 @@
 
 A phrase can only be frequent if the two phrases one word shorter in it are. A
 sample of the documents proposes phrases: those that reach a lowered threshold
-there. A pass over all documents then counts, exactly, the proposed phrases and
-their negative border, which is every phrase that was not proposed though its
-two shorter phrases were (every word, for words). A phrase of the border that
-turns out to be frequent is a failure of the sample: phrases that hold it may
-be frequent and uncounted. So what was found joins the proposals and another
-pass counts the border that this adds, until no frequent phrase is missing from
-the proposals. A wrong or empty sample costs passes (at most as many as a phrase
-has words), never results.
+there. A pass over all documents then counts the proposed phrases and their
+negative border, which is every phrase that was not proposed though its two
+shorter phrases were (every word, for words). A phrase of the border that turns
+out to be frequent is a failure of the sample: phrases that hold it may be
+frequent and uncounted. So what was found joins the proposals, and another pass
+counts the border that this adds, until no frequent phrase is missing from the
+proposals. A wrong or empty sample costs passes (at most as many as a phrase has
+words), never results.
 
 The border is never listed. A phrase is counted where both shorter phrases
 stand in the proposals, which tasks hold as one bit array a length, sized by the
-sample's proposals and of ``BITS`` bits at most, whatever the corpus. Two
-phrases on one bit add a phrase to the count and change no result, as counts are
-kept by the phrase itself. Arrays only gain bits, and a later pass leaves out
-what the bits of the pass before let through, so nothing is counted twice.
-
-Scale: a pass reads the texts in their scan tasks, where Arrow cuts the words;
-numpy counts the different phrases of each ``CHUNK`` characters before Spark sums
-them by (language, phrase) with combining on the map side. Counts of a pass are
-written with those below the threshold left out. Scores come from joins of these
-tables, the best phrases of a language from two steps, the first of which is
-dealt by hash, so no language is one task's.
+sample's proposals and of ``BITS`` bits at most, whatever the corpus. These
+passes count by 64-bit hashes of phrases, so most of what they shuffle (phrases
+that turn out to be rare) is one number a phrase. Two phrases on one hash or one
+bit add a phrase to what is counted and lose none; a last pass counts those that
+were found by the phrase itself, so the results are exact.
+
+Scale: a pass reads the texts in their scan tasks, where Arrow cuts the words
+and numpy counts the different phrases of each ``CHUNK`` bytes before Spark sums
+them with combining on the map side. Arrays only gain bits, and a later pass
+leaves out what the bits of the pass before let through, so nothing is counted
+twice. Counts of a pass are written with those below the threshold left out.
+Scores come from joins of the exact counts, the best phrases of a language from
+two steps, the first of which is dealt by hash, so no language is one task's.
 
 Defined results: a null text has no words, a null language is ``und``; every row
 counts, repeated rows and ids as well. Empty tables give no rows. Texts are read
@@ -32,6 +34,7 @@ whole; a very long one is a chunk of its own. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -47,11 +50,12 @@ from quarry.llm.common import mix, stage
 
 BITS = 1 << 27  # most bits for the proposals of one phrase length: 16 MB
 PER_PHRASE = 16  # bits for each phrase that the sample proposes, up to BITS
-CHUNK = 1 << 24  # bytes of text counted at a time
+CHUNK = 1 << 23  # bytes of text counted at a time
 SAMPLE = 8  # one document in so many proposes
 BREAKS = b".,;:!?\x0b\x0c\r"  # with the line feed: no phrase goes across
 _PLAIN = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"\n" * len(BREAKS) + b" " + bytes(range(97, 123)))
 COUNTS = "lang string, k int, phrase string, n long"
+_LENGTH = 7  # the low bits of a phrase's hash are its number of words
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, int]:
@@ -74,11 +78,72 @@ def longer_hash(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(phrase * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(8 * len(bits) - 1)
+def keyed(whole: np.ndarray, k: int) -> np.ndarray:
+    return (whole & ~np.uint64(_LENGTH)) | np.uint64(k)
+
+
+def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys >> np.uint64(3)) & np.uint64(8 * len(bits) - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def both(flags: np.ndarray) -> np.ndarray:
+    """Flag of each place and the next together."""
+    return flags[:-1] & flags[1:]
+
+
+class Chunk:
+    """Phrases of some texts of one language, by the place of their first word."""
+
+    def __init__(self, texts: list[bytes], lang: str):
+        self.ids, self.words, stop = tokens(texts)
+        self.word = self.ids != stop
+        self.seed = lang_seed(lang)
+
+    def lengths(self, longest: int) -> Iterator[tuple]:
+        """(k, places that hold a phrase, hash at each place)."""
+        each = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer(), self.seed) for w in self.words), np.uint64, len(self.words))[self.ids]
+        valid, whole = self.word, each
+        for k in range(1, longest + 1):
+            if k > 1:
+                valid, whole = valid[:-1] & self.word[k - 1:], longer_hash(whole[:-1], each[k - 1:])
+            yield k, valid, whole
+
+    def counted(self, longest: int, now: list | None, before: list | None) -> Iterator[tuple]:
+        """(keys, counts) of phrases whose shorter phrases have their bits in
+        ``now`` (None: all) and did not have them in ``before`` (None: none)."""
+        inner: dict = {}  # of the length before: phrases whose own bits are set as well
+        for k, valid, whole in self.lengths(longest):
+            key = keyed(whole, k)
+            let = {}
+            for name, bits in (("now", now), ("before", before)):
+                if bits is not None:
+                    let[name] = valid & both(inner[name]) if k > 1 else valid
+                    if k < longest:
+                        inner[name] = let[name] & has_bit(bits[k - 1], key)
+            new = let.get("now", valid)
+            if "before" in let:
+                new = new & ~let["before"]
+            found = key[new]
+            found.sort()
+            if len(found):
+                first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+                yield found[first].view(np.int64), np.diff(np.append(first, len(found)))
+
+    def exact(self, longest: int, bits: list) -> Iterator[tuple]:
+        """(k, phrases, counts) of the phrases with their bits in ``bits``, by
+        the words themselves, and the number of words as that of k = 0."""
+        yield 0, pa.array([""], pa.large_string()), np.array([np.count_nonzero(self.word)])
+        width = max(len(self.words) - 1, 1).bit_length()
+        for k, valid, whole in self.lengths(longest):
+            at = np.flatnonzero(valid)
+            at = at[has_bit(bits[k - 1], keyed(whole[at], k))]
+            if len(at):
+                rows, n = distinct([self.ids[at + j] for j in range(k)], width)
+                parts = [self.words.take(pa.array(r)) for r in rows]
+                yield k, parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", self.words.type)), n
+
+
 def distinct(columns: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The different rows of ``columns`` of ``bits``-bit numbers, and how often each occurs."""
     if len(columns) * bits <= 63:  # packed into one number, which sorts fastest
@@ -98,116 +163,73 @@ def distinct(columns: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np
     return rows, np.diff(np.append(first, size))
 
 
-def chunk_counts(texts: list[bytes], lang: str, longest: int, now: list | None, before: list | None) -> Iterator[tuple]:
-    """(k, phrases, counts) of the phrases that ``now`` lets through and
-    ``before`` did not; each is a bit array a phrase length, ``now`` None lets
-    all through. k = 0: number of words."""
-    ids, words, stop = tokens(texts)
-    word = ids != stop
-    seed = lang_seed(lang)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer(), seed) for w in words), np.uint64, len(words))[ids]
-    bits = max(len(words) - 1, 1).bit_length()
-    valid = admitted = word  # of the phrases of length k, by their first word
-    admitted_before = None if before is None else word
-    whole = hashes
-    if before is None:
-        yield 0, pa.array([""], pa.large_string()), np.array([np.count_nonzero(word)])
-    for k in range(1, longest + 1):
-        if k > 1:
-            whole_bits = [None if f is None else has_bit(f[k - 2], whole) for f in (now, before)]
-            inner = valid[:-1] & word[k - 1:]
-            admitted = inner if now is None else inner & both(admitted & whole_bits[0])
-            if before is not None:
-                admitted_before = inner & both(admitted_before & whole_bits[1])
-            valid = inner
-            whole = longer_hash(whole[:-1], hashes[k - 1:])
-        new = admitted if admitted_before is None else admitted & ~admitted_before
-        at = np.flatnonzero(new)
-        if len(at):
-            rows, n = distinct([ids[at + j] for j in range(k)], bits)
-            parts = [words.take(pa.array(r)) for r in rows]
-            yield k, parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", words.type)), n
-
-
-def both(flags: np.ndarray) -> np.ndarray:
-    """Flag of each place and the next together."""
-    return flags[:-1] & flags[1:]
-
-
-def counted(docs: DataFrame, longest: int, now=None, before=None) -> DataFrame:
-    """``COUNTS`` of one pass; ``now`` and ``before`` are broadcast bit arrays."""
+def by_chunk(docs: DataFrame, work, schema: str) -> DataFrame:
+    """``work(texts, lang)`` -> record batches, over chunks of each language's texts in the scan tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, texts in held.items():
-                for k, phrases, n in chunk_counts(texts, lang, longest, now and now.value, before and before.value):
-                    for first in range(0, len(n), 1 << 16):
-                        part = phrases.slice(first, 1 << 16)
-                        m = len(part)
-                        yield pa.record_batch([pa.array([lang] * m, pa.string()), pa.array(np.full(m, k, np.int32)), part.cast(pa.string()),
-                                               pa.array(n[first:first + m].astype(np.int64))], ["lang", "k", "phrase", "n"])
-            held.clear()
-
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 data = (text.as_py() or "").encode()
                 held.setdefault(lang, []).append(data)
                 size += len(data) + 1
                 if size >= CHUNK:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return rows.mapInArrow(run, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-
-
-def bit_place() -> Column:
-    """The bit of (lang, phrase), as ``chunk_counts`` finds it."""
-    @F.pandas_udf("long")
-    def place(lang: pd.Series, phrase: pd.Series) -> pd.Series:
-        out = []
-        seeds = {x: lang_seed(x) for x in lang.unique()}
-        for one, words in zip(lang, phrase.str.split(" ")):
-            hashes = np.array([xxhash.xxh64_intdigest(w.encode(), seeds[one]) for w in words], np.uint64)
-            whole = hashes[:1]
-            for j in range(1, len(hashes)):
-                whole = longer_hash(whole, hashes[j:j + 1])
-            out.append(int(whole[0] & np.uint64(BITS - 1)))
-        return pd.Series(out, dtype="int64")
-    return place("lang", "phrase")
-
-
-def empty_bits(phrases: DataFrame, longest: int) -> list:
-    """Bit arrays for phrases of 1 to ``longest`` - 1 words, sized by their number."""
-    n = phrases.where(F.col("k").between(1, longest - 1)).count()
-    size = min(BITS, max(1 << 16, 1 << (PER_PHRASE * n).bit_length()))
-    return [np.zeros(size // 8, np.uint8) for _ in range(longest - 1)]
-
-
-def with_bits(earlier: list, phrases: DataFrame) -> list:
-    """``earlier`` and the bits of ``phrases``; at most BITS a length reach the driver."""
+                    for x in held:
+                        yield from work(held[x], x)
+                    held, size = {}, 0
+        for x in held:
+            yield from work(held[x], x)
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, schema)
+
+
+def hash_counts(docs: DataFrame, longest: int, now=None, before=None) -> DataFrame:
+    """(h, n) of one pass; ``now`` and ``before`` are broadcast bit arrays."""
+    def work(texts: list[bytes], lang: str) -> Iterator[pa.RecordBatch]:
+        for keys, n in Chunk(texts, lang).counted(longest, now and now.value, before and before.value):
+            for first in range(0, len(n), 1 << 16):
+                yield pa.record_batch([pa.array(keys[first:first + (1 << 16)]), pa.array(n[first:first + (1 << 16)].astype(np.int64))], ["h", "n"])
+    return by_chunk(docs, work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def phrase_counts(docs: DataFrame, longest: int, bits) -> DataFrame:
+    """``COUNTS`` of the phrases with their bits in the broadcast arrays."""
+    def work(texts: list[bytes], lang: str) -> Iterator[pa.RecordBatch]:
+        for k, phrases, n in Chunk(texts, lang).exact(longest, bits.value):
+            for first in range(0, len(n), 1 << 16):
+                part = phrases.slice(first, 1 << 16).cast(pa.string())
+                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(np.full(len(part), k, np.int32)), part,
+                                       pa.array(n[first:first + len(part)].astype(np.int64))], ["lang", "k", "phrase", "n"])
+    return by_chunk(docs, work, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+
+
+def empty_bits(found: DataFrame, longest: int) -> list:
+    """A bit array for each number of words up to ``longest``, sized by the number of hashes ``found``."""
+    size = min(BITS, max(1 << 16, 1 << (PER_PHRASE * found.count()).bit_length()))
+    return [np.zeros(size // 8, np.uint8) for _ in range(longest)]
+
+
+def with_bits(earlier: list, found: DataFrame) -> list:
+    """``earlier`` and the bits of the hashes ``found``; at most BITS a length reach the driver."""
     out = [x.copy() for x in earlier]
     size = 8 * len(out[0])
-    at = phrases.where(F.col("k").between(1, len(out))).select("k", (bit_place() % size + 1).alias("at"))  # buckets start at 1
+    at = found.select(F.col("h").bitwiseAND(_LENGTH).alias("k"), (F.shiftrightunsigned("h", 3).bitwiseAND(size - 1) + 1).alias("at"))
     maps = at.groupBy("k", F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
-    for k, b, m in maps.toLocalIterator():
+    for k, b, m in maps.toLocalIterator():  # positions start at 1, as do the buckets
         out[k - 1][(b - 1) * 4096:(b - 1) * 4096 + len(m)] |= np.frombuffer(m, np.uint8)
     return out
 
 
-def without_bit(phrases: DataFrame, shared) -> DataFrame:
-    """Phrases that the proposals do not hold."""
+def without_bit(found: DataFrame, shared) -> DataFrame:
+    """Hashes that the proposals do not hold."""
     @F.pandas_udf("boolean")
-    def held(k: pd.Series, at: pd.Series) -> pd.Series:
-        out = np.zeros(len(k), bool)
-        for length in k.unique():
-            mine = (k == length).to_numpy()
-            out[mine] = has_bit(shared.value[length - 1], at[mine].to_numpy().astype(np.uint64))
+    def held(h: pd.Series) -> pd.Series:
+        keys = h.to_numpy().astype(np.int64).view(np.uint64)
+        out = np.zeros(len(keys), bool)
+        for k, bits in enumerate(shared.value, 1):
+            mine = (keys & np.uint64(_LENGTH)) == k
+            out[mine] = has_bit(bits, keys[mine])
         return pd.Series(out)
-    return phrases.where(~held("k", bit_place()))
+    return found.where(~held("h"))
 
 
 def lowered(least: int, rate: int, risk: float = 0.01) -> int:
@@ -217,27 +239,36 @@ def lowered(least: int, rate: int, risk: float = 0.01) -> int:
     return max(2, math.ceil(mean - math.sqrt(2 * mean * math.log(1 / risk))))
 
 
-def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, rate: int = SAMPLE) -> tuple[DataFrame, int]:
-    """(``COUNTS`` of all phrases of up to ``longest`` words that occur ``least``
-    times or more, and of k = 0, the number of words of a language; passes made).
-    ``rate``: one document in so many is in the sample, by hash."""
+def frequent_hashes(docs: DataFrame, least: int, longest: int, rate: int) -> tuple[DataFrame, int]:
+    """(h, n) of the phrases that may occur ``least`` times (all that do, and any
+    that share their hash), and the passes made."""
     context = docs.sparkSession.sparkContext
     few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate)) == 0)
-    seen = stage(counted(few, longest - 1).where(F.col("n") >= lowered(least, rate)), "phrases-sample")
-    bits, shared, found = with_bits(empty_bits(seen, longest), seen), [None], []
+    seen = stage(hash_counts(few, longest - 1).where(F.col("n") >= lowered(least, rate)), "phrases-sample")
+    bits, shared, found = with_bits(empty_bits(seen, longest - 1), seen), [None], []
     while True:
         shared.append(context.broadcast(bits))
-        found.append(stage(counted(docs, longest, shared[-1], shared[-2]).where((F.col("n") >= least) | (F.col("k") == 0)), "phrases-pass"))
-        inner = found[-1].where(F.col("k").between(1, longest - 1))
+        found.append(stage(hash_counts(docs, longest, shared[-1], shared[-2]).where(F.col("n") >= least), "phrases-pass"))
+        inner = found[-1].where(F.col("h").bitwiseAND(_LENGTH) < longest)
         if without_bit(inner, shared[-1]).isEmpty():
             break
         bits = with_bits(bits, inner)
     for b in shared[1:]:
         b.destroy()
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out, len(found)
+    return functools.reduce(DataFrame.unionByName, found), len(found)
+
+
+def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, rate: int = SAMPLE) -> tuple[DataFrame, int]:
+    """(``COUNTS`` of all phrases of up to ``longest`` words that occur ``least``
+    times or more, and of k = 0, the number of words of a language; passes made
+    to find them). ``rate``: one document in so many is in the sample, by hash."""
+    if not 2 <= longest <= _LENGTH:
+        raise ValueError(f"phrases have 2 to {_LENGTH} words")
+    found, passes = frequent_hashes(docs, least, longest, rate)
+    bits = docs.sparkSession.sparkContext.broadcast(with_bits(empty_bits(found, longest), found))
+    counts = stage(phrase_counts(docs, longest, bits).where((F.col("n") >= least) | (F.col("k") == 0)), "phrases-exact")
+    bits.destroy()
+    return counts, passes
 
 
 def part_of(words: Column, first, size) -> Column:
