@@ -55,6 +55,7 @@ SAMPLE = 8  # one document in so many proposes
 BREAKS = b".,;:!?\x0b\x0c\r"  # with the line feed: no phrase goes across
 _PLAIN = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"\n" * len(BREAKS) + b" " + bytes(range(97, 123)))
 COUNTS = "lang string, k int, phrase string, n long"
+HELD = 1 << 22  # phrases that a task adds up in the exact pass
 _LENGTH = 7  # the low bits of a phrase's hash are its number of words
 
 
@@ -163,23 +164,25 @@ def distinct(columns: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np
     return rows, np.diff(np.append(first, size))
 
 
-def by_chunk(docs: DataFrame, work, schema: str) -> DataFrame:
-    """``work(texts, lang)`` -> record batches, over chunks of each language's texts in the scan tasks."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        size = 0
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                data = (text.as_py() or "").encode()
-                held.setdefault(lang, []).append(data)
-                size += len(data) + 1
-                if size >= CHUNK:
-                    for x in held:
-                        yield from work(held[x], x)
-                    held, size = {}, 0
-        for x in held:
-            yield from work(held[x], x)
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, schema)
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+
+
+def chunked(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """``work(texts, lang)`` -> record batches, over chunks of each language's texts."""
+    held: dict[str, list] = {}
+    size = 0
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+            data = (text.as_py() or "").encode()
+            held.setdefault(lang, []).append(data)
+            size += len(data) + 1
+            if size >= CHUNK:
+                for x in held:
+                    yield from work(held[x], x)
+                held, size = {}, 0
+    for x in held:
+        yield from work(held[x], x)
 
 
 def hash_counts(docs: DataFrame, longest: int, now=None, before=None) -> DataFrame:
@@ -188,18 +191,35 @@ def hash_counts(docs: DataFrame, longest: int, now=None, before=None) -> DataFra
         for keys, n in Chunk(texts, lang).counted(longest, now and now.value, before and before.value):
             for first in range(0, len(n), 1 << 16):
                 yield pa.record_batch([pa.array(keys[first:first + (1 << 16)]), pa.array(n[first:first + (1 << 16)].astype(np.int64))], ["h", "n"])
-    return by_chunk(docs, work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = texts_of(docs).mapInArrow(lambda batches: chunked(batches, work), "h long, n long")
+    return rows.groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(docs: DataFrame, longest: int, bits) -> DataFrame:
-    """``COUNTS`` of the phrases with their bits in the broadcast arrays."""
+    """``COUNTS`` of the phrases with their bits in the broadcast arrays. Counts of
+    up to ``HELD`` phrases are added up in the task before they go to Spark."""
     def work(texts: list[bytes], lang: str) -> Iterator[pa.RecordBatch]:
         for k, phrases, n in Chunk(texts, lang).exact(longest, bits.value):
-            for first in range(0, len(n), 1 << 16):
-                part = phrases.slice(first, 1 << 16).cast(pa.string())
-                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(np.full(len(part), k, np.int32)), part,
-                                       pa.array(n[first:first + len(part)].astype(np.int64))], ["lang", "k", "phrase", "n"])
-    return by_chunk(docs, work, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+            yield pa.record_batch([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), phrases.cast(pa.string()),
+                                   pa.array(n.astype(np.int64))], ["lang", "k", "phrase", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in chunked(batches, work):
+            held.append(b)
+            size += len(b)
+            if size > HELD:
+                held = [pa.Table.from_batches(held).group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")]).rename_columns(b.schema.names)]
+                if len(held[0]) > HELD // 2:
+                    yield from held[0].to_batches(1 << 16)
+                    held, size = [], 0
+                else:
+                    held, size = held[0].to_batches(), len(held[0])
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from table.group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")]).rename_columns(table.schema.names).to_batches(1 << 16)
+
+    return texts_of(docs).mapInArrow(run, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
 def empty_bits(found: DataFrame, longest: int) -> list:
