@@ -55,7 +55,7 @@ SAMPLE = 8  # one document in so many proposes
 BREAKS = b".,;:!?\x0b\x0c\r"  # with the line feed: no phrase goes across
 _PLAIN = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"\n" * len(BREAKS) + b" " + bytes(range(97, 123)))
 COUNTS = "lang string, k int, phrase string, n long"
-HELD = 1 << 22  # phrases that a task adds up in the exact pass
+HELD = 1 << 20  # phrases that a task adds up in the exact pass
 _LENGTH = 7  # the low bits of a phrase's hash are its number of words
 
 
