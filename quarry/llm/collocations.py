@@ -13,11 +13,12 @@ words), never results.
 
 The border is never listed. A phrase is counted where both shorter phrases
 stand in the proposals, which tasks hold as one bit array a length, sized by the
-sample's proposals and of ``BITS`` bits at most, whatever the corpus. These
-passes count by 64-bit hashes of phrases, so most of what they shuffle (phrases
-that turn out to be rare) is one number a phrase. Two phrases on one hash or one
-bit add a phrase to what is counted and lose none; a last pass counts those that
-were found by the phrase itself, so the results are exact.
+sample's proposals and of ``BITS`` bits at most, whatever the corpus. The first
+pass, whose border is nearly all of the corpus, counts by 64-bit hashes of
+phrases, so what it shuffles (mostly phrases that turn out to be rare) is one
+number a phrase. Two phrases on one hash or one bit add a phrase to what is
+counted and lose none. The passes after it count by the phrase itself: what the
+first one found, and the border that was added. So all results are exact.
 
 Scale: a pass reads the texts in their scan tasks, where Arrow cuts the words
 and numpy counts the different phrases of each ``CHUNK`` bytes before Spark sums
@@ -55,7 +56,6 @@ SAMPLE = 8  # one document in so many proposes
 BREAKS = b".,;:!?\x0b\x0c\r"  # with the line feed: no phrase goes across
 _PLAIN = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"\n" * len(BREAKS) + b" " + bytes(range(97, 123)))
 COUNTS = "lang string, k int, phrase string, n long"
-HELD = 1 << 20  # phrases that a task adds up in the exact pass
 _LENGTH = 7  # the low bits of a phrase's hash are its number of words
 
 
@@ -65,7 +65,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, int]:
     text = b"\n".join(texts).translate(_PLAIN).replace(b"\n", b" \n ")
     one = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text)])
     coded = pc.split_pattern(one, " ").values.dictionary_encode()
-    ids, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    ids, words = coded.indices.to_numpy(), coded.dictionary
     blank = pc.index(words, pa.scalar("", words.type)).as_py()
     return ids[ids != blank], words, pc.index(words, pa.scalar("\n", words.type)).as_py()
 
@@ -110,10 +110,11 @@ class Chunk:
                 valid, whole = valid[:-1] & self.word[k - 1:], longer_hash(whole[:-1], each[k - 1:])
             yield k, valid, whole
 
-    def counted(self, longest: int, now: list | None, before: list | None) -> Iterator[tuple]:
-        """(keys, counts) of phrases whose shorter phrases have their bits in
-        ``now`` (None: all) and did not have them in ``before`` (None: none)."""
-        inner: dict = {}  # of the length before: phrases whose own bits are set as well
+    def let_through(self, longest: int, now: list | None, before: list | None = None, own: list | None = None) -> Iterator[tuple]:
+        """(k, keys, flags of the places that count): phrases whose shorter phrases
+        have their bits in ``now`` (None: all) and did not have them in ``before``
+        (None: none). Of those that did, the ones with their own bits in ``own``."""
+        inner: dict = {}  # of the length before: phrases let through whose own bits are set as well
         for k, valid, whole in self.lengths(longest):
             key = keyed(whole, k)
             let = {}
@@ -123,24 +124,31 @@ class Chunk:
                     if k < longest:
                         inner[name] = let[name] & has_bit(bits[k - 1], key)
             new = let.get("now", valid)
-            if "before" in let:
+            if before is not None:
                 new = new & ~let["before"]
+            if own is not None:
+                new = new | (let["before"] & has_bit(own[k - 1], key))
+            yield k, key, new
+
+    def by_hash(self, longest: int, now: list | None) -> Iterator[tuple]:
+        """(keys, counts) of the phrases that ``now`` lets through."""
+        for _, key, new in self.let_through(longest, now):
             found = key[new]
             found.sort()
             if len(found):
                 first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
                 yield found[first].view(np.int64), np.diff(np.append(first, len(found)))
 
-    def exact(self, longest: int, bits: list) -> Iterator[tuple]:
-        """(k, phrases, counts) of the phrases with their bits in ``bits``, by
-        the words themselves, and the number of words as that of k = 0."""
-        yield 0, pa.array([""], pa.large_string()), np.array([np.count_nonzero(self.word)])
+    def by_phrase(self, longest: int, now: list, before: list, own: list | None) -> Iterator[tuple]:
+        """(k, phrases, counts), told apart by the words themselves; with ``own``
+        also the number of words, as that of k = 0."""
+        if own is not None:
+            yield 0, pa.array([""], pa.large_string()), np.array([np.count_nonzero(self.word)])
         width = max(len(self.words) - 1, 1).bit_length()
-        for k, valid, whole in self.lengths(longest):
-            at = np.flatnonzero(valid)
-            at = at[has_bit(bits[k - 1], keyed(whole[at], k))]
+        for k, _, new in self.let_through(longest, now, before, own):
+            at = np.flatnonzero(new)
             if len(at):
-                rows, n = distinct([self.ids[at + j] for j in range(k)], width)
+                rows, n = distinct([self.ids[at + j].astype(np.int64) for j in range(k)], width)
                 parts = [self.words.take(pa.array(r)) for r in rows]
                 yield k, parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", self.words.type)), n
 
@@ -185,41 +193,44 @@ def chunked(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]
         yield from work(held[x], x)
 
 
-def hash_counts(docs: DataFrame, longest: int, now=None, before=None) -> DataFrame:
-    """(h, n) of one pass; ``now`` and ``before`` are broadcast bit arrays."""
+def hash_counts(docs: DataFrame, longest: int, now=None) -> DataFrame:
+    """(h, n) of a pass; ``now`` is a broadcast list of bit arrays."""
     def work(texts: list[bytes], lang: str) -> Iterator[pa.RecordBatch]:
-        for keys, n in Chunk(texts, lang).counted(longest, now and now.value, before and before.value):
+        for keys, n in Chunk(texts, lang).by_hash(longest, now and now.value):
             for first in range(0, len(n), 1 << 16):
                 yield pa.record_batch([pa.array(keys[first:first + (1 << 16)]), pa.array(n[first:first + (1 << 16)].astype(np.int64))], ["h", "n"])
+
     rows = texts_of(docs).mapInArrow(lambda batches: chunked(batches, work), "h long, n long")
     return rows.groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(docs: DataFrame, longest: int, bits) -> DataFrame:
-    """``COUNTS`` of the phrases with their bits in the broadcast arrays. Counts of
-    up to ``HELD`` phrases are added up in the task before they go to Spark."""
+def phrase_counts(docs: DataFrame, longest: int, now, before, own) -> DataFrame:
+    """``COUNTS`` of a pass; the last three are broadcast (``own`` or None)."""
     def work(texts: list[bytes], lang: str) -> Iterator[pa.RecordBatch]:
-        for k, phrases, n in Chunk(texts, lang).exact(longest, bits.value):
-            yield pa.record_batch([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), phrases.cast(pa.string()),
-                                   pa.array(n.astype(np.int64))], ["lang", "k", "phrase", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in chunked(batches, work):
-            held.append(b)
-            size += len(b)
-            if size > HELD:
-                held = [pa.Table.from_batches(held).group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")]).rename_columns(b.schema.names)]
-                if len(held[0]) > HELD // 2:
-                    yield from held[0].to_batches(1 << 16)
-                    held, size = [], 0
-                else:
-                    held, size = held[0].to_batches(), len(held[0])
-        if held:
-            table = pa.Table.from_batches(held)
-            yield from table.group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")]).rename_columns(table.schema.names).to_batches(1 << 16)
-
-    return texts_of(docs).mapInArrow(run, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+        for k, phrases, n in Chunk(texts, lang).by_phrase(longest, now.value, before.value, own and own.value):
+            for first in range(0, len(n), 1 << 16):
+                part = phrases.slice(first, 1 << 16).cast(pa.string())
+                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(np.full(len(part), k, np.int32)), part,
+                                       pa.array(n[first:first + len(part)].astype(np.int64))], ["lang", "k", "phrase", "n"])
+
+    rows = texts_of(docs).mapInArrow(lambda batches: chunked(batches, work), COUNTS)
+    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+
+
+def phrase_hash() -> Column:
+    """Hash of (lang, k, phrase), as ``Chunk`` finds it."""
+    @F.pandas_udf("long")
+    def key(lang: pd.Series, k: pd.Series, phrase: pd.Series) -> pd.Series:
+        out = []
+        seeds = {x: lang_seed(x) for x in lang.unique()}
+        for one, size, words in zip(lang, k, phrase.str.split(" ")):
+            each = np.array([xxhash.xxh64_intdigest(w.encode(), seeds[one]) for w in words], np.uint64)
+            whole = each[:1]
+            for j in range(1, len(each)):
+                whole = longer_hash(whole, each[j:j + 1])
+            out.append(keyed(whole, size).view(np.int64)[0])
+        return pd.Series(out, dtype="int64")
+    return key("lang", "k", "phrase")
 
 
 def empty_bits(found: DataFrame, longest: int) -> list:
@@ -259,36 +270,37 @@ def lowered(least: int, rate: int, risk: float = 0.01) -> int:
     return max(2, math.ceil(mean - math.sqrt(2 * mean * math.log(1 / risk))))
 
 
-def frequent_hashes(docs: DataFrame, least: int, longest: int, rate: int) -> tuple[DataFrame, int]:
-    """(h, n) of the phrases that may occur ``least`` times (all that do, and any
-    that share their hash), and the passes made."""
+def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, rate: int = SAMPLE) -> tuple[DataFrame, int]:
+    """(``COUNTS`` of all phrases of up to ``longest`` words that occur ``least``
+    times or more, and of k = 0, the number of words of a language; passes made).
+    ``rate``: one document in so many is in the sample, by hash."""
+    if not 2 <= longest <= _LENGTH:
+        raise ValueError(f"phrases have 2 to {_LENGTH} words")
     context = docs.sparkSession.sparkContext
+    shared = []
+
+    def share(bits: list):
+        shared.append(context.broadcast(bits))
+        return shared[-1]
+
     few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate)) == 0)
     seen = stage(hash_counts(few, longest - 1).where(F.col("n") >= lowered(least, rate)), "phrases-sample")
-    bits, shared, found = with_bits(empty_bits(seen, longest - 1), seen), [None], []
+    before = share(with_bits(empty_bits(seen, longest - 1), seen))
+    found = stage(hash_counts(docs, longest, before).where(F.col("n") >= least), "phrases-found")
+    shorter = F.col("h").bitwiseAND(_LENGTH) < longest
+    now = share(with_bits(before.value, found.where(shorter)))
+    own = share(with_bits(empty_bits(found, longest), found))
+    counts = []
     while True:
-        shared.append(context.broadcast(bits))
-        found.append(stage(hash_counts(docs, longest, shared[-1], shared[-2]).where(F.col("n") >= least), "phrases-pass"))
-        inner = found[-1].where(F.col("h").bitwiseAND(_LENGTH) < longest)
-        if without_bit(inner, shared[-1]).isEmpty():
+        some = phrase_counts(docs, longest, now, before, own).where((F.col("n") >= least) | (F.col("k") == 0))
+        counts.append(stage(some, "phrases-counts"))
+        missed = without_bit(counts[-1].where(F.col("k").between(1, longest - 1)).select(phrase_hash().alias("h")), now)
+        if missed.isEmpty():
             break
-        bits = with_bits(bits, inner)
-    for b in shared[1:]:
+        before, now, own = now, share(with_bits(now.value, missed)), None
+    for b in shared:
         b.destroy()
-    return functools.reduce(DataFrame.unionByName, found), len(found)
-
-
-def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, rate: int = SAMPLE) -> tuple[DataFrame, int]:
-    """(``COUNTS`` of all phrases of up to ``longest`` words that occur ``least``
-    times or more, and of k = 0, the number of words of a language; passes made
-    to find them). ``rate``: one document in so many is in the sample, by hash."""
-    if not 2 <= longest <= _LENGTH:
-        raise ValueError(f"phrases have 2 to {_LENGTH} words")
-    found, passes = frequent_hashes(docs, least, longest, rate)
-    bits = docs.sparkSession.sparkContext.broadcast(with_bits(empty_bits(found, longest), found))
-    counts = stage(phrase_counts(docs, longest, bits).where((F.col("n") >= least) | (F.col("k") == 0)), "phrases-exact")
-    bits.destroy()
-    return counts, passes
+    return functools.reduce(DataFrame.unionByName, counts), 1 + len(counts)
 
 
 def part_of(words: Column, first, size) -> Column:
