@@ -51,7 +51,7 @@ from quarry.llm.common import mix, stage
 
 BITS = 1 << 27  # most bits for the proposals of one phrase length: 16 MB
 PER_PHRASE = 16  # bits for each phrase that the sample proposes, up to BITS
-CHUNK = 1 << 23  # bytes of text counted at a time
+CHUNK = 6 << 20  # bytes of text counted at a time
 SAMPLE = 8  # one document in so many proposes
 BREAKS = b".,;:!?\x0b\x0c\r"  # with the line feed: no phrase goes across
 _PLAIN = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"\n" * len(BREAKS) + b" " + bytes(range(97, 123)))
@@ -59,9 +59,9 @@ COUNTS = "lang string, k int, phrase string, n long"
 _LENGTH = 7  # the low bits of a phrase's hash are its number of words
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, int]:
+def tokens(texts: list) -> tuple[np.ndarray, pa.Array, int]:
     """(number of each token, the different tokens, number that stands for a
-    break): lower-cased words, with a break between pieces and texts."""
+    break): lower-cased words of UTF-8 texts, with a break between pieces and texts."""
     text = b"\n".join(texts).translate(_PLAIN).replace(b"\n", b" \n ")
     one = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text)])
     coded = pc.split_pattern(one, " ").values.dictionary_encode()
@@ -96,7 +96,7 @@ def both(flags: np.ndarray) -> np.ndarray:
 class Chunk:
     """Phrases of some texts of one language, by the place of their first word."""
 
-    def __init__(self, texts: list[bytes], lang: str):
+    def __init__(self, texts: list, lang: str):
         self.ids, self.words, stop = tokens(texts)
         self.word = self.ids != stop
         self.seed = lang_seed(lang)
@@ -140,17 +140,17 @@ class Chunk:
                 yield found[first].view(np.int64), np.diff(np.append(first, len(found)))
 
     def by_phrase(self, longest: int, now: list, before: list, own: list | None) -> Iterator[tuple]:
-        """(k, phrases, counts), told apart by the words themselves; with ``own``
-        also the number of words, as that of k = 0."""
+        """(phrases, counts), told apart by the words themselves; with ``own`` also
+        the number of words, as that of the empty phrase."""
         if own is not None:
-            yield 0, pa.array([""], pa.large_string()), np.array([np.count_nonzero(self.word)])
+            yield pa.array([""], pa.large_string()), np.array([np.count_nonzero(self.word)])
         width = max(len(self.words) - 1, 1).bit_length()
         for k, _, new in self.let_through(longest, now, before, own):
             at = np.flatnonzero(new)
             if len(at):
                 rows, n = distinct([self.ids[at + j].astype(np.int64) for j in range(k)], width)
                 parts = [self.words.take(pa.array(r)) for r in rows]
-                yield k, parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", self.words.type)), n
+                yield parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", self.words.type)), n
 
 
 def distinct(columns: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -182,7 +182,7 @@ def chunked(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]
     size = 0
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-            data = (text.as_py() or "").encode()
+            data = text.as_buffer() or b""  # the batch's own bytes
             held.setdefault(lang, []).append(data)
             size += len(data) + 1
             if size >= CHUNK:
@@ -195,7 +195,7 @@ def chunked(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]
 
 def hash_counts(docs: DataFrame, longest: int, now=None) -> DataFrame:
     """(h, n) of a pass; ``now`` is a broadcast list of bit arrays."""
-    def work(texts: list[bytes], lang: str) -> Iterator[pa.RecordBatch]:
+    def work(texts: list, lang: str) -> Iterator[pa.RecordBatch]:
         for keys, n in Chunk(texts, lang).by_hash(longest, now and now.value):
             for first in range(0, len(n), 1 << 16):
                 yield pa.record_batch([pa.array(keys[first:first + (1 << 16)]), pa.array(n[first:first + (1 << 16)].astype(np.int64))], ["h", "n"])
@@ -205,16 +205,20 @@ def hash_counts(docs: DataFrame, longest: int, now=None) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, longest: int, now, before, own) -> DataFrame:
-    """``COUNTS`` of a pass; the last three are broadcast (``own`` or None)."""
-    def work(texts: list[bytes], lang: str) -> Iterator[pa.RecordBatch]:
-        for k, phrases, n in Chunk(texts, lang).by_phrase(longest, now.value, before.value, own and own.value):
+    """``COUNTS`` of a pass; the last three are broadcast (``own`` or None). Summed
+    by one string, the language and the phrase (which has no tab)."""
+    def work(texts: list, lang: str) -> Iterator[pa.RecordBatch]:
+        for phrases, n in Chunk(texts, lang).by_phrase(longest, now.value, before.value, own and own.value):
             for first in range(0, len(n), 1 << 16):
-                part = phrases.slice(first, 1 << 16).cast(pa.string())
-                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(np.full(len(part), k, np.int32)), part,
-                                       pa.array(n[first:first + len(part)].astype(np.int64))], ["lang", "k", "phrase", "n"])
-
-    rows = texts_of(docs).mapInArrow(lambda batches: chunked(batches, work), COUNTS)
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+                part = pc.binary_join_element_wise(pa.scalar(lang), phrases.slice(first, 1 << 16).cast(pa.string()), "\t")
+                yield pa.record_batch([part, pa.array(n[first:first + len(part)].astype(np.int64))], ["key", "n"])
+
+    rows = texts_of(docs).mapInArrow(lambda batches: chunked(batches, work), "key string, n long")
+    sums = rows.groupBy("key").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("key", "\t", -1)
+    k = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
+    return sums.select(F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), k.alias("k"),
+                       phrase.alias("phrase"), "n")
 
 
 def phrase_hash() -> Column:
