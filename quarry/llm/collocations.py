@@ -40,7 +40,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -51,7 +50,7 @@ from quarry.llm.common import mix, stage
 
 BITS = 1 << 27  # most bits for the proposals of one phrase length: 16 MB
 PER_PHRASE = 16  # bits for each phrase that the sample proposes, up to BITS
-CHUNK = 6 << 20  # bytes of text counted at a time
+CHUNK = 4 << 20  # bytes of text counted at a time
 SAMPLE = 8  # one document in so many proposes
 BREAKS = b".,;:!?\x0b\x0c\r"  # with the line feed: no phrase goes across
 _PLAIN = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"\n" * len(BREAKS) + b" " + bytes(range(97, 123)))
@@ -181,14 +180,17 @@ def chunked(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]
     held: dict[str, list] = {}
     size = 0
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-            data = text.as_buffer() or b""  # the batch's own bytes
+        langs, texts = b.column(0).to_pylist(), b.column(1)
+        for k, lang in enumerate(langs):
+            data = texts[k].as_buffer()
+            data = data.to_pybytes() if data else b""  # a copy: what is held does not keep the batch
             held.setdefault(lang, []).append(data)
             size += len(data) + 1
             if size >= CHUNK:
                 for x in held:
                     yield from work(held[x], x)
                 held, size = {}, 0
+        del b, texts  # before the next one is read
     for x in held:
         yield from work(held[x], x)
 
@@ -221,20 +223,19 @@ def phrase_counts(docs: DataFrame, longest: int, now, before, own) -> DataFrame:
                        phrase.alias("phrase"), "n")
 
 
-def phrase_hash() -> Column:
-    """Hash of (lang, k, phrase), as ``Chunk`` finds it."""
-    @F.pandas_udf("long")
-    def key(lang: pd.Series, k: pd.Series, phrase: pd.Series) -> pd.Series:
-        out = []
-        seeds = {x: lang_seed(x) for x in lang.unique()}
-        for one, size, words in zip(lang, k, phrase.str.split(" ")):
-            each = np.array([xxhash.xxh64_intdigest(w.encode(), seeds[one]) for w in words], np.uint64)
-            whole = each[:1]
-            for j in range(1, len(each)):
-                whole = longer_hash(whole, each[j:j + 1])
-            out.append(keyed(whole, size).view(np.int64)[0])
-        return pd.Series(out, dtype="int64")
-    return key("lang", "k", "phrase")
+def phrase_hashes(counts: DataFrame) -> DataFrame:
+    """(h) of the phrases of ``COUNTS`` rows, as ``Chunk`` finds them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for lang, k, phrase in zip(*(c.to_pylist() for c in b.columns)):
+                each = np.array([xxhash.xxh64_intdigest(w, lang_seed(lang)) for w in phrase.split(" ")], np.uint64)
+                whole = each[:1]
+                for j in range(1, k):
+                    whole = longer_hash(whole, each[j:j + 1])
+                out.append(keyed(whole, k).view(np.int64)[0])
+            yield pa.record_batch([pa.array(out, pa.int64())], ["h"])
+    return counts.select("lang", "k", "phrase").mapInArrow(run, "h long")
 
 
 def empty_bits(found: DataFrame, longest: int) -> list:
@@ -256,15 +257,15 @@ def with_bits(earlier: list, found: DataFrame) -> list:
 
 def without_bit(found: DataFrame, shared) -> DataFrame:
     """Hashes that the proposals do not hold."""
-    @F.pandas_udf("boolean")
-    def held(h: pd.Series) -> pd.Series:
-        keys = h.to_numpy().astype(np.int64).view(np.uint64)
-        out = np.zeros(len(keys), bool)
-        for k, bits in enumerate(shared.value, 1):
-            mine = (keys & np.uint64(_LENGTH)) == k
-            out[mine] = has_bit(bits, keys[mine])
-        return pd.Series(out)
-    return found.where(~held("h"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).to_numpy().view(np.uint64)
+            held = np.zeros(len(keys), bool)
+            for k, bits in enumerate(shared.value, 1):
+                mine = (keys & np.uint64(_LENGTH)) == k
+                held[mine] = has_bit(bits, keys[mine])
+            yield b.filter(pa.array(~held))
+    return found.select("h").mapInArrow(run, "h long")
 
 
 def lowered(least: int, rate: int, risk: float = 0.01) -> int:
@@ -298,7 +299,7 @@ def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, rate: i
     while True:
         some = phrase_counts(docs, longest, now, before, own).where((F.col("n") >= least) | (F.col("k") == 0))
         counts.append(stage(some, "phrases-counts"))
-        missed = without_bit(counts[-1].where(F.col("k").between(1, longest - 1)).select(phrase_hash().alias("h")), now)
+        missed = without_bit(phrase_hashes(counts[-1].where(F.col("k").between(1, longest - 1))), now)
         if missed.isEmpty():
             break
         before, now, own = now, share(with_bits(now.value, missed)), None
