@@ -13,20 +13,21 @@ words), never results.
 
 The border is never listed. A phrase is counted where both shorter phrases
 stand in the proposals, which tasks hold as one bit array a length, sized by the
-sample's proposals and of ``BITS`` bits at most, whatever the corpus. The first
-pass, whose border is nearly all of the corpus, counts by 64-bit hashes of
-phrases, so what it shuffles (mostly phrases that turn out to be rare) is one
-number a phrase. Two phrases on one hash or one bit add a phrase to what is
-counted and lose none. The passes after it count by the phrase itself: what the
-first one found, and the border that was added. So all results are exact.
+sample's proposals and of ``BITS`` bits at most, whatever the corpus. These
+passes count by 64-bit hashes of phrases, so most of what they shuffle (phrases
+that turn out to be rare) is one number a phrase. Two phrases on one hash or one
+bit add a phrase to what is counted and lose none; a last pass counts those that
+were found by the phrase itself, so the results are exact.
 
 Scale: a pass reads the texts in their scan tasks, where Arrow cuts the words
-and numpy counts the different phrases of each ``CHUNK`` bytes before Spark sums
-them with combining on the map side. Arrays only gain bits, and a later pass
-leaves out what the bits of the pass before let through, so nothing is counted
-twice. Counts of a pass are written with those below the threshold left out.
-Scores come from joins of the exact counts, the best phrases of a language from
-two steps, the first of which is dealt by hash, so no language is one task's.
+and numpy counts the different phrases of each ``CHUNK`` bytes. Hashes go out
+packed by range, 12 bytes each, and a range, sized by the sample, is added up in
+one task; a frequent phrase is one number a chunk there. Arrays only gain bits,
+and a later pass leaves out what the bits of the pass before let through, so
+nothing is counted twice. Counts of a pass are written with those below the
+threshold left out. Scores come from joins of the exact counts, the best phrases
+of a language from two steps, the first of which is dealt by hash, so no
+language is one task's.
 
 Defined results: a null text has no words, a null language is ``und``; every row
 counts, repeated rows and ids as well. Empty tables give no rows. Texts are read
@@ -38,6 +39,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +52,19 @@ from quarry.llm.common import mix, stage
 
 BITS = 1 << 27  # most bits for the proposals of one phrase length: 16 MB
 PER_PHRASE = 16  # bits for each phrase that the sample proposes, up to BITS
-CHUNK = 4 << 20  # bytes of text counted at a time
+CHUNK = 1 << 23  # bytes of text counted at a time
 SAMPLE = 8  # one document in so many proposes
 BREAKS = b".,;:!?\x0b\x0c\r"  # with the line feed: no phrase goes across
 _PLAIN = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"\n" * len(BREAKS) + b" " + bytes(range(97, 123)))
 COUNTS = "lang string, k int, phrase string, n long"
+BUCKETS = 1 << 11  # ranges of hashes that are added up apart, at least
+BUCKET_BYTES = 1 << 25  # of a range, by the sample's estimate
 _LENGTH = 7  # the low bits of a phrase's hash are its number of words
 
 
-def tokens(texts: list) -> tuple[np.ndarray, pa.Array, int]:
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, int]:
     """(number of each token, the different tokens, number that stands for a
-    break): lower-cased words of UTF-8 texts, with a break between pieces and texts."""
+    break): lower-cased words, with a break between pieces and texts."""
     text = b"\n".join(texts).translate(_PLAIN).replace(b"\n", b" \n ")
     one = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text)])
     coded = pc.split_pattern(one, " ").values.dictionary_encode()
@@ -95,7 +99,7 @@ def both(flags: np.ndarray) -> np.ndarray:
 class Chunk:
     """Phrases of some texts of one language, by the place of their first word."""
 
-    def __init__(self, texts: list, lang: str):
+    def __init__(self, texts: list[bytes], lang: str):
         self.ids, self.words, stop = tokens(texts)
         self.word = self.ids != stop
         self.seed = lang_seed(lang)
@@ -109,11 +113,10 @@ class Chunk:
                 valid, whole = valid[:-1] & self.word[k - 1:], longer_hash(whole[:-1], each[k - 1:])
             yield k, valid, whole
 
-    def let_through(self, longest: int, now: list | None, before: list | None = None, own: list | None = None) -> Iterator[tuple]:
-        """(k, keys, flags of the places that count): phrases whose shorter phrases
-        have their bits in ``now`` (None: all) and did not have them in ``before``
-        (None: none). Of those that did, the ones with their own bits in ``own``."""
-        inner: dict = {}  # of the length before: phrases let through whose own bits are set as well
+    def counted(self, longest: int, now: list | None, before: list | None) -> Iterator[tuple]:
+        """(keys, counts) of phrases whose shorter phrases have their bits in
+        ``now`` (None: all) and did not have them in ``before`` (None: none)."""
+        inner: dict = {}  # of the length before: phrases whose own bits are set as well
         for k, valid, whole in self.lengths(longest):
             key = keyed(whole, k)
             let = {}
@@ -123,33 +126,26 @@ class Chunk:
                     if k < longest:
                         inner[name] = let[name] & has_bit(bits[k - 1], key)
             new = let.get("now", valid)
-            if before is not None:
+            if "before" in let:
                 new = new & ~let["before"]
-            if own is not None:
-                new = new | (let["before"] & has_bit(own[k - 1], key))
-            yield k, key, new
-
-    def by_hash(self, longest: int, now: list | None) -> Iterator[tuple]:
-        """(keys, counts) of the phrases that ``now`` lets through."""
-        for _, key, new in self.let_through(longest, now):
             found = key[new]
             found.sort()
             if len(found):
                 first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-                yield found[first].view(np.int64), np.diff(np.append(first, len(found)))
+                yield found[first], np.diff(np.append(first, len(found)))
 
-    def by_phrase(self, longest: int, now: list, before: list, own: list | None) -> Iterator[tuple]:
-        """(phrases, counts), told apart by the words themselves; with ``own`` also
-        the number of words, as that of the empty phrase."""
-        if own is not None:
-            yield pa.array([""], pa.large_string()), np.array([np.count_nonzero(self.word)])
+    def exact(self, longest: int, bits: list) -> Iterator[tuple]:
+        """(k, phrases, counts) of the phrases with their bits in ``bits``, by
+        the words themselves, and the number of words as that of k = 0."""
+        yield 0, pa.array([""], pa.large_string()), np.array([np.count_nonzero(self.word)])
         width = max(len(self.words) - 1, 1).bit_length()
-        for k, _, new in self.let_through(longest, now, before, own):
-            at = np.flatnonzero(new)
+        for k, valid, whole in self.lengths(longest):
+            at = np.flatnonzero(valid)
+            at = at[has_bit(bits[k - 1], keyed(whole[at], k))]
             if len(at):
                 rows, n = distinct([self.ids[at + j].astype(np.int64) for j in range(k)], width)
                 parts = [self.words.take(pa.array(r)) for r in rows]
-                yield parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", self.words.type)), n
+                yield k, parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", self.words.type)), n
 
 
 def distinct(columns: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -171,11 +167,7 @@ def distinct(columns: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np
     return rows, np.diff(np.append(first, size))
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-
-
-def chunked(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+def by_chunk(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
     """``work(texts, lang)`` -> record batches, over chunks of each language's texts."""
     held: dict[str, list] = {}
     size = 0
@@ -195,47 +187,54 @@ def chunked(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]
         yield from work(held[x], x)
 
 
-def hash_counts(docs: DataFrame, longest: int, now=None) -> DataFrame:
-    """(h, n) of a pass; ``now`` is a broadcast list of bit arrays."""
-    def work(texts: list, lang: str) -> Iterator[pa.RecordBatch]:
-        for keys, n in Chunk(texts, lang).by_hash(longest, now and now.value):
-            for first in range(0, len(n), 1 << 16):
-                yield pa.record_batch([pa.array(keys[first:first + (1 << 16)]), pa.array(n[first:first + (1 << 16)].astype(np.int64))], ["h", "n"])
-
-    rows = texts_of(docs).mapInArrow(lambda batches: chunked(batches, work), "h long, n long")
-    return rows.groupBy("h").agg(F.sum("n").alias("n"))
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
 
 
-def phrase_counts(docs: DataFrame, longest: int, now, before, own) -> DataFrame:
-    """``COUNTS`` of a pass; the last three are broadcast (``own`` or None). Summed
-    by one string, the language and the phrase (which has no tab)."""
-    def work(texts: list, lang: str) -> Iterator[pa.RecordBatch]:
-        for phrases, n in Chunk(texts, lang).by_phrase(longest, now.value, before.value, own and own.value):
+def hash_counts(docs: DataFrame, longest: int, least: int, now=None, before=None, buckets: int = BUCKETS) -> DataFrame:
+    """(h, n) of one pass, n >= ``least``; ``now`` and ``before`` are broadcast bit
+    arrays. A chunk's different hashes go out sorted and packed, a row for each of
+    ``buckets`` ranges of hashes; a range's rows meet in one task, which adds them."""
+    shift = 64 - (buckets - 1).bit_length()
+
+    def work(texts: list[bytes], lang: str) -> Iterator[pa.RecordBatch]:
+        found = list(Chunk(texts, lang).counted(longest, now and now.value, before and before.value))
+        if found:
+            keys, n = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order].astype(np.uint32)
+            first = np.flatnonzero(np.diff(keys >> np.uint64(shift), prepend=np.uint64(1) << np.uint64(63)))
+            rows = [keys[a:z].tobytes() + n[a:z].tobytes() for a, z in zip(first, [*first[1:], len(keys)])]
+            yield pa.record_batch([pa.array((keys[first] >> np.uint64(shift)).astype(np.int64)), pa.array(rows, pa.binary())], ["b", "data"])
+
+    def add(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 12) for x in parts])
+        n = np.concatenate([np.frombuffer(x, np.uint32, offset=len(x) // 12 * 8) for x in parts])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(n[order].astype(np.int64), first)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for _, group in groupby(rows, key=lambda r: r[0]):
+            keys, n = add([data for _, data in group])
+            yield pa.record_batch([pa.array(keys[n >= least].view(np.int64)), pa.array(n[n >= least])], ["h", "n"])
+
+    packed = texts_of(docs).mapInArrow(lambda batches: by_chunk(batches, work), "b long, data binary")
+    return packed.repartition("b").sortWithinPartitions("b").mapInArrow(sums, "h long, n long")
+
+
+def phrase_counts(docs: DataFrame, longest: int, bits) -> DataFrame:
+    """``COUNTS`` of the phrases with their bits in the broadcast arrays."""
+    def work(texts: list[bytes], lang: str) -> Iterator[pa.RecordBatch]:
+        for k, phrases, n in Chunk(texts, lang).exact(longest, bits.value):
             for first in range(0, len(n), 1 << 16):
-                part = pc.binary_join_element_wise(pa.scalar(lang), phrases.slice(first, 1 << 16).cast(pa.string()), "\t")
-                yield pa.record_batch([part, pa.array(n[first:first + len(part)].astype(np.int64))], ["key", "n"])
-
-    rows = texts_of(docs).mapInArrow(lambda batches: chunked(batches, work), "key string, n long")
-    sums = rows.groupBy("key").agg(F.sum("n").alias("n"))
-    phrase = F.substring_index("key", "\t", -1)
-    k = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
-    return sums.select(F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), k.alias("k"),
-                       phrase.alias("phrase"), "n")
-
-
-def phrase_hashes(counts: DataFrame) -> DataFrame:
-    """(h) of the phrases of ``COUNTS`` rows, as ``Chunk`` finds them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for lang, k, phrase in zip(*(c.to_pylist() for c in b.columns)):
-                each = np.array([xxhash.xxh64_intdigest(w, lang_seed(lang)) for w in phrase.split(" ")], np.uint64)
-                whole = each[:1]
-                for j in range(1, k):
-                    whole = longer_hash(whole, each[j:j + 1])
-                out.append(keyed(whole, k).view(np.int64)[0])
-            yield pa.record_batch([pa.array(out, pa.int64())], ["h"])
-    return counts.select("lang", "k", "phrase").mapInArrow(run, "h long")
+                part = phrases.slice(first, 1 << 16).cast(pa.string())
+                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(np.full(len(part), k, np.int32)), part,
+                                       pa.array(n[first:first + len(part)].astype(np.int64))], ["lang", "k", "phrase", "n"])
+    rows = texts_of(docs).mapInArrow(lambda batches: by_chunk(batches, work), COUNTS)
+    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
 def empty_bits(found: DataFrame, longest: int) -> list:
@@ -275,37 +274,38 @@ def lowered(least: int, rate: int, risk: float = 0.01) -> int:
     return max(2, math.ceil(mean - math.sqrt(2 * mean * math.log(1 / risk))))
 
 
-def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, rate: int = SAMPLE) -> tuple[DataFrame, int]:
-    """(``COUNTS`` of all phrases of up to ``longest`` words that occur ``least``
-    times or more, and of k = 0, the number of words of a language; passes made).
-    ``rate``: one document in so many is in the sample, by hash."""
-    if not 2 <= longest <= _LENGTH:
-        raise ValueError(f"phrases have 2 to {_LENGTH} words")
+def frequent_hashes(docs: DataFrame, least: int, longest: int, rate: int) -> tuple[DataFrame, int]:
+    """(h, n) of the phrases that may occur ``least`` times (all that do, and any
+    that share their hash), and the passes made."""
     context = docs.sparkSession.sparkContext
-    shared = []
-
-    def share(bits: list):
-        shared.append(context.broadcast(bits))
-        return shared[-1]
-
     few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate)) == 0)
-    seen = stage(hash_counts(few, longest - 1).where(F.col("n") >= lowered(least, rate)), "phrases-sample")
-    before = share(with_bits(empty_bits(seen, longest - 1), seen))
-    found = stage(hash_counts(docs, longest, before).where(F.col("n") >= least), "phrases-found")
-    shorter = F.col("h").bitwiseAND(_LENGTH) < longest
-    now = share(with_bits(before.value, found.where(shorter)))
-    own = share(with_bits(empty_bits(found, longest), found))
-    counts = []
+    seen = stage(hash_counts(few, longest - 1, lowered(least, rate)), "phrases-sample")
+    words = rate * (seen.where(F.col("h").bitwiseAND(_LENGTH) == 1).agg(F.sum("n")).first()[0] or 0)
+    buckets = max(BUCKETS, 1 << (12 * longest * words // BUCKET_BYTES).bit_length())
+    bits, shared, found = with_bits(empty_bits(seen, longest - 1), seen), [None], []
     while True:
-        some = phrase_counts(docs, longest, now, before, own).where((F.col("n") >= least) | (F.col("k") == 0))
-        counts.append(stage(some, "phrases-counts"))
-        missed = without_bit(phrase_hashes(counts[-1].where(F.col("k").between(1, longest - 1))), now)
-        if missed.isEmpty():
+        shared.append(context.broadcast(bits))
+        found.append(stage(hash_counts(docs, longest, least, shared[-1], shared[-2], buckets), "phrases-pass"))
+        inner = found[-1].where(F.col("h").bitwiseAND(_LENGTH) < longest)
+        if without_bit(inner, shared[-1]).isEmpty():
             break
-        before, now, own = now, share(with_bits(now.value, missed)), None
-    for b in shared:
+        bits = with_bits(bits, inner)
+    for b in shared[1:]:
         b.destroy()
-    return functools.reduce(DataFrame.unionByName, counts), 1 + len(counts)
+    return functools.reduce(DataFrame.unionByName, found), len(found)
+
+
+def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, rate: int = SAMPLE) -> tuple[DataFrame, int]:
+    """(``COUNTS`` of all phrases of up to ``longest`` words that occur ``least``
+    times or more, and of k = 0, the number of words of a language; passes made
+    to find them). ``rate``: one document in so many is in the sample, by hash."""
+    if not 2 <= longest <= _LENGTH:
+        raise ValueError(f"phrases have 2 to {_LENGTH} words")
+    found, passes = frequent_hashes(docs, least, longest, rate)
+    bits = docs.sparkSession.sparkContext.broadcast(with_bits(empty_bits(found, longest), found))
+    counts = stage(phrase_counts(docs, longest, bits).where((F.col("n") >= least) | (F.col("k") == 0)), "phrases-exact")
+    bits.destroy()
+    return counts, passes
 
 
 def part_of(words: Column, first, size) -> Column:
