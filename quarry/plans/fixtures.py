@@ -37,6 +37,12 @@ def bench_questions(spark, d) -> DataFrame:
         F.lit("all").alias("scope"))
 
 
+def keyword_questions(spark, d) -> DataFrame:
+    """Short questions: the fifth to tenth words of each benchmark passage."""
+    return table(spark, d, "benchmark").select(
+        F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 5, 6), " ").alias("question"))
+
+
 def vectors(spark, d) -> DataFrame:
     """Ready-made chunk vectors: id = vec_id, source = label."""
     return table(spark, d, "embeddings").select(
@@ -106,6 +112,8 @@ SQL_CHUNKS = r"""chunks AS (
 
 SQL_BENCH_Q = "bq AS (SELECT item_id AS qid, text AS question, 'all' AS scope FROM benchmark)"
 
+SQL_KEY_Q = "kq AS (SELECT item_id AS qid, array_to_string(string_split(text, ' ')[5:10], ' ') AS question FROM benchmark)"
+
 SQL_VECTORS = ("vec AS (SELECT vec_id AS chunk_id, label AS source, CAST(embedding AS DOUBLE[]) AS v "
                "FROM embeddings)")
 
@@ -273,6 +281,16 @@ def term_index(spark, d, stem: bool = False):
     return _INDEX[key]
 
 
+def stored_index(spark, d):
+    """The bucketed index with impact-ordered blocks, written once per session."""
+    from quarry.operators import postings
+    key = (id(spark), d, "stored")
+    if key not in _INDEX:
+        _INDEX[key] = postings.build_index(corpus_chunks(spark, d),
+                                           buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _INDEX[key]
+
+
 def _sql_arr(*xs):
     return "[" + ", ".join("NULL::VARCHAR" if x is None else x for x in xs) + "]"
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
 from quarry.operators import retrieve as R
+from quarry.operators.postings import forward_rows
 from quarry.plans import fixtures as FX
 from quarry.plans.registry import query
 
@@ -50,6 +51,17 @@ def topk_per_question(spark, d):
                .select("qid", "rank", "chunk_id", "source", "score")
 
 
+@query("bm25_topk_stored", W(FX.SQL_CORPUS, FX.SQL_CHUNKS, FX.SQL_KEY_Q, FX.bm25_sql("kq")) + f"""
+SELECT qid, rank, chunk_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM scores)
+WHERE rank <= {BM25_K}""")
+def bm25_topk_stored(spark, d):
+    """J9/T1 by score bounds over the bucketed index: short questions, the same
+    rows as scoring every chunk."""
+    return FX.stored_index(spark, d).top(FX.keyword_questions(spark, d), BM25_K) \
+             .select("qid", "rank", "chunk_id", "score")
+
+
 _KNN = W(FX.SQL_VECTORS, """pairs AS (
   SELECT q.chunk_id AS qid, i.chunk_id, i.source, round(list_distance(q.v, i.v), 6) AS dist
   FROM vec q, vec i)""", """ranked AS (
@@ -336,7 +348,8 @@ SELECT term, count(DISTINCT chunk_id) AS df FROM (
   SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM chunks)
 GROUP BY term""")
 def build_term_index(spark, d):
-    """J9 ingest side: the inverted index of the whole corpus (postings
-    aggregated per (term, chunk), document frequency per term), built fresh
-    from the documents; retrieval queries read the stored copy."""
-    return R.build_term_index(FX.chunks(spark, d)).dfs
+    """J9 ingest side: every chunk's counted terms in one pass over its text,
+    without a shuffle, and the document frequencies from them. The bucketed
+    postings of ``bm25_topk_stored`` are written from the same rows."""
+    terms = forward_rows(FX.chunks(spark, d)).select(F.inline("terms"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators.retrieve import top_k
 from quarry.plans import fixtures as FX
 from quarry.plans.q_sources import staged_files
 from quarry.plans.registry import query
 from quarry.session import scratch_path
+from quarry.streaming import index_segments as segments
 from quarry.streaming.history_stream import stream_history as run_history
 from quarry.streaming.index_stream import stream_index as run_index
 
@@ -25,6 +27,41 @@ def stream_index(spark, d):
         F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("fp").alias("n_fp"))
 
 
+_DOC_SCHEMA = "doc_id long, source string, session_id string, text string"
+
+
+@query("stream_segments", FX.with_(FX.SQL_CORPUS, FX.SQL_CHUNKS, """one AS (
+  SELECT session_id, source || '::' || sha256(text) AS fp, any_value(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS toks
+  FROM chunks GROUP BY ALL)""", FX.SQL_ROUTED_Q, FX.SQL_SESSION_Q, """qt AS (
+  SELECT DISTINCT qid, session_id, unnest(regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+')) AS term FROM sq)""", """st AS (
+  SELECT session_id, count(*) AS n, avg(len(toks)) AS avgdl FROM one GROUP BY session_id)""", """tf AS (
+  SELECT session_id, fp, term, count(*) AS tf, max(dl) AS dl FROM (
+    SELECT session_id, fp, len(toks) AS dl, unnest(toks) AS term FROM one) GROUP BY ALL)""", """df AS (
+  SELECT session_id, term, count(*) AS df FROM tf GROUP BY ALL)""", """scores AS (
+  SELECT q.qid, q.session_id, t.fp, round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * t.tf * 2.2
+      / (t.tf + 1.2 * (0.25 + 0.75 * t.dl / s.avgdl))), 6) AS score
+  FROM qt q JOIN tf t ON q.session_id = t.session_id AND q.term = t.term
+  JOIN df d ON d.session_id = t.session_id AND d.term = t.term JOIN st s ON s.session_id = t.session_id GROUP BY ALL)""") + """
+SELECT qid, session_id, rank, fp, score, 1 AS n_segments FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid, session_id ORDER BY score DESC, fp) AS rank FROM scores) WHERE rank <= 5""")
+def stream_segments(spark, d):
+    """The documents arrive as a stream of files in several micro-batches,
+    each appends a segment; then the whole stream is replayed (which adds no
+    chunk) and the segments are merged. Returns BM25 top 5 of each question
+    in its session over what is live, which equals an index built
+    from the documents at once."""
+    src, root = scratch_path(spark, "segment-src"), scratch_path(spark, "segments")
+    FX.corpus(spark, d).repartition(4, "doc_id").write.parquet(src)
+    for _ in range(2):
+        stream = spark.readStream.schema(_DOC_SCHEMA).option("maxFilesPerTrigger", 2).parquet(src)
+        segments.stream_segments(stream.select("doc_id", "source", "session_id", "text"), root, scratch_path(spark, "segment-ckpt"))
+    segments.compact(spark, root)
+    scored = segments.segment_scores(spark, root, FX.session_questions(spark, d)).join(
+        segments.read_table(spark, root, "chunks").select("session_id", "chunk_id", "fp"), ["session_id", "chunk_id"])
+    best = top_k(scored, 5, ["qid", "session_id"], [F.col("score").desc(), F.col("fp")])
+    return best.select("qid", "session_id", "rank", "fp", "score", F.lit(len(segments.live_segments(spark, root))).alias("n_segments"))
+
+
 _CONV_SCHEMA = "conv_id long, turn long, role string, text string"
 
 
