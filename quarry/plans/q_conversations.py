@@ -46,11 +46,8 @@ FROM (
       FROM conversations)))""")
 def parse_history(spark, d):
     """P16 on the JSON history a request carries (the previous 12 turns)."""
-    from pyspark.sql import Window
-    c = FX.table(spark, d, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-CV.HISTORY_TURNS, -1)
-    raw = F.to_json(F.collect_list(F.struct(F.col("role"), F.col("text").alias("content"))).over(w))
-    kept = CV.parse_history(raw)
+    c = CV.raw_history(FX.table(spark, d, "conversations"))
+    kept = CV.parse_history(F.col("raw"))
     return c.select("conv_id", "turn", F.size(kept).alias("n_items"),
                     F.array_join(F.transform(kept, lambda x: F.concat(F.coalesce(x["role"], F.lit("")), F.lit(": "),
                                                                       x["content"])), "\n").alias("items"))

@@ -10,6 +10,7 @@ from quarry.plans.q_sources import staged_files
 from quarry.plans.registry import query
 from quarry.session import scratch_path
 from quarry.streaming import index_segments as segments
+from quarry.streaming.history_stream import fold
 from quarry.streaming.history_stream import stream_history as run_history
 from quarry.streaming.index_stream import stream_index as run_index
 
@@ -66,15 +67,19 @@ _CONV_SCHEMA = "conv_id long, turn long, role string, text string"
 
 
 @query("stream_history", """
-SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
+SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
   FROM conversations) WHERE r <= 12""")
 def stream_history(spark, d):
-    """Conversation turns arrive as a stream of files (one file per
-    conversation block); the stored buffer keeps each conversation's last 12
-    turns."""
+    """Conversation turns arrive as a stream of files, some of a
+    conversation's turns in each; keyed state holds each conversation's last 12
+    turns. The stream runs in two parts (the second goes on from the first's
+    checkpoint), with a snapshot between them."""
     src = scratch_path(spark, "conv-src")
     conv = FX.table(spark, d, "conversations")
-    conv.repartition(4, "conv_id").write.mode("overwrite").parquet(src)
-    buf = run_history(spark, src, _CONV_SCHEMA, scratch_path(spark, "conv-buffer"),
-                      scratch_path(spark, "conv-ckpt"))
-    return buf.select("conv_id", "turn", "role")
+    later = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(2)) == 0
+    root, ckpt = scratch_path(spark, "conv-buffer"), scratch_path(spark, "conv-ckpt")
+    conv.where(~later).coalesce(2).write.parquet(src)
+    run_history(spark, src, _CONV_SCHEMA, root, ckpt)
+    fold(spark, root, ckpt)
+    conv.where(later).coalesce(2).write.mode("append").parquet(src)
+    return run_history(spark, src, _CONV_SCHEMA, root, ckpt).select("conv_id", "turn", "role", "text")
