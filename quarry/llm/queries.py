@@ -106,7 +106,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_token_orc")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_orc.write_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), f"{TOKENIZERS}/word_bpe_49k.json")
+    import public_tokenizers
+
+    path = token_orc.write_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"),
+                                  public_tokenizers.path("word_bpe_49k.json"))
     return token_orc.token_spans(spark, path)
 
 

@@ -6,11 +6,16 @@ integers, keeps minima and maxima by stripe and row group, and a Bloom filter on
 the document ids; files are split at stripes when read, and a filter on doc_id
 skips files, stripes and row groups by their metadata.
 
-The tokenizer works on stretches between white space, so each different stretch
-is encoded once by the library and remembered; the ids are those of the whole
-text. Defined results: a null text is empty and has the end id alone; null ids
-come first; rows that repeat an id follow each other in order of their ids'
-checksums.
+The tokenizer works on stretches between white space: Arrow cuts a piece of texts
+into stretches and numbers the different ones, each of which is encoded once by
+the library and remembered; the ids are those of the whole text. Of the
+remembered stretches those that were not met again for a long time are let go.
+
+Defined results: a null text is empty and has the end id alone; null ids come
+first; rows that repeat an id follow each other, dealt to files by a hash of
+their text (so a hot id, or none on many rows, fills no single file), and in a
+file in order of their ids' checksums. A text of any length is encoded whole.
+An empty table gives no rows; columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -20,17 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stage, text_bytes
+from quarry.llm.common import stage
 
 END_ID = 2
-ROOM = 500_000          # stretches remembered in a worker
+ROOM = 400_000          # stretches met in a worker before those not met since are let go
 PIECE_BYTES = 12 << 20  # of text looked up at once
 ORC = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "2000", "orc.create.index": "true",
        "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
+_BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _ENCODERS: dict = {}
 
 
@@ -44,7 +51,8 @@ class StretchEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}   # met lately
+        self.before: dict[bytes, bytes] = {}  # met before those
         (self.mark,) = self.whole("|")
         probe = "A b\tc'd  e\nf 12 café́ ́x\r\x0b\x0c g<|endoftext|> h"
         if self.encode([probe.encode()])[0].tolist() != self.whole(probe):
@@ -69,27 +77,39 @@ class StretchEncoder:
         for w in words:
             yield ids[w.decode()] if b"|" not in w else np.array(self.whole(w.decode()), np.int32).tobytes()
 
-    def encode(self, texts: list[bytes], end: bytes = b"") -> list[np.ndarray]:
-        words = [t.split() for t in texts]
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words, from memory or the library."""
+        if len(self.known) > ROOM:
+            self.known, self.before = {}, self.known
         known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        ids = dict(zip(new, self.fresh(new), strict=True))
-        if len(known) < ROOM:  # the first words met are the frequent ones; they stay
-            known.update(ids)
-        else:
-            known = _Both(known, ids)
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + end, np.int32) for ws in words]
-
-
-class _Both(dict):
-    """Words of this call first, then those that are kept."""
-
-    def __init__(self, kept: dict, new: dict):
-        super().__init__(new)
-        self.kept = kept
+        for w in words:
+            if w not in known and w in self.before:
+                known[w] = self.before[w]
+        new = [w for w in words if w not in known]
+        known.update(zip(new, self.fresh(new), strict=True))
+        return [known[w] for w in words]
+
+    def encode_all(self, texts: list[bytes], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): all texts' ids one after the other, ``end`` after each."""
+        joined = b" \n ".join([t.translate(_BLANKS) for t in texts] + [b""])  # no text holds a line feed any more
+        one = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(joined)], np.int64)), pa.py_buffer(joined)])
+        coded = pc.split_pattern(one, " ").values.dictionary_encode()
+        words, at = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy()
+        plain = [w for w in words if w not in (b"", b"\n")]
+        ids = dict(zip(plain, self.ids_of(plain), strict=True)) | {b"": b"", b"\n": end}
+        parts = [ids[w] for w in words]
+        flat = np.frombuffer(b"".join(parts), np.int32)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first = np.cumsum(size) - size
+        n = size[at]
+        upto = np.cumsum(n)
+        out = flat[np.repeat(first[at] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = upto[at == words.index(b"\n")] if texts else upto[:0]
+        return np.concatenate([[0], ends]).astype(np.int32), out
 
-    def __missing__(self, word):
-        return self.kept[word]
+    def encode(self, texts: list[bytes], end: bytes = b"") -> list[np.ndarray]:
+        offsets, ids = self.encode_all(texts, end)
+        return [ids[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
 
 
 def encoder(path: str) -> StretchEncoder:
@@ -108,15 +128,14 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
         e = encoder(tokenizer)
 
         def flush(first, texts):
-            ids = e.encode(texts, np.int32(end_id).tobytes())
-            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            return pa.record_batch([b.column(0).slice(first, len(texts)), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
+            offsets, ids = e.encode_all(texts, np.int32(end_id).tobytes())
+            return pa.record_batch([b.column(0).slice(first, len(texts)), pa.ListArray.from_arrays(offsets, ids)], ["doc_id", "ids"])
 
         for b in batches:
             held, size, first = [], 0, 0
             for i, t in enumerate(b.column(1)):
-                held.append(text_bytes(t.as_py()))
+                data = t.as_buffer()
+                held.append(data.to_pybytes() if data else b"")
                 size += len(held[-1])
                 if size >= PIECE_BYTES:
                     yield flush(first, held)
@@ -128,7 +147,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                  end_id: int = END_ID, options: dict | None = None) -> str:
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    by = ["doc_id", F.xxhash64("text")]
+    dealt = d.repartitionByRange(*by).sortWithinPartitions(*by)
     encoded(dealt, tokenizer, end_id).write.options(**ORC, **(options or {})).orc(path)
     return path
 
@@ -138,6 +158,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, ids array<int>").orc(path)
 
 
+def part_number(file: Column) -> Column:
+    """The number in a file's name: the range partitions were numbered in
+    ascending order. Names alone sort wrongly from part-100000 on."""
+    return F.regexp_extract(file, r"part-(\d+)", 1).cast("long")
+
+
 def token_spans(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files:
     sums by file, moved on by the files before (a row a file), then running sums
@@ -152,8 +178,7 @@ def token_spans(spark: SparkSession, path: str) -> DataFrame:
     names = ["doc_id", "file", "n_tokens", "ids_crc32"]
     rows = stage(read_tokens(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file")).mapInArrow(
         run, "doc_id long, file string, n_tokens long, ids_crc32 long"), "orc-spans")
-    # the range partitions were numbered in ascending order, and so are the files
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(part_number(F.col("file")), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
     inside = Window.partitionBy("file").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("s", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(files, "file").select(

@@ -261,6 +261,21 @@ def test_stretches_give_the_ids_of_whole_texts(seed):
     assert [x.tolist() for x in e.encode([x.encode() for x in texts])] == [e.whole(x) for x in texts]
 
 
+def test_words_that_were_let_go_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(token_orc, "ROOM", 5)
+    e = token_orc.StretchEncoder(f"{TOKENIZERS}/word_bpe_49k.json")
+    for k in range(40):
+        text = " ".join(f"word{j}" for j in range(k % 7, k % 7 + 4))
+        assert [x.tolist() for x in e.encode([text.encode(), b"", b"\n| a|b"])] == [e.whole(text), [], e.whole("| a|b")]
+    assert len(e.known) < 12 and e.encode([]) == []
+
+
+def test_files_go_by_their_number(spark):
+    names = [f"part-{n:05d}-x.zstd.orc" for n in (99_999, 100_000, 7, 100_001)]
+    got = spark.createDataFrame([(n,) for n in names], "file string").orderBy(token_orc.part_number(F.col("file")))
+    assert [r.file[5:11] for r in got.collect()] == ["00007-", "99999-", "100000", "100001"]
+
+
 # ---- SentencePiece
 
 def whole_viterbi(model, text):
