@@ -20,6 +20,8 @@ An empty table gives no rows; columns of other names are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,14 +35,26 @@ from quarry.llm.common import stage
 
 END_ID = 2
 ROOM = 400_000          # stretches met in a worker before those not met since are let go
-PIECE_BYTES = 12 << 20  # of text looked up at once
+PIECE_BYTES = 20 << 20  # of text looked up at once
 ORC = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "2000", "orc.create.index": "true",
        "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 _BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+_FOLDED = bytes.maketrans(b"\t\n\x0b\x0c\r" + bytes(range(65, 91)), b"     " + bytes(range(97, 123)))
+_SIGNS = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?= )")  # none of them begins a contraction
 _ENCODERS: dict = {}
 
 
+def cuts_at_signs(description: str) -> bool:
+    """Whether a tokenizer (its JSON) lower-cases all text and first of all cuts
+    it into runs of letters, of digits and of other signs."""
+    t = json.loads(description)
+    steps = [(t[k] or {}).get(part, [t[k] or {}]) for k, part in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    cut = steps[1][0]
+    pattern = (cut.get("pattern") or {}).get("Regex", "") if cut.get("type") == "Split" else ""
+    return any(n.get("type") == "Lowercase" for n in steps[0]) and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 class StretchEncoder:
     """Ids of texts, by the ids of their stretches between ASCII white space.
 
@@ -53,6 +67,7 @@ class StretchEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}   # met lately
         self.before: dict[bytes, bytes] = {}  # met before those
+        self.folds = cuts_at_signs(self.tokenizer.to_str())
         (self.mark,) = self.whole("|")
         probe = "A b\tc'd  e\nf 12 café́ ́x\r\x0b\x0c g<|endoftext|> h"
         if self.encode([probe.encode()])[0].tolist() != self.whole(probe):
@@ -61,50 +76,59 @@ class StretchEncoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def fresh(self, words: list[bytes]) -> Iterator[bytes]:
+    def fresh(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as the bytes of 32-bit integers: several hundred go through the library as one text,
         with a mark between them that none of them holds."""
-        plain = [w.decode() for w in words if b"|" not in w]
-        ids: dict[str, bytes] = {}
+        plain = [w for w in words if b"|" not in w]
+        ids: dict[bytes, bytes] = {}
         for lo in range(0, len(plain), 500):
             part = plain[lo:lo + 500]
-            flat = np.array(self.tokenizer.encode_batch_fast([" | ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            flat = np.array(self.tokenizer.encode_batch_fast([b" | ".join(part).decode()], add_special_tokens=False)[0].ids, np.int32)
             cuts = np.flatnonzero(flat == self.mark)
             if len(cuts) != len(part) - 1:
                 raise ValueError("the mark between words did not come through")
-            for w, i, j in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(flat)], strict=True):
-                ids[w] = flat[i:j].tobytes()
-        for w in words:
-            yield ids[w.decode()] if b"|" not in w else np.array(self.whole(w.decode()), np.int32).tobytes()
+            data = flat.tobytes()
+            first, last = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]
+            ids.update(zip(part, [data[i:j] for i, j in zip(first, last)], strict=True))
+        return [ids[w] if w in ids else np.array(self.whole(w.decode()), np.int32).tobytes() for w in words]
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
         """Ids of different words, from memory or the library."""
         if len(self.known) > ROOM:
             self.known, self.before = {}, self.known
         known = self.known
-        for w in words:
-            if w not in known and w in self.before:
-                known[w] = self.before[w]
         new = [w for w in words if w not in known]
+        if self.before:
+            known.update({w: self.before[w] for w in new if w in self.before})
+            new = [w for w in new if w not in known]
         known.update(zip(new, self.fresh(new), strict=True))
-        return [known[w] for w in words]
+        return list(map(known.__getitem__, words))
 
     def encode_all(self, texts: list[bytes], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): all texts' ids one after the other, ``end`` after each."""
-        joined = b" \n ".join([t.translate(_BLANKS) for t in texts] + [b""])  # no text holds a line feed any more
+        # no text holds a line feed any more; with a tokenizer that folds, letters are
+        # lower-cased and signs after a letter cut off, so few forms of a word are encoded
+        joined = b" \n ".join([t.translate(_FOLDED if self.folds else _BLANKS) for t in texts] + [b""])
+        if self.folds:
+            joined = _SIGNS.sub(rb" \1", joined)
         one = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(joined)], np.int64)), pa.py_buffer(joined)])
         coded = pc.split_pattern(one, " ").values.dictionary_encode()
         words, at = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy()
-        plain = [w for w in words if w not in (b"", b"\n")]
-        ids = dict(zip(plain, self.ids_of(plain), strict=True)) | {b"": b"", b"\n": end}
-        parts = [ids[w] for w in words]
+        del one, coded, joined
+        special = {b"": b"", b"\n": end}
+        where = {w: words.index(w) for w in special if w in words}
+        for w, k in where.items():
+            words[k] = b"a"  # any word: its ids are not used
+        parts = self.ids_of(words)
+        for w, k in where.items():
+            parts[k] = special[w]
         flat = np.frombuffer(b"".join(parts), np.int32)
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        first = np.cumsum(size) - size
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) // np.int32(4)
         n = size[at]
-        upto = np.cumsum(n)
-        out = flat[np.repeat(first[at] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = upto[at == words.index(b"\n")] if texts else upto[:0]
+        upto = np.cumsum(n, dtype=np.int32)
+        shift = (np.cumsum(size, dtype=np.int32) - size)[at] - (upto - n)
+        out = flat[np.repeat(shift, n) + np.arange(len(flat) if not len(upto) else upto[-1], dtype=np.int32)]
+        ends = upto[at == where[b"\n"]] if texts else upto[:0]
         return np.concatenate([[0], ends]).astype(np.int32), out
 
     def encode(self, texts: list[bytes], end: bytes = b"") -> list[np.ndarray]:
