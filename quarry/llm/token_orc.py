@@ -55,6 +55,20 @@ def cuts_at_signs(description: str) -> bool:
     return any(n.get("type") == "Lowercase" for n in steps[0]) and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+def bare(description: str):
+    """The same tokenizer for words of lower-case ASCII letters, which its
+    normalizer leaves as they are and its pattern takes whole: neither is run."""
+    from tokenizers import Tokenizer
+
+    t = json.loads(description)
+    t["normalizer"] = None
+    if "pretokenizers" in t["pre_tokenizer"]:
+        t["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+    else:
+        t["pre_tokenizer"] = {"type": "WhitespaceSplit"}
+    return Tokenizer.from_str(json.dumps(t))
+
+
 class StretchEncoder:
     """Ids of texts, by the ids of their stretches between ASCII white space.
 
@@ -68,6 +82,7 @@ class StretchEncoder:
         self.known: dict[bytes, bytes] = {}   # met lately
         self.before: dict[bytes, bytes] = {}  # met before those
         self.folds = cuts_at_signs(self.tokenizer.to_str())
+        self.bare = bare(self.tokenizer.to_str()) if self.folds else None
         (self.mark,) = self.whole("|")
         probe = "A b\tc'd  e\nf 12 café́ ́x\r\x0b\x0c g<|endoftext|> h"
         if self.encode([probe.encode()])[0].tolist() != self.whole(probe):
@@ -79,17 +94,19 @@ class StretchEncoder:
     def fresh(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as the bytes of 32-bit integers: several hundred go through the library as one text,
         with a mark between them that none of them holds."""
-        plain = [w for w in words if b"|" not in w]
         ids: dict[bytes, bytes] = {}
-        for lo in range(0, len(plain), 500):
-            part = plain[lo:lo + 500]
-            flat = np.array(self.tokenizer.encode_batch_fast([b" | ".join(part).decode()], add_special_tokens=False)[0].ids, np.int32)
-            cuts = np.flatnonzero(flat == self.mark)
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the mark between words did not come through")
-            data = flat.tobytes()
-            first, last = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]
-            ids.update(zip(part, [data[i:j] for i, j in zip(first, last)], strict=True))
+        letters = [w for w in words if w.isalpha()] if self.bare else []  # A-Z and a-z only, and folded
+        held = set(letters)
+        for tokenizer, some in ((self.bare, letters), (self.tokenizer, [w for w in words if b"|" not in w and w not in held])):
+            for lo in range(0, len(some), 500):
+                part = some[lo:lo + 500]
+                flat = np.array(tokenizer.encode_batch_fast([b" | ".join(part).decode()], add_special_tokens=False)[0].ids, np.int32)
+                cuts = np.flatnonzero(flat == self.mark)
+                if len(cuts) != len(part) - 1:
+                    raise ValueError("the mark between words did not come through")
+                data = flat.tobytes()
+                first, last = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]
+                ids.update(zip(part, [data[i:j] for i, j in zip(first, last)], strict=True))
         return [ids[w] if w in ids else np.array(self.whole(w.decode()), np.int32).tobytes() for w in words]
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:

@@ -258,6 +258,7 @@ def test_stretches_give_the_ids_of_whole_texts(seed):
     e = token_orc.StretchEncoder(f"{TOKENIZERS}/word_bpe_49k.json")
     letters = "aZ'sé́Σßİ9 \t\n\r\x0b\x0c\x1c\x85  .,!<|endoftext|>中"
     texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 60))) for _ in range(400)]
+    texts += [" ".join("".join(rnd.choices("abcdeinrstABXYZ", k=rnd.randint(1, 14))) + rnd.choice(["", ".", "'s", "|"]) for _ in range(90)) for _ in range(60)]
     assert [x.tolist() for x in e.encode([x.encode() for x in texts])] == [e.whole(x) for x in texts]
 
 
