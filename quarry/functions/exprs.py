@@ -96,17 +96,38 @@ def largest_number(arr) -> Column:
     return F.array_max(vals)
 
 
-# Accepted date layouts, tried in order: month first, then day first (fixed values).
-DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "M-d-yyyy", "M/d/yyyy", "d-M-yyyy", "d/M/yyyy", "d-MMM-yyyy", "d MMM yyyy",
-                "MMM d yyyy", "yyyy-M-d H:m:s"]
-DATE_RE = r"^[0-9A-Za-z]{1,4}[-/ ][0-9A-Za-z]{1,3}[-/ ]\d{1,4}( \d{1,2}:\d{2}:\d{2})?$"
+_MONTH = (r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|"
+          r"nov(?:ember)?|dec(?:ember)?)\.?")
+_DAY, _YEAR, _GAP = r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4}|\d{2})", r"[-/., ]+"
+_TIME = r"(?i)^(.*\d),?[T ]\s*\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[AP]M)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?$"
+#: Layouts of a date: pattern, and its groups as year, month, day.
+DATE_LAYOUTS = [(r"(?i)^(\d{4})[-/. ](\d{1,2})[-/. ](\d{1,2})$", "$1", "$2", "$3"),
+                (r"^(\d{4})(\d{2})(\d{2})$", "$1", "$2", "$3"),
+                (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", "$3", "$1", "$2"),
+                (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", "$3", "$2", "$1"),
+                (f"(?i)^{_DAY}{_GAP}{_MONTH}{_GAP}{_YEAR}$", "$3", "$2", "$1"),
+                (f"(?i)^{_MONTH}{_GAP}{_DAY}{_GAP}{_YEAR}$", "$3", "$1", "$2"),
+                (f"(?i)^(\\d{{4}}){_GAP}{_MONTH}{_GAP}{_DAY}$", "$1", "$2", "$3")]
 
 
 def coerce_date(c, min_year: int | None = None) -> Column:
-    """F8: text -> DATE, NULL when unparseable (or before ``min_year``)."""
-    s = strip(_c(c).cast("string"))
-    guarded = F.when(s.rlike(DATE_RE), s)
-    d = F.coalesce(*[F.to_date(F.try_to_timestamp(guarded, F.lit(f))) for f in DATE_FORMATS])
+    """F8: text -> DATE, NULL when unparseable (or before ``min_year``). A time
+    after the date is dropped, in any layout. Numeric dates are month first, else
+    day first; a year of two digits is 1969 to 2068; months may be named in full."""
+    s = F.regexp_replace(strip(_c(c).cast("string")), _TIME, "$1")
+
+    def part(pattern: str, group: str) -> Column:
+        return F.regexp_replace(s, pattern, group)
+
+    def year(y: Column) -> Column:
+        return F.when(F.length(y) == 2, F.concat(F.when(y >= "69", F.lit("19")).otherwise(F.lit("20")), y)).otherwise(y)
+
+    def month(m: Column) -> Column:
+        at = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(m, 1, 3)))
+        return F.when(m.rlike("^[0-9]"), m).otherwise(F.floor((at + 2) / 3).cast("string"))
+
+    d = F.coalesce(*[F.when(s.rlike(p), F.to_date(F.try_to_timestamp(
+        F.concat_ws("-", year(part(p, y)), month(part(p, m)), part(p, day)), F.lit("yyyy-M-d")))) for p, y, m, day in DATE_LAYOUTS])
     if min_year is not None:
         d = F.when(F.year(d) >= min_year, d)
     return d

@@ -62,7 +62,12 @@ def test_column_names_stay_unique(spark):
 
 @pytest.mark.parametrize(("text", "want"), [
     ("05/03/2024", "2024-05-03"), ("12/25/2024", "2024-12-25"), ("25/12/2024", "2024-12-25"), ("2024-01-05 00:00:00", "2024-01-05"),
-    ("5 Jan 2024", "2024-01-05"), ("5-Jan-2024", "2024-01-05"), ("2024/1/5", "2024-01-05"), ("Total", None), ("12.5", None)])
+    ("5 Jan 2024", "2024-01-05"), ("5-Jan-2024", "2024-01-05"), ("2024/1/5", "2024-01-05"), ("Total", None), ("12.5", None),
+    ("January 5, 2024", "2024-01-05"), ("Jan 5, 2024", "2024-01-05"), ("01/02/24", "2024-01-02"), ("5-Jan-24", "2024-01-05"),
+    ("2024-01-05T10:00:00", "2024-01-05"), ("12/25/2024 10:00:00", "2024-12-25"), ("5 January 2024", "2024-01-05"),
+    ("20240105", "2024-01-05"), ("05.01.2024", "2024-05-01"), ("2024-01-05 10:00:00.123Z", "2024-01-05"), ("3rd Sept. 1999", "1999-09-03"),
+    ("Dec 31 69", "1969-12-31"), ("1/2/2024 3:04 PM", "2024-01-02"), ("2024-Feb-29", "2024-02-29"), ("2023-02-29", None), ("13/13/2024", None),
+    ("Janus 5, 2024", None), ("", None), (None, None), ("10:00:00", None), ("123456789", None), ("5 May", None)])
 def test_dates(spark, text, want):
     got = spark.range(1).select(F.date_format(X.coerce_date(F.lit(text)), "yyyy-MM-dd").alias("d")).first().d
     assert got == want
