@@ -250,7 +250,7 @@ def resolve_table_name(spark, d):
              .union(c.select(F.concat(F.lit("customers.xlsx::"), F.col("c_mktsegment")).alias("name"))).distinct())
     # the sheets load in name order, so the name itself is the load-order key
     catalog = names.withColumn("ordinal", F.col("name"))
-    req = (o.select(F.upper(F.substring("o_orderpriority", 3, 100)).alias("request"))
+    req = (o.select(F.upper(F.expr("substring(o_orderpriority, 3)")).alias("request"))
            .union(o.select(F.concat(F.lit("ledger_"), F.substring("o_orderpriority", 1, 1)).alias("request")))
            .union(c.select(F.lower("c_mktsegment").alias("request")))
            .union(c.select(F.lit("customers.xlsx::BUILDING").alias("request"))).distinct())
