@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
+from quarry.operators import ivf
 from quarry.operators.infer import embed_chunks
 from quarry.operators.lsh import knn_lsh as lsh
 from quarry.plans import fixtures as FX
@@ -37,6 +38,18 @@ def knn_lsh(spark, d):
     return lsh(FX.vector_questions(spark, d), FX.vectors(spark, d), 10).select("qid", "chunk_id", "dist")
 
 
+@query("knn_indexed", FX.with_(FX.SQL_VECTORS) + """
+SELECT qid, chunk_id, dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS r FROM (
+    SELECT q.chunk_id AS qid, i.chunk_id, round(list_distance(q.v, i.v), 6) AS dist FROM vec q, vec i))
+WHERE r <= 10""")
+def knn_indexed(spark, d):
+    """10-NN of every stored vector through the partitioned index. Where the
+    sample shows no structure, as with independent random vectors, ``ivf.knn`` is
+    the exact search; SQL holds its rows."""
+    return ivf.knn(FX.vector_questions(spark, d), ivf.build_index(FX.vectors(spark, d)), 10).select("qid", "chunk_id", "dist")
+
+
 @query("build_corpus", FX.with_(FX.SQL_CORPUS, FX.SQL_CHUNKS) + """
 SELECT session_id, min(chunk_id) AS chunk_id, source || '::' || sha256(text) AS fp, 1 AS run
 FROM chunks GROUP BY ALL""")
