@@ -230,6 +230,42 @@ def test_warc(spark, tmp_path):
     assert large.where("refers_to is not null").count() == 0
 
 
+def test_warc_writes_the_same_files_whatever_the_partitions(spark, tmp_path):
+    rows = [(k * 7919 % 20011 if k % 5 else None, f"u{k % 3}", f"<p>{k % 9000}</p>", 1) for k in range(20_000)]
+    rows += [(3, "u", "same", 1)] * 3500  # a sixth of the table is one row
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n int")
+    paths = [warc.write_archives(warc.archive_plan(p), str(tmp_path / name), roll_bytes=100_000, shards=6)
+             for name, p in (("a", pages.repartition(3)), ("b", pages.repartition(11, "html")))]
+    manifests = [open(f"{p}/_manifest.jsonl").read() for p in paths]
+    assert manifests[0] == manifests[1]
+    records = [int(json.loads(line)["records"]) for line in manifests[0].splitlines()]
+    by_range = collections.Counter()
+    for line in map(json.loads, manifests[0].splitlines()):
+        by_range[line["file"][:11]] += line["records"]
+    assert sum(records) == len(rows) and max(by_range.values()) < len(rows) / 3 and len(by_range) == 6
+    uris = []
+    for line in map(json.loads, manifests[0].splitlines()):
+        heads = [warc.parsed(m)[0] for m in warc.members(open(f"{paths[0]}/{line['file']}", "rb").read())]
+        uris += [(h["WARC-Record-ID"], h.get("WARC-Refers-To")) for h in heads if h["WARC-Type"] != "warcinfo"]
+    assert len({u for u, _ in uris}) == len(rows) and {r for _, r in uris if r} <= {u for u, _ in uris}
+
+
+def test_warc_reads_only_what_the_manifest_names(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"<p>{k}</p>") for k in range(50)], "page_id long, url string, html string")
+    path = warc.write_archives(warc.archive_plan(pages), str(tmp_path / "w"), roll_bytes=2000, shards=2)
+    files = [m["file"] for m in warc.manifest_of(path)]
+    data = open(f"{path}/{files[0]}", "rb").read()
+    open(f"{path}/stray.warc.gz", "wb").write(data)
+    assert sorted(r.page_id for r in warc.read_archives(spark, path).collect()) == list(range(50))
+    open(f"{path}/{files[0]}", "wb").write(open(f"{path}/{files[-1]}", "rb").read())
+    with pytest.raises(Exception, match="another size|differs from the manifest"):
+        warc.read_archives(spark, path).collect()
+    none = warc.write_archives(warc.archive_plan(pages.limit(0)), str(tmp_path / "n"))
+    assert warc.read_archives(spark, none).count() == 0
+    with pytest.raises(FileNotFoundError):
+        warc.read_archives(spark, str(tmp_path / "missing"))
+
+
 # ---- token ids
 
 def test_token_orc(docs, spark, tmp_path):
