@@ -43,6 +43,25 @@ def keyword_questions(spark, d) -> DataFrame:
         F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 5, 6), " ").alias("question"))
 
 
+# Pages as the multimodal job expects them: the test pages hold links and framed
+# notes, but neither images nor tables.
+LINK_RE = r'<a href="([^"]*)">([^<]*)</a>'
+NOTE_RE = r'<div class="ad">([^<]*)</div>'
+SQL_MM_PAGES = f"""mpages AS (SELECT page_id, regexp_replace(regexp_replace(html,
+  '{LINK_RE}', '<img src="\\1.png" alt="\\2">', 'g'), '{NOTE_RE}', '<table><tr><td>\\1</td></tr></table>', 'g') AS html FROM pages),
+mq AS (SELECT page_id AS qid, regexp_extract(html, '<title>([^<]*)</title>', 1) AS question FROM pages)"""
+
+
+def mm_pages(spark, d) -> DataFrame:
+    html = F.regexp_replace("html", LINK_RE, '<img src="$1.png" alt="$2">')
+    return table(spark, d, "pages").select("page_id", F.regexp_replace(html, NOTE_RE, "<table><tr><td>$1</td></tr></table>").alias("html"))
+
+
+def title_questions(spark, d) -> DataFrame:
+    """Every page's title, asked of all pages."""
+    return table(spark, d, "pages").select(F.col("page_id").alias("qid"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("question"))
+
+
 def vectors(spark, d) -> DataFrame:
     """Ready-made chunk vectors: id = vec_id, source = label."""
     return table(spark, d, "embeddings").select(

@@ -161,3 +161,25 @@ def test_new_documents_after_a_merge(spark, folder):
 
 def test_no_segments(spark):
     assert S.segment_scores(spark, scratch_path(spark, "seg"), asked(spark)).isEmpty()
+
+
+def test_images_tables_and_texts_are_found_and_capped(spark):
+    from quarry.operators import mm_store
+
+    pages = spark.createDataFrame([
+        (1, "<p>Plain words. More of them</p><IMG alt='red fox' src='/b.png'><img src=\"/b.png\" alt=\"late\"><img src=\"/c.txt\" alt=\"fox\">"),
+        (2, "<table><tr><td>fox prices</td></tr></table><!-- <img src=\"/x.png\"> --><img src=\"/dir/fox.JPG\" alt=\" \">"),
+        (3, "".join(f'<img src="/{k:02d}.gif" alt="fox {k}">' for k in range(12))), (4, None), (5, "")], "page_id long, html string")
+    store = mm_store.build(pages, buckets=2)
+    kept = {r.payload: r.summary for r in store.payloads.where("modality = 'image'").collect()}
+    assert kept == {"/b.png": "red fox", "/dir/fox.JPG": "fox"} | {f"/{k:02d}.gif": f"fox {k}" for k in range(8)}
+    q = spark.createDataFrame([(7, "fox"), (8, "plain"), (9, None), (10, "nothing there")], "qid int, question string")
+    rows = mm_store.search(store, q).collect()
+    assert {r.qid for r in rows} == {7, 8}
+    assert [r.payload for r in rows if r.modality == "table"] == ["fox prices"]
+    found = sorted((r.rank, r.payload, r.context) for r in rows if r.modality == "image")
+    assert len(found) == 5 and found[0][1:] == ("/dir/fox.JPG", "fox")
+    assert {r.context for r in rows if r.qid == 8} == {"Plain words. More of them"}
+    assert {r.modality for r in mm_store.search(store, q, {"text": 2, "table": 2, "image": 0}).collect()} == {"text", "table"}
+    none = mm_store.build(pages.limit(0), buckets=2)
+    assert mm_store.search(none, q).count() == 0
