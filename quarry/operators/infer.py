@@ -96,3 +96,13 @@ def validate_json(df: DataFrame, raw: str, schema: str) -> DataFrame:
         whole = whole & parsed[f].isNotNull()
     record = F.when(parsed.isNotNull(), F.struct(*[parsed[f].alias(f) for f in struct.fieldNames()]))
     return df.select("*", record.alias("record"), F.coalesce(whole, F.lit(False)).alias("valid"))
+
+
+def validate_json_list(df: DataFrame, raw: str, schema: str) -> DataFrame:
+    """Model output that should be a JSON array of records: a row per element with
+    its place ``at``, its own text in ``raw``, ``record`` and ``valid``. Output that is
+    null, empty, or no array is one row, not valid, with a null ``at``."""
+    parts = F.from_json(F.col(raw), T.ArrayType(T.StringType()))
+    others = [c for c in df.columns if c != raw]
+    each = df.select(*others, F.posexplode_outer(F.when(F.ltrim(raw).startswith("["), parts)).alias("at", raw))
+    return validate_json(each, raw, schema)

@@ -60,3 +60,35 @@ def validate_schema(spark, d):
 METADATA_SCHEMA = ("Summary array<string>, Title string, Author array<string>, DateCreated string, "
                    "LastModifiedDate string, Publisher string, Language string, PageCount int, "
                    "SentimentTone string")
+
+# Stand-in answers of a model that lists changes: whole ones, and the usual faults
+# (a missing field, a text for a list, an unended or empty answer, prose, none).
+CHANGES_SCHEMA = "Page string, Added array<string>, Removed array<string>"
+_FAULTS = ['[{"Page":"%p","Added":["a %i","b"],"Removed":[]},{"Page":"x","Added":[],"Removed":["c"]}]',
+           '[{"Page":"%p","Added":["a"]},{"Page":"%p","Added":["a"],"Removed":["b","c"]}]',
+           '[{"Page":"%p","Added":"a","Removed":[]}]', '[{"Page":"%p","Added":["a"],"Remo', "[]", "I found no changes on %p.", None,
+           '{"Page":"%p","Added":[],"Removed":[]}', '  [{"Page":"%p","Added":[],"Removed":[],"More":1},null]']
+
+
+@query("validate_changes", "WITH f(k, t) AS (VALUES " + ", ".join(
+    f"({k}, {'NULL' if t is None else chr(39) + t + chr(39)})" for k, t in enumerate(_FAULTS)) + f"""),
+r AS (SELECT doc_id, replace(replace(t, '%p', lang || '-' || doc_id), '%i', source) AS raw FROM documents JOIN f ON doc_id % {len(_FAULTS)} = k),
+l AS (SELECT doc_id, CASE WHEN coalesce(json_valid(raw), false) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'ARRAY'
+  THEN json_extract(CASE WHEN json_valid(raw) THEN raw END, '$[*]') END AS es FROM r),
+e AS (SELECT doc_id, unnest(range(len(es))) AS at_, unnest(es) AS e FROM l WHERE len(es) > 0
+  UNION ALL SELECT doc_id, NULL, NULL FROM l WHERE coalesce(len(es), 0) = 0),
+c AS (SELECT *, json_type(e, '$.Page') = 'VARCHAR' AND json_type(e, '$.Added') = 'ARRAY' AND json_type(e, '$.Removed') = 'ARRAY' AS ok FROM e)
+SELECT doc_id, CAST(coalesce(at_, -1) AS INTEGER) AS place, coalesce(ok, false) AS valid, CASE WHEN ok THEN json_extract_string(e, '$.Page') END AS page,
+  CASE WHEN ok THEN CAST(json_array_length(e, '$.Added') AS INTEGER) ELSE -1 END AS n_added,
+  CASE WHEN ok THEN json_extract_string(e, '$.Added[0]') END AS first_added,
+  CASE WHEN ok THEN CAST(json_array_length(e, '$.Removed') AS INTEGER) ELSE -1 END AS n_removed FROM c""")
+def validate_changes(spark, d):
+    """answers that should list changes by page, checked record by record;
+    -1 stands for no place and for the sizes of a record that is not valid."""
+    from quarry.operators.infer import validate_json_list
+    t = F.get(F.array(*[F.lit(x) for x in _FAULTS]), (F.col("doc_id") % len(_FAULTS)).cast("int"))
+    raw = F.replace(F.replace(t, F.lit("%p"), F.concat_ws("-", "lang", "doc_id")), F.lit("%i"), F.col("source"))
+    rows = validate_json_list(FX.table(spark, d, "documents").select("doc_id", raw.alias("raw")), "raw", CHANGES_SCHEMA)
+    ok = F.when(F.col("valid"), F.col("record"))
+    return rows.select("doc_id", F.coalesce("at", F.lit(-1)).alias("place"), "valid", ok["Page"].alias("page"), F.when(F.col("valid"), F.size(ok["Added"])).otherwise(-1).alias("n_added"),
+                       F.get(ok["Added"], 0).alias("first_added"), F.when(F.col("valid"), F.size(ok["Removed"])).otherwise(-1).alias("n_removed"))

@@ -85,6 +85,30 @@ def sniff_format(spark, d):
     return SF.sniff_format(SF.binary_files(spark, staged_files(spark, d)["root"]))
 
 
+# Stand-in files: pages under the first bytes of each format (fixed values) and under
+# names that fit or do not.
+_HEADS = ["", "504B0304", "D0CF11E0A1B11AE1", "255044462D312E37", "53514C69746520666F726D6174203300", "0A20", "EFBBBF", "FFFE41"]
+_NAMES = [".html", ".docx", ".xls", ".pdf", ".db", ".xlsx", ".htm", ".txt", ""]
+
+
+@query("sniff_formats", f"""
+WITH f AS (SELECT 'in/p' || page_id || {_NAMES!r}[page_id % {len(_NAMES)} + 1] AS path, {_NAMES!r}[page_id % {len(_NAMES)} + 1] AS ext,
+  {_HEADS!r}[page_id % {len(_HEADS)} + 1] AS h, lower(substring(html, 1, 30)) AS low FROM pages),
+g AS (SELECT path, ext, CASE WHEN h LIKE '504B0304%' THEN 'ooxml' WHEN h LIKE 'D0CF11E0%' THEN 'biff' WHEN h LIKE '25504446%' THEN 'pdf'
+  WHEN h LIKE '53514C69746520666F726D6174%' THEN 'sqlite'
+  WHEN h IN ('', '0A20') AND regexp_matches(low, '^<(!doctype html|html|table|\\?xml)') THEN 'html' ELSE 'unknown' END AS format FROM f)
+SELECT path, ext, format, coalesce(CASE WHEN ext IN ('.xlsx', '.docx') THEN 'ooxml' WHEN ext = '.xls' THEN 'biff' WHEN ext = '.pdf' THEN 'pdf'
+  WHEN ext = '.db' THEN 'sqlite' WHEN ext IN ('.html', '.htm') THEN 'html' END <> format, false) AS mislabelled FROM g""")
+def sniff_formats(spark, d):
+    """S10 over files of every format, with names that fit and names that do not."""
+    def nth(values):
+        return F.get(F.array(*[F.lit(v) for v in values]), (F.col("page_id") % len(values)).cast("int"))
+    files = FX.table(spark, d, "pages").select(
+        F.concat(F.lit("in/p"), F.col("page_id").cast("string"), nth(_NAMES)).alias("path"),
+        F.concat(F.unhex(nth(_HEADS)), F.col("html").cast("binary")).alias("content"))
+    return SF.sniff_format(files)
+
+
 @query("linearize_rows", """
 SELECT c_custkey, CAST(c_custkey AS VARCHAR) || chr(9) || coalesce(c_name, '') || chr(9) || CAST(c_nationkey AS VARCHAR)
   || chr(9) || coalesce(CASE WHEN c_acctbal < 0 THEN 'overdrawn' END, '') AS line FROM customer""")

@@ -66,7 +66,7 @@ def sniff_format(files: DataFrame) -> DataFrame:
     for sig, name in reversed(SIGNATURES):
         fmt = F.when(head.startswith(sig), F.lit(name)).otherwise(fmt)
     low = F.lower(F.make_valid_utf8(F.substring("content", 1, 64).cast("string")))
-    fmt = F.when((fmt == "unknown") & F.ltrim(low).rlike(r"^<(!doctype html|html|table|\?xml)"), "html") \
+    fmt = F.when((fmt == "unknown") & low.rlike(r"^\s*<(!doctype html|html|table|\?xml)"), "html") \
            .otherwise(fmt)
     ext = X.extension(F.col("path"))
     expected = (F.when(ext.isin(".xlsx", ".docx", ".pptx"), "ooxml").when(ext == ".xls", "biff")
