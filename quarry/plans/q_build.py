@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
-from quarry.operators import ivf
+from quarry.operators import ivf, sparse
 from quarry.operators.infer import embed_chunks
 from quarry.operators.lsh import knn_lsh as lsh
 from quarry.plans import fixtures as FX
@@ -32,6 +32,48 @@ def embed_chunks_q(spark, d):
                     F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
 
 
+def _sql_sparse(rows: str, name: str, id_col: str, text: str, fit: str) -> str:
+    """``name``(id, i, w) of the texts of ``rows``; frequencies are those of ``fit`` (a name given before)."""
+    return f"""{name}_t AS (SELECT {id_col}, ('0x' || substr(md5(t), 1, 8))::BIGINT % {sparse.DIMS} AS i, count(*) AS tf FROM (
+  SELECT {id_col}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS t FROM {rows}) GROUP BY ALL),
+{name}_d AS (SELECT i, ln(((SELECT count(*) FROM chunks) + 1.0)::DOUBLE / (count(*) + 1)) AS idf FROM {fit}_t GROUP BY i),
+{name}_w AS (SELECT {id_col}, i, tf * idf AS w FROM {name}_t JOIN {name}_d USING (i)),
+{name} AS (SELECT {id_col}, i, CASE WHEN n > 0 THEN w / n ELSE 0.0 END AS w FROM {name}_w JOIN (
+  SELECT {id_col}, sqrt(sum(w * w)) AS n FROM {name}_w GROUP BY {id_col}) USING ({id_col}))"""
+
+
+def _sparse(spark, d):
+    ch = FX.chunks(spark, d)
+    idf = sparse.fit_idf(ch)
+    return ch, idf, sparse.embed(ch, idf)
+
+
+@query("sparse_vectors", FX.with_(FX.SQL_CORPUS, FX.SQL_CHUNKS, _sql_sparse("chunks", "v", "chunk_id", "text", "v")) +
+       "SELECT session_id, source, chunk_id, CAST(i AS INTEGER) AS i, round(w, 6) AS weight FROM v JOIN chunks USING (chunk_id)")
+def sparse_vectors(spark, d):
+    """Every chunk's term weights, written with the corpus by session and
+    read back."""
+    ch, _idf, v = _sparse(spark, d)
+    path = scratch_path(spark, "corpus-vectors")
+    sparse.write_vectors(ch, v, path)
+    back = spark.read.schema("chunk_id string, source string, indices array<int>, weights array<double>, session_id string").parquet(path)
+    return back.select("session_id", "source", "chunk_id", F.inline(F.arrays_zip("indices", "weights"))).select(
+        "session_id", "source", "chunk_id", F.col("indices").alias("i"), F.round("weights", 6).alias("weight"))
+
+
+@query("sparse_nearest", FX.with_(FX.SQL_CORPUS, FX.SQL_CHUNKS, FX.SQL_KEY_Q, _sql_sparse("chunks", "v", "chunk_id", "text", "v"),
+                                  _sql_sparse("kq", "q", "qid", "question", "v")) + """
+SELECT qid, chunk_id, dist, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS rank FROM (
+    SELECT qid, chunk_id, round(sqrt(greatest(0.0, round(2 - 2 * sum(q.w * v.w), 9))), 6) AS dist FROM q JOIN v USING (i)
+    WHERE q.w > 0 AND v.w > 0 GROUP BY qid, chunk_id)) WHERE rank <= 5""")
+def sparse_nearest(spark, d):
+    """E1 with J3's question: the chunks nearest to short questions by sparse distance."""
+    _ch, idf, v = _sparse(spark, d)
+    q = sparse.embed(FX.keyword_questions(spark, d), idf, "question", "qid")
+    return sparse.nearest(q, v, 5).select("qid", "chunk_id", "dist", "rank")
+
+
 @query("knn_lsh")
 def knn_lsh(spark, d):
     """Approximate 10-NN of every stored vector; recall against ``knn_exact`` is asserted in tests."""

@@ -90,3 +90,25 @@ def test_repeated_vectors_nulls_and_empty_tables(spark):
     assert not none.structured and ivf.knn(q, none, 5).count() == 0
     with pytest.raises(Exception, match="one length"):
         ivf.build_index(df.unionByName(spark.createDataFrame([(9002, [1.0])], df.schema)), sample_rows=600).codes.count()
+
+
+def test_sparse_vectors_of_odd_texts(spark):
+    from quarry.operators import sparse
+
+    rows = [("a", "red fox red"), ("b", "red hen"), ("c", None), ("d", ""), ("e", "red"), ("f", "fox fox fox")]
+    ch = spark.createDataFrame(rows, "chunk_id string, text string")
+    idf = sparse.fit_idf(ch)
+    v = {r.chunk_id: (list(r.indices), list(r.weights)) for r in sparse.embed(ch, idf).collect()}
+    assert set(v) == set("abcdef") and v["c"] == v["d"] == ([], [])
+    assert all(i == sorted(set(i)) and (not w or abs(sum(x * x for x in w) - 1) < 1e-9) for i, w in v.values())
+    assert set(v["f"][0]) < set(v["a"][0])
+    # fewer indices than terms: counts of terms that share one are added
+    tight = sparse.embed(ch, sparse.fit_idf(ch, dims=1), dims=1).collect()
+    assert {tuple(r.indices) for r in tight} == {(0,), ()}
+    q = sparse.embed(spark.createDataFrame([(1, "fox"), (2, "unknown"), (3, None)], "qid int, question string"), idf, "question", "qid")
+    got = [(r.qid, r.chunk_id, r["rank"], r.dist) for r in sparse.nearest(q, sparse.embed(ch, idf), 2).orderBy("rank").collect()]
+    assert [g[:3] for g in got] == [(1, "f", 1), (1, "a", 2)] and got[0][3] == 0.0
+    one = sparse.nearest(q, sparse.embed(ch, idf), 2, shards=1).collect()
+    assert {(r.qid, r.chunk_id, r.dist) for r in one} == {(a, b, d) for a, b, _, d in got}
+    empty = sparse.embed(ch.limit(0), sparse.fit_idf(ch.limit(0)))
+    assert empty.count() == 0 and sparse.nearest(q, empty, 2).count() == 0
