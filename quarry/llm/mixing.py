@@ -9,7 +9,8 @@ a subset of a larger one.
 A target above the source's size takes every document whole times and the rest
 by threshold. Defined results: a null text has size 0; a null source is a source
 of its own, last in order; documents with equal ids share a hash and so their
-fate; the document at the threshold is taken if that brings the sum nearer to
+fate, documents without an id if their texts are equal (a null text as an empty
+one); the document at the threshold is taken if that brings the sum nearer to
 the target. Documents of size 0 are taken like any other hash.
 """
 
@@ -25,9 +26,11 @@ LEVEL_BITS = 12         # of the hash, for each refinement: 4096 buckets a sourc
 MAX_REPEAT = 3
 
 
-def unit_hash(id_value: Column, seed: str = "mix") -> Column:
-    """The first 60 bits of an MD5: reruns and other engines agree."""
-    key = F.concat(F.lit(seed + ":"), F.coalesce(id_value.cast("string"), F.lit("null")))
+def unit_hash(id_value: Column, text: Column, seed: str = "mix") -> Column:
+    """The first 60 bits of an MD5 of the id, or of the text's digest where there is
+    none: reruns and other engines agree."""
+    named = F.coalesce(id_value.cast("string"), F.concat(F.lit("null:"), F.sha2(F.coalesce(text, F.lit("")), 256)))
+    key = F.concat(F.lit(seed + ":"), named)
     return F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -117,8 +120,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, source, size, source_size, target, copies), one row per row of
     ``docs``; ``copies`` says how often the mix takes the document."""
     sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                              n_words_col(F.col(text_col)).alias("size"))
-                  .withColumn("hash", unit_hash(F.col("doc_id"), seed)), "mix-sized")
+                              n_words_col(F.col(text_col)).alias("size"),
+                              unit_hash(F.col(id_col), F.col(text_col), seed).alias("hash")), "mix-sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     cuts = thresholds(sized, targets(sources, weights, max_repeat)).alias("c")
     d = sized.alias("d")

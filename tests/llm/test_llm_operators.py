@@ -135,6 +135,16 @@ def test_mixing_is_nested(spark):
     assert all(few[i] <= many[i] for i in few if i % 2 == 0)
 
 
+def test_mixing_meets_targets_where_many_rows_have_no_id(spark):
+    rows = [(i if i % 2 else None, f"w{i} " * (i % 9 + 1), f"s{i % 2 if i < 60 else i % 3}") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_documents(d).collect()
+    for s in ("s0", "s1", "s2"):
+        mine = [r for r in out if r.source == s]
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= max(r.size for r in mine)
+    assert as_rows(mixing.mix_documents(d.repartition(5))) == sorted(map(tuple, out), key=repr)
+
+
 # ---- exact dedup
 
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda norm: F.length(norm)])
