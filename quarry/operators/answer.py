@@ -17,10 +17,10 @@ def retrieve_two_pass(questions: DataFrame, index, min_score: float, k: int, ste
     are taken off, ``retrieve.STEM_RE``) and retrieved once more; still
     nothing -> the fixed apology row. Bounded: at most one rewrite, no loop.
     ``index`` / ``stem_index`` are the exact-term and stemmed ``TermIndex``."""
-    s1 = (R.bm25_indexed(questions, index).where(F.col("score") >= min_score)
+    s1 = (R.bm25_top(questions, index, k).drop("rank").where(F.col("score") >= min_score)
           .withColumn("pass_no", F.lit(1)))
     miss = questions.join(s1.select("qid").distinct(), "qid", "left_anti")
-    s2 = (R.bm25_indexed(miss, stem_index).where(F.col("score") >= min_score)
+    s2 = (R.bm25_top(miss, stem_index, k).drop("rank").where(F.col("score") >= min_score)
           .withColumn("pass_no", F.lit(2)))
     hits = s1.unionByName(s2)
     top = R.top_k(hits, k, ["qid"], [F.col("score").desc(), F.col("chunk_id")]) \

@@ -233,9 +233,9 @@ def _hits(spark, d):
     (stage 1), with the chunks they point at; BM25 is evaluated once."""
     ch = _chunks_all(spark, d)
     qs = FX.bench_questions(spark, d)
-    scores = R.bm25_indexed(qs, FX.term_index(spark, d)).join(ch.select("chunk_id", "source"), "chunk_id")
     order = [F.col("score").desc(), F.col("chunk_id")]
-    hits = R.hits_with_coverage(scores, CONTEXT_K, 2, order)
+    best = R.top_k(R.bm25_indexed(qs, FX.term_index(spark, d), k=CONTEXT_K, group="source"), CONTEXT_K, ["qid", "source"], order)
+    hits = R.hits_with_coverage(R.with_chunk_rows(best.drop("rank"), ch), CONTEXT_K, 2, order)
     cols = ["qid", "stage", "rank", "chunk_id", "source"]
     return hits.select(*cols).withColumn("scope", F.lit("all")), ch
 
@@ -316,7 +316,7 @@ def rerank_top_n(spark, d):
     BM25 (the pluggable scorer), keep 6."""
     qs = FX.bench_questions(spark, d)
     pool = R.bm25_top(qs, FX.term_index(spark, d, True), RERANK_POOL).select("qid", "chunk_id")
-    exact = R.bm25_indexed(qs, FX.term_index(spark, d))
+    exact = R.bm25_pairs(qs, FX.term_index(spark, d), pool)
     rescored = pool.join(exact, ["qid", "chunk_id"], "left") \
                    .withColumn("score", F.coalesce("score", F.lit(0.0)))
     return R.top_k(rescored, RERANK_N, ["qid"], [F.col("score").desc(), F.col("chunk_id")]) \
