@@ -250,6 +250,23 @@ def test_chat_of_nothing(spark, chats):
     assert chat_format.conversation_digests(chat_format.formatted_blocks(spark, path)).isEmpty()
 
 
+def recalling(turns):
+    """A turn that says "recall" repeats the one 40 turns earlier."""
+    return "".join(f"[{turns[i - 40][1] if t == 'recall' and i >= 40 else ''}|{t}]" for i, (_, t) in enumerate(turns))
+
+
+def test_templates_that_look_far_back_at_a_single_turn_are_found(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", "recall" if c and t == 80 else f"said {t}") for c in (0, 1) for t in range(200)]
+    path = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"),
+                                            scratch_path(spark, "chat-test"), template=recalling)
+    got = chat_format.formatted_blocks(spark, path).orderBy("conv_id", "block").collect()
+    for c in (0, 1):
+        mine = [r for r in got if r.conv_id == c]
+        assert "".join(r.text for r in mine) == recalling([(r[2], r[3]) for r in rows if r[0] == c])
+        assert any(r.far_history for r in mine) == bool(c)
+
+
+
 def test_template_that_hides_a_text_is_refused():
     with pytest.raises(ValueError):
         list(chat_format.render_turns(lambda turns: "".join(sorted(t for _, t in turns)), [("user", "z")], [("assistant", "a" * 3)]))
