@@ -6,6 +6,8 @@ text)``. All operators are narrow projections except where noted.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from quarry.functions import exprs as X
 # Default budget of the reference's splitter.
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
+LONG_TEXT = 1 << 15  # characters
 
 
 def chunk_fixed(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
@@ -26,6 +29,13 @@ def chunk_fixed(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OV
     n = F.greatest(F.lit(1), F.ceil((F.length("text") - overlap) / F.lit(step))).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), n - 1),
                          lambda i: F.substring(F.col("text"), i * step + 1, size))
+    part = math.gcd(step, size)
+    if size // part <= 16:
+        # ``substring`` counts from the start each time: long texts are cut into parts in one pass
+        parts = F.array(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{part}}}"), F.lit(0)))
+        joined = F.element_at(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(
+            *[F.coalesce(F.get(p, i * (step // part) + j), F.lit("")) for j in range(size // part)]))), 1)
+        pieces = F.when(F.length("text") > LONG_TEXT, joined).otherwise(pieces)
     return (docs.select(*keep, F.posexplode(pieces).alias("pos", "text"))
             .withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("pos"))))
 
