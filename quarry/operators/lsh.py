@@ -3,9 +3,9 @@
 A table's code of a vector is the signs of its products with ``bits`` random
 directions, so vectors at a small angle share it often. A question looks up, in
 every table, its own code and the codes that differ in one bit (multi-probe);
-the items found are ranked by exact distance. Nothing is truncated, whatever a
-bucket's size: buckets are made smaller with more bits, and the join of a hot
-bucket is split by AQE.
+the items found are ranked by exact distance, within the bucket. Nothing is
+truncated, whatever a bucket's size: a task holds the questions of one bucket and
+streams its items past them; buckets are made smaller with more bits.
 
 How much is pruned depends on the data. Independent random directions, such as
 the test vectors, have no near neighbours to speak of: 0.9 recall takes about
@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators import retrieve as R
 
@@ -58,7 +59,24 @@ def knn_lsh(queries: DataFrame, items: DataFrame, k: int, *, bits: int = 8, n_ta
             qid: str = "qid", item_id: str = "chunk_id", vec: str = "embedding") -> DataFrame:
     """(qid, item_id, dist): the ``k`` nearest candidates of each question; ties
     go to the smaller id. Use more bits for more items and more tables for recall."""
-    cand = candidates(queries, items, bits, n_tables, seed, qid, item_id, vec)
-    scored = (cand.join(queries.select(qid, F.col(vec).alias("_qvec")), qid).join(items.select(item_id, vec), item_id)
-              .select(qid, item_id, _dist(F.col("_qvec"), F.col(vec)).alias("dist")))
-    return R.top_k(scored, k, [qid], [F.col("dist"), F.col(item_id)], "_r").drop("_r")
+    ib = items.where(F.col(item_id).isNotNull()).select(
+        F.col(item_id).alias("_i"), F.col(vec).alias("_v"), F.posexplode(sign_codes(F.col(vec), bits, n_tables, seed)).alias("t", "code"))
+    qb = queries.where(F.col(qid).isNotNull()).select(
+        F.col(qid).alias("_q"), F.col(vec).alias("_v"), F.posexplode(sign_codes(F.col(vec), bits, n_tables, seed)).alias("t", "own"))
+    masks = [F.lit(0)] + [F.lit(1 << i) for i in range(bits)]
+    probes = qb.select("_q", "_v", "t", F.explode(F.array(*[F.col("own").bitwiseXOR(m) for m in masks])).alias("code"))
+    bucket, none = F.concat_ws(":", "t", "code").alias("_c"), F.lit(None)
+    met = probes.select(bucket, F.lit(False).alias("_item"), "_q", none.cast(items.schema[item_id].dataType).alias("_i"), none.cast("int").alias("_g"), "_v").unionByName(
+        ib.select(bucket, F.lit(True).alias("_item"), none.cast(queries.schema[qid].dataType).alias("_q"), "_i", none.cast("int").alias("_g"), "_v"))
+    # a bucket's questions see its items in one task and keep the k nearest: candidate pairs are never shuffled
+    out = T.StructType([T.StructField("qid", queries.schema[qid].dataType), T.StructField(item_id, items.schema[item_id].dataType),
+                        T.StructField("dist", T.DoubleType())])
+    near = met.repartition("_c").sortWithinPartitions("_c", "_item").mapInArrow(R._knn_cells(k, item_id, None, 2048), out)
+    near = near.distinct()
+    for df, key, name in ((queries, qid, "qid"), (items, item_id, item_id)):  # ids that are there n times come out n times
+        times = df.groupBy(F.col(key).alias(name)).agg((F.count(F.lit(1)) / F.count_distinct(vec)).cast("int").alias("_n")).where("_n > 1")
+        if not times.isEmpty():
+            near = near.join(times, name, "left").select("qid", item_id, "dist", F.explode(
+                F.sequence(F.lit(1), F.coalesce("_n", F.lit(1)))).alias("_n")).drop("_n")
+    best = R.top_k(near, k, ["qid"], [F.col("dist"), F.col(item_id)], "_r").drop("_r")
+    return best.withColumnRenamed("qid", qid) if qid != "qid" else best

@@ -54,3 +54,71 @@ def test_bm25_in_scope_counts_each_scope_alone(spark):
         want = R.top_k(alone, 5, ["qid"], order).select("qid", "chunk_id", "score")
         assert _rows(R.top_k(got.where(F.col("qid") == qid), 5, ["qid"], order).select("qid", "chunk_id", "score")) == _rows(want)
     assert got.where("qid = 3").isEmpty()
+
+
+def _vectors(spark, n, dup=False):
+    import numpy as np
+    v = np.random.default_rng(3).normal(size=(n, 8)).astype(float)
+    v[n // 2:] = v[:n - n // 2] + 1e-7  # many distances that round to the same
+    return spark.createDataFrame([(i, i % 3, v[i].tolist()) for i in range(n)] * (2 if dup else 1), "chunk_id int, source int, embedding array<double>")
+
+
+def test_knn_bounds_keep_ties_groups_and_repeated_ids(spark):
+    import numpy as np
+    for dup in (False, True):
+        rows = _vectors(spark, 300, dup).collect()
+        v = spark.createDataFrame(rows, "chunk_id int, source int, embedding array<double>")
+        q = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), "embedding")
+        x = np.array([r.embedding for r in rows])
+        want, of_group = [], []
+        for r in rows:
+            if r.chunk_id % 20 == 0:
+                d = np.round(np.sqrt(((x - np.array(r.embedding)) ** 2).sum(1)), 6)
+                want += [(r.chunk_id, i.chunk_id, float(y)) for i, y in zip(rows, d)]
+                of_group += [(r.chunk_id, i.chunk_id, i.source, float(y)) for i, y in zip(rows, d)]
+        def best(pairs, key, k):
+            out, n = [], {}
+            for p in sorted(pairs, key=lambda p: (p[-1], p[1])):
+                n[key(p)] = n.get(key(p), 0) + 1
+                out += [p] if n[key(p)] <= k else []
+            return sorted(out)
+        assert [(a, b, round(c, 6)) for a, b, c in _rows_num(R.knn(q, v, 7, sub_batch=16))] == best(want, lambda p: p[0], 7)
+        assert _rows_num(R.knn(q, v, 2, group="source", sub_batch=16)) == best(of_group, lambda p: p[::2][:2], 2)
+
+
+def _rows_num(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_lsh_moves_no_candidate_pairs(spark):
+    from quarry.operators import lsh
+    for dup in (False, True):
+        v = _vectors(spark, 200, dup)
+        q = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), "embedding")
+        pairs = lsh.candidates(q, v, 4, 3, 7, "qid", "chunk_id", "embedding")
+        every = pairs.join(q.withColumnRenamed("embedding", "_qv"), "qid").join(v, "chunk_id").select(
+            "qid", "chunk_id", lsh._dist(F.col("_qv"), F.col("embedding")).alias("dist"))
+        want = R.top_k(every, 5, ["qid"], [F.col("dist"), F.col("chunk_id")], "r").drop("r")
+        got = lsh.knn_lsh(q, v, 5, bits=4, n_tables=3)
+        assert _rows_num(got) == _rows_num(want)
+
+
+def test_long_texts_are_chunked_in_linear_time(spark):
+    import time
+
+    from quarry.operators import corpus as C
+    short = "a\nß\U0001f600é b" * 5000
+    docs = spark.createDataFrame([(1, "s", "x", short), (2, "s", "x", None), (3, "s", "x", ""), (4, "s", "x", "q" * 40000)],
+                                 "doc_id long, source string, session_id string, text string")
+    for size, overlap in ((1000, 200), (1000, 1)):
+        got = [(r.doc_id, r.pos, r.text) for r in C.chunk_fixed(docs, size, overlap).collect()]
+        step, want = size - overlap, []
+        for r in docs.collect():
+            n = max(1, -(-(len(r.text or "") - overlap) // step))
+            want += [(r.doc_id, i, None if r.text is None else r.text[i * step:i * step + size]) for i in range(n)]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    start = time.time()
+    long = spark.range(1).select(F.lit(1).alias("doc_id"), F.lit("s").alias("source"), F.lit("x").alias("session_id"),
+                                 F.repeat(F.lit("long text é "), 2_000_000).alias("text"))
+    assert C.chunk_fixed(long).agg(F.sum(F.length("text"))).first()[0] > 24_000_000
+    assert time.time() - start < 60  # minutes if every chunk counted from the text's start
