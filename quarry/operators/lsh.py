@@ -74,7 +74,7 @@ def knn_lsh(queries: DataFrame, items: DataFrame, k: int, *, bits: int = 8, n_ta
     near = met.repartition("_c").sortWithinPartitions("_c", "_item").mapInArrow(R._knn_cells(k, item_id, None, 2048), out)
     near = near.distinct()
     for df, key, name in ((queries, qid, "qid"), (items, item_id, item_id)):  # ids that are there n times come out n times
-        times = df.groupBy(F.col(key).alias(name)).agg((F.count(F.lit(1)) / F.count_distinct(vec)).cast("int").alias("_n")).where("_n > 1")
+        times = df.where(F.col(vec).isNotNull()).groupBy(F.col(key).alias(name)).agg((F.count(F.lit(1)) / F.count_distinct(vec)).cast("int").alias("_n")).where("_n > 1")
         if not times.isEmpty():
             near = near.join(times, name, "left").select("qid", item_id, "dist", F.explode(
                 F.sequence(F.lit(1), F.coalesce("_n", F.lit(1)))).alias("_n")).drop("_n")

@@ -122,3 +122,11 @@ def test_long_texts_are_chunked_in_linear_time(spark):
                                  F.repeat(F.lit("long text é "), 2_000_000).alias("text"))
     assert C.chunk_fixed(long).agg(F.sum(F.length("text"))).first()[0] > 24_000_000
     assert time.time() - start < 60  # minutes if every chunk counted from the text's start
+
+
+def test_lsh_takes_rows_without_id_or_vector(spark):
+    from quarry.operators import lsh
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (None, [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "chunk_id int, embedding array<double>")
+    q = v.select(F.col("chunk_id").alias("qid"), "embedding")
+    assert _rows_num(lsh.knn_lsh(q, v, 5, bits=1, n_tables=2)) == [(1, 1, 0.0), (1, 2, 0.1), (2, 1, 0.1), (2, 2, 0.0)]
