@@ -43,9 +43,9 @@ def _sql_sparse(rows: str, name: str, id_col: str, text: str, fit: str) -> str:
 
 
 def _sparse(spark, d):
-    ch = FX.chunks(spark, d)
-    idf = sparse.fit_idf(ch)
-    return ch, idf, sparse.embed(ch, idf)
+    """The chunks with their counted terms, and the frequencies."""
+    ch = sparse.count_terms(FX.chunks(spark, d))
+    return ch, sparse.fit_idf(ch)
 
 
 @query("sparse_vectors", FX.with_(FX.SQL_CORPUS, FX.SQL_CHUNKS, _sql_sparse("chunks", "v", "chunk_id", "text", "v")) +
@@ -53,9 +53,9 @@ def _sparse(spark, d):
 def sparse_vectors(spark, d):
     """Every chunk's term weights, written with the corpus by session and
     read back."""
-    ch, _idf, v = _sparse(spark, d)
+    ch, idf = _sparse(spark, d)
     path = scratch_path(spark, "corpus-vectors")
-    sparse.write_vectors(ch, v, path)
+    sparse.write_vectors(sparse.embed(ch, idf, keep=("doc_id", "source", "session_id", "pos", "text")), path)
     back = spark.read.schema("chunk_id string, source string, indices array<int>, weights array<double>, session_id string").parquet(path)
     return back.select("session_id", "source", "chunk_id", F.inline(F.arrays_zip("indices", "weights"))).select(
         "session_id", "source", "chunk_id", F.col("indices").alias("i"), F.round("weights", 6).alias("weight"))
@@ -69,9 +69,9 @@ SELECT qid, chunk_id, dist, CAST(rank AS INTEGER) AS rank FROM (
     WHERE q.w > 0 AND v.w > 0 GROUP BY qid, chunk_id)) WHERE rank <= 5""")
 def sparse_nearest(spark, d):
     """E1 with J3's question: the chunks nearest to short questions by sparse distance."""
-    _ch, idf, v = _sparse(spark, d)
+    ch, idf = _sparse(spark, d)
     q = sparse.embed(FX.keyword_questions(spark, d), idf, "question", "qid")
-    return sparse.nearest(q, v, 5).select("qid", "chunk_id", "dist", "rank")
+    return sparse.nearest(q, sparse.embed(ch, idf), 5).select("qid", "chunk_id", "dist", "rank")
 
 
 @query("knn_lsh")

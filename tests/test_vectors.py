@@ -112,3 +112,39 @@ def test_sparse_vectors_of_odd_texts(spark):
     assert {(r.qid, r.chunk_id, r.dist) for r in one} == {(a, b, d) for a, b, _, d in got}
     empty = sparse.embed(ch.limit(0), sparse.fit_idf(ch.limit(0)))
     assert empty.count() == 0 and sparse.nearest(q, empty, 2).count() == 0
+
+
+def test_sparse_vectors_are_made_in_the_row_and_searched_in_cells(spark):
+    from quarry.operators import sparse
+
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"c{i:03d}", " ".join(words[(i * j * j + j) % 30] for j in range(i % 17)) + " common") for i in range(200)]
+    ch = sparse.count_terms(spark.createDataFrame(rows, "chunk_id string, text string"))
+    idf = sparse.fit_idf(ch)
+    v = sparse.embed(ch, idf)
+    assert "Exchange" not in v._jdf.queryExecution().executedPlan().toString()
+    q = sparse.embed(spark.createDataFrame([(i, f"w{i} w{i + 3} common") for i in range(8)], "qid int, question string"), idf, "question", "qid")
+    dense = {r.chunk_id: dict(zip(r.indices, r.weights)) for r in v.collect()}
+    want = set()
+    for r in q.collect():
+        a = dict(zip(r.indices, r.weights))
+        cos = {c: sum(w * b.get(i, 0.0) for i, w in a.items()) for c, b in dense.items()}
+        near = sorted((round(max(0.0, round(2 - 2 * x, 9)) ** 0.5, 6), c) for c, x in cos.items() if x > 0)
+        want |= {(r.qid, c, n + 1, d) for n, (d, c) in enumerate(near[:4])}
+    found = sparse.nearest(q, v, 4, shards=3)
+    got = {(r.qid, r.chunk_id, r["rank"], round(r.dist, 6)) for r in found.collect()}
+    assert got == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # pairs of questions and items are not made as rows
+
+
+def test_sparse_vectors_of_rows_that_share_an_id(spark):
+    from quarry.operators import sparse
+
+    rows = [("a", "x", "red fox"), ("a", "y", "red hen"), ("b", "x", "red"), (None, "x", "fox"), (None, "y", "hen")]
+    ch = sparse.count_terms(spark.createDataFrame(rows, "chunk_id string, source string, text string"))
+    idf = sparse.fit_idf(ch)
+    by_id = sorted((r.chunk_id or "", len(r.indices)) for r in sparse.embed(ch, idf).collect())
+    assert by_id == [("", 2), ("a", 4), ("b", 1)]
+    kept = sorted((r.chunk_id or "", r.source, len(r.indices)) for r in sparse.embed(ch, idf, keep=("source",)).collect())
+    assert kept == [("", "x", 2), ("", "y", 2), ("a", "x", 4), ("a", "y", 4), ("b", "x", 1)]
