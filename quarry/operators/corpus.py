@@ -70,10 +70,16 @@ def incremental_new_chunks(new: DataFrame, ledger: DataFrame,
 
 
 def add_to_corpus(new: DataFrame, ledger: DataFrame,
-                  keys: tuple[str, ...] = ("session_id", "fp")) -> DataFrame:
+                  keys: tuple[str, ...] = ("session_id", "fp"), staged: str | None = None) -> DataFrame:
     """Full rows of the chunks that J1 admits (anti-join placed before any
-    expensive embed step)."""
+    expensive embed step). With ``staged`` the admitted keys are written there
+    first: a batch that holds nothing new then moves no text."""
     ids = incremental_new_chunks(new, ledger, keys)
+    if staged:
+        ids.write.parquet(staged)
+        ids = new.sparkSession.read.schema(ids.schema).parquet(staged)
+        if ids.isEmpty():
+            return new.where(F.lit(False)).select(*keys, "chunk_id", *[c for c in new.columns if c not in (*keys, "chunk_id")])
     return new.join(ids, list(keys) + ["chunk_id"], "left_semi")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators.retrieve import top_k
 from quarry.plans import fixtures as FX
 from quarry.plans.q_sources import staged_files
 from quarry.plans.registry import query
@@ -57,9 +56,7 @@ def stream_segments(spark, d):
         stream = spark.readStream.schema(_DOC_SCHEMA).option("maxFilesPerTrigger", 2).parquet(src)
         segments.stream_segments(stream.select("doc_id", "source", "session_id", "text"), root, scratch_path(spark, "segment-ckpt"))
     segments.compact(spark, root)
-    scored = segments.segment_scores(spark, root, FX.session_questions(spark, d)).join(
-        segments.read_table(spark, root, "chunks").select("session_id", "chunk_id", "fp"), ["session_id", "chunk_id"])
-    best = top_k(scored, 5, ["qid", "session_id"], [F.col("score").desc(), F.col("fp")])
+    best = segments.segment_top(spark, root, FX.session_questions(spark, d), 5)
     return best.select("qid", "session_id", "rank", "fp", "score", F.lit(len(segments.live_segments(spark, root))).alias("n_segments"))
 
 

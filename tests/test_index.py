@@ -159,8 +159,25 @@ def test_new_documents_after_a_merge(spark, folder):
     assert scored(spark, root) == at_once(spark, folder)
 
 
+def test_best_of_segments_without_pairs_of_all(spark, folder):
+    root = scratch_path(spark, "seg")
+    docs = spark.read.parquet(folder)
+    twice = docs.where("doc_id = 4").selectExpr("doc_id", "source", "session_id", "'mark4 w1 again' AS text")  # another text of an id
+    S.add_batch(docs.where("doc_id < 20").unionByName(docs.where("doc_id < 3")), root, "a")
+    S.add_batch(docs.where("doc_id >= 20").unionByName(twice), root, "b")
+    fps = S.read_table(spark, root, "chunks").select("session_id", "chunk_id", "fp")
+    every = S.segment_scores(spark, root, asked(spark)).join(fps, ["session_id", "chunk_id"])
+    want = R.top_k(every, 3, ["qid", "session_id"], [F.col("score").desc(), F.col("fp")])
+    best = S.segment_top(spark, root, asked(spark), 3)
+    cols = ["qid", "session_id", "rank", "fp", "score"]
+    assert rows(best.select(cols)) == rows(want.select(cols)) and best.count() == 6
+    # a chunk is stored once, with its terms: no posting a row
+    assert set(S.TABLES) == {"chunks", "terms", "sizes"}
+
+
 def test_no_segments(spark):
     assert S.segment_scores(spark, scratch_path(spark, "seg"), asked(spark)).isEmpty()
+    assert S.segment_top(spark, scratch_path(spark, "seg"), asked(spark), 3).isEmpty()
 
 
 def test_images_tables_and_texts_are_found_and_capped(spark):
