@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import corpus as C
 from quarry.operators.infer import embed_chunks
-from quarry.session import read_if_there
+from quarry.session import read_if_there, scratch_path
 
 CORPUS_COLS = ["chunk_id", "doc_id", "source", "pos", "text", "fp", "embedding", "session_id"]
 
@@ -33,10 +33,12 @@ def build_corpus(spark: SparkSession, docs: DataFrame, path: str, recursive: boo
     ledger = _existing(spark, path)
     if ledger is None:
         ledger = spark.createDataFrame([], "session_id string, fp string")
-    new = C.add_to_corpus(chunks, ledger)
-    new = new.checkpoint(eager=True)  # cut lineage before the write; embed sees only new rows
-    n_new = new.count()
-    if n_new:
+    staged = scratch_path(spark, "new-chunks")
+    new = C.add_to_corpus(chunks, ledger, staged=scratch_path(spark, "new-ids"))
+    new.write.parquet(staged)  # compressed, unlike a checkpoint; embed sees only new rows
+    new = spark.read.schema(new.schema).parquet(staged)
+    if not new.isEmpty():
+        # vectors are mostly zeros, which zstd packs to about half of what snappy does
         embed_chunks(new, embed=embed).select(*CORPUS_COLS).write.mode("append") \
-            .partitionBy("session_id").parquet(path)
+            .option("compression", "zstd").partitionBy("session_id").parquet(path)
     return new.select("session_id", "chunk_id", "fp")

@@ -130,3 +130,35 @@ def test_lsh_takes_rows_without_id_or_vector(spark):
     v = spark.createDataFrame(rows, "chunk_id int, embedding array<double>")
     q = v.select(F.col("chunk_id").alias("qid"), "embedding")
     assert _rows_num(lsh.knn_lsh(q, v, 5, bits=1, n_tables=2)) == [(1, 1, 0.0), (1, 2, 0.1), (2, 1, 0.1), (2, 2, 0.0)]
+
+
+def test_a_batch_without_new_chunks_moves_no_text(spark):
+    from quarry.operators import corpus as C
+    from quarry.session import scratch_path
+    docs = spark.createDataFrame([(i, f"f{i % 3}", f"s{i % 2}", f"text {i} " * 300) for i in range(20)],
+                                 "doc_id long, source string, session_id string, text string")
+    chunks = C.fingerprint(C.chunk_fixed(docs))
+    none = spark.createDataFrame([], "session_id string, fp string")
+    cols = ["session_id", "fp", "chunk_id", "text"]
+    first = C.add_to_corpus(chunks, none, staged=scratch_path(spark, "ids"))
+    assert _rows(first.select(cols)) == _rows(C.add_to_corpus(chunks, none).select(cols)) and not first.isEmpty()
+    again = C.add_to_corpus(chunks, first.select("session_id", "fp"), staged=scratch_path(spark, "ids"))
+    assert again.columns == first.columns and again.isEmpty()
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+
+
+def test_build_corpus_keeps_nothing_uncompressed(spark):
+    import glob
+
+    from quarry.operators.build import build_corpus
+    from quarry.session import ensure_checkpoint_dir, scratch_path
+    docs = spark.createDataFrame([(1, "a.txt", "s", "same words " * 400), (2, "a.txt", "s", "same words " * 400), (3, "b.txt", "s", None)],
+                                 "doc_id long, source string, session_id string, text string")
+    path = scratch_path(spark, "corpus")
+    base = ensure_checkpoint_dir(spark).replace("file://", "").rstrip("/")
+    before = set(glob.glob(f"{base}/**/rdd-*", recursive=True))
+    added = build_corpus(spark, docs, path)
+    assert set(glob.glob(f"{base}/**/rdd-*", recursive=True)) == before
+    back = spark.read.parquet(path)
+    assert _rows(added.select("session_id", "chunk_id", "fp")) == _rows(back.select("session_id", "chunk_id", "fp")) and back.count() > 1
+    assert build_corpus(spark, docs, path).isEmpty() and spark.read.parquet(path).count() == back.count()
