@@ -79,6 +79,29 @@ def test_postings_are_not_shuffled(spark, chunks, questions):
     assert "Bucketed: true" in plan.split("\n")[scan]
 
 
+def test_chunks_of_pairs_are_found_without_a_shuffle_of_the_forward_rows(spark, chunks, questions):
+    index = P.build_index(chunks, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pairs = R.bm25(questions, chunks).select("qid", "chunk_id")
+        plan = index.pair_scores(questions, pairs)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("FileScan" in line and "chunk_id" in line and "Bucketed: true" in line for line in plan)
+
+
+def test_blocks_are_in_order_of_impact_and_hold_every_posting_once(chunks):
+    index = P.build_index(chunks, block=4, split=16, buckets=4)
+    blocks = index.blocks.collect()
+    held = sorted((b.term, p.chunk_id) for b in blocks for p in b.postings)
+    assert held == sorted((r.term, r.chunk_id) for r in index.forward.select("chunk_id", F.inline("terms")).collect())
+    lists = {}
+    for b in sorted(blocks, key=lambda b: b.block):
+        assert b.top_of_block == b.postings[0].impact
+        lists.setdefault((b.term, b.shard), []).extend((-p.impact, p.chunk_id) for p in b.postings)
+    assert all(v == sorted(v) for v in lists.values()) and len({t for t, _ in lists}) < len(lists)
+
+
 def test_index_of_nothing(spark, chunks, questions):
     index = P.build_index(chunks.where("false"), buckets=2)
     assert index.top(questions, 3).isEmpty() and index.scores(questions).isEmpty()
