@@ -9,6 +9,7 @@ from quarry.operators import retrieve as R
 from quarry.operators.postings import forward_rows
 from quarry.plans import fixtures as FX
 from quarry.plans.registry import query
+from quarry.session import scratch_path
 
 W = FX.with_
 
@@ -64,7 +65,7 @@ def bm25_topk_stored(spark, d):
 
 _KNN = W(FX.SQL_VECTORS, """pairs AS (
   SELECT q.chunk_id AS qid, i.chunk_id, i.source, round(list_distance(q.v, i.v), 6) AS dist
-  FROM vec q, vec i WHERE q.chunk_id % 20 = 0)""", """ranked AS (
+  FROM vec q, vec i)""", """ranked AS (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS r FROM pairs)""",
              """per_src AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY dist, chunk_id) AS rs
@@ -178,6 +179,9 @@ def retrieve_standard(spark, d):
     k, fetch = _std_k(total)
     pool = R.knn(q, v, fetch).join(v.select("chunk_id", "source"), "chunk_id")
     picked = R.mmr(pool, q, v, k, keep=["source"])
+    path = scratch_path(spark, "picked")  # read twice: as stage 0 and for what it lacks
+    picked.write.parquet(path)
+    picked = spark.read.schema(picked.schema).parquet(path)
     best = R.knn(q, v, 2, group="source")
     cov = R.coverage(picked, best)
     cols = ["qid", "stage", "rank", "chunk_id", "source", "dist"]
