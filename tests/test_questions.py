@@ -38,3 +38,15 @@ def test_every_vector_is_asked(spark, vectors, name):
 
 def test_lsh_asks_every_vector(spark, vectors):
     assert {r.qid for r in E.queries()["knn_lsh"](spark, vectors[0]).collect()} == set(IDS)
+
+
+def test_every_title_is_asked(spark, tmp_path):
+    d = str(tmp_path)
+    rows = [(i, "u", f"<html><head><title>Title word{i} of all</title></head><body><p>Some text word{i % 7}. More.</p>"
+             f'<a href="p{i}">word{i} alt</a><div class="ad">word{i % 5} note</div></body></html>') for i in IDS]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{d}/pages.parquet/*.parquet')")
+    got, want = E.queries()["multimodal_search"](spark, d).toPandas(), con.execute(E.oracle_sql()["multimodal_search"]).df()
+    assert _rows(got) == _rows(want)
+    assert sorted(set(got["qid"])) == IDS
