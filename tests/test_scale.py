@@ -162,3 +162,22 @@ def test_build_corpus_keeps_nothing_uncompressed(spark):
     back = spark.read.parquet(path)
     assert _rows(added.select("session_id", "chunk_id", "fp")) == _rows(back.select("session_id", "chunk_id", "fp")) and back.count() > 1
     assert build_corpus(spark, docs, path).isEmpty() and spark.read.parquet(path).count() == back.count()
+
+
+def test_many_questions_move_the_best_of_each_part_only(spark, monkeypatch):
+    from quarry.operators import postings as P
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"c{i:05d}", " ".join(words[(i * j * j + j) % 40] for j in range(i % 9)) + " common") for i in range(1500)]
+    chunks = spark.createDataFrame(rows + rows[:200] + [(None, "common w1")], "chunk_id string, text string")  # some ids come twice
+    asked = [(i, f"common w{i % 40} w{i * 3 % 40} w{i * 7 % 40}") for i in range(80)]
+    q = spark.createDataFrame(asked + asked[:20] + [(None, "common"), (900, None), (901, "unknown")], "qid int, question string")
+    cols, order = ["qid", "chunk_id", "score", "rank"], [F.col("score").desc(), F.col("chunk_id")]
+    monkeypatch.setattr(P, "MANY", 0)
+    for few, part in ((chunks, 700), (chunks.where("chunk_id = 'c00008'"), P.PART)):
+        monkeypatch.setattr(P, "PART", part)
+        index = P.build_index(few)
+        every = index.scores(q).where("qid is not null and chunk_id is not null")
+        assert _rows(index.top(q, 4).select(cols)) == _rows(R.top_k(every, 4, ["qid"], order).select(cols))
+        parts = max(1, -(-int(index.n * index.avgdl) // part), 4 * spark.sparkContext.defaultParallelism)
+        found = index._in_shards(index.asked(q).select("qid", "term", "idf"), 80, 4)
+        assert found.count() <= 4 * parts * 82 and every.count() >= 20_000 * (few is chunks)
