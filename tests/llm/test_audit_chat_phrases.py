@@ -266,6 +266,22 @@ def test_templates_that_look_far_back_at_a_single_turn_are_found(spark):
         assert any(r.far_history for r in mine) == bool(c)
 
 
+def recalling_further(turns):
+    """A turn that says "recall" repeats the one 150 turns earlier, further back than a segment of 64 and its context."""
+    return "".join(f"[{turns[i - 150][1] if t == 'recall' and i >= 150 else ''}|{t}]" for i, (_, t) in enumerate(turns))
+
+
+@pytest.mark.parametrize("template", [recalling_further, lambda turns: recalling_further(turns) + "."])  # the second takes back a character a turn
+def test_templates_that_look_back_over_segments_are_found(spark, template):
+    rows = [(c, t, "assistant" if t % 2 else "user", "recall" if c == 1 and t == 210 else f"said {t}") for c in (0, 1, None) for t in range(300)]
+    path = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"),
+                                            scratch_path(spark, "chat-test"), template, segment=64)
+    got = chat_format.formatted_blocks(spark, path).orderBy("conv_id", "block").collect()
+    for c in (0, 1, None):
+        mine = [r for r in got if r.conv_id == c]
+        assert chat_format.made_up([(r.text, r.turns) for r in mine]) == template([(r[2], r[3]) for r in rows if r[0] == c])
+        assert any(r.far_history for r in mine) == (c == 1 or template is not recalling_further)
+
 
 def test_template_that_hides_a_text_is_refused():
     with pytest.raises(ValueError):
